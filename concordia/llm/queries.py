@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from concordia.llm.packing import op2_packing
+from concordia.llm.secrets import op4_secrets
 from concordia.llm.token_counts import op8_token_counts
 from concordia.llm.token_files import op7_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op7_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op4_secrets, op7_token_files, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
