@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from concordia.llm.nearest import op5_nearest
 from concordia.llm.packing import op2_packing
 from concordia.llm.secrets import op4_secrets
 from concordia.llm.token_counts import op8_token_counts
 from concordia.llm.token_files import op7_token_files
+from concordia.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op4_secrets, op7_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op4_secrets, op5_nearest, op6_toxicity, op7_token_files, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
