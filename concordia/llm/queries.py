@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concordia.llm.language_model import op10_language_model
 from concordia.llm.media import op3_media
 from concordia.llm.near_dup import op1_near_dup
 from concordia.llm.nearest import op5_nearest
@@ -13,7 +14,7 @@ from concordia.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dup, op2_packing, op3_media, op4_secrets, op5_nearest, op6_toxicity, op7_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op1_near_dup, op2_packing, op3_media, op4_secrets, op5_nearest, op6_toxicity, op7_token_files, op8_token_counts, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
