@@ -8,13 +8,14 @@ from concordia.llm.near_dup import op1_near_dup
 from concordia.llm.nearest import op5_nearest
 from concordia.llm.packing import op2_packing
 from concordia.llm.secrets import op4_secrets
+from concordia.llm.sentence_pieces import op9_sentence_pieces
 from concordia.llm.token_counts import op8_token_counts
 from concordia.llm.token_files import op7_token_files
 from concordia.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dup, op2_packing, op3_media, op4_secrets, op5_nearest, op6_toxicity, op7_token_files, op8_token_counts, op10_language_model)}
+    return {f.__name__: f for f in (op1_near_dup, op2_packing, op3_media, op4_secrets, op5_nearest, op6_toxicity, op7_token_files, op8_token_counts, op9_sentence_pieces, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
