@@ -201,7 +201,7 @@ class NearDuplicates:
 
     def _keyed(self) -> DataFrame:
         text = whole_text(self.docs)
-        return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
+        return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
 
     def documents(self) -> DataFrame:
         """doc_id, key, size of the set, its hash (cid) and its minwise tokens, of every row."""
@@ -402,25 +402,46 @@ class NearDuplicates:
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
         return common.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * self.percent).select("a", "b")
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept and n_links (confirmed links of the row's class) of every row."""
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """The rows' sets, and for each class its component, links, first row (key) and whether that names the component."""
         docs = written(self.documents(), "dedup-docs")
         full = docs.where(F.col("cid").isNotNull())
-        classes = full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("key"), F.max("sig").alias("sig"))
-        classes = written(classes, "dedup-classes")
+        largest = F.lit(2**63 - 1)
+        first = F.min(F.struct(F.coalesce("doc_id", largest).alias("id"), "key"))
+        classes = full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), first.alias("first"), F.max("sig").alias("sig"))
+        classes = written(classes.select("cid", "first_id", F.col("first.key").alias("key"), "sig"), "dedup-classes")
         links = written(self.candidates(classes), "dedup-candidates")
         links = written(self.confirmed(links, classes), "dedup-links")
-        largest = F.lit(2**63 - 1)
         vertex = classes.select("cid", F.struct(F.coalesce("first_id", largest).alias("id"), "cid").alias("v"))
         ends = links.join(vertex.select(F.col("cid").alias("a"), F.col("v").alias("u")), "a").join(vertex.select(F.col("cid").alias("b"), "v"), "b").select("u", "v")
-        roots = components(ends).select(F.col("u.cid").alias("cid"), F.col("root.id").alias("root_id"))
+        roots = components(ends).select(F.col("u.cid").alias("cid"), "root")
         degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
-        named = classes.select("cid", "first_id").join(roots, "cid", "left").join(degree, "cid", "left")
-        named = written(named.select("cid", F.coalesce(F.when(F.col("root_id") < largest, F.col("root_id")), "first_id").alias("component_id"), "n_links"), "dedup-named")
-        out = full.select("doc_id", "n_shingles", "cid").join(named, "cid").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        named = classes.select("cid", "first_id", "key").join(roots, "cid", "left").join(degree, "cid", "left")
+        named = named.select(
+            "cid", "key", "n_links",
+            F.coalesce(F.when(F.col("root.id") < largest, F.col("root.id")), "first_id").alias("component_id"),
+            (F.col("root").isNull() | (F.col("root.cid") == F.col("cid"))).alias("names"),
+        )
+        return docs, written(named, "dedup-named")
+
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id, kept and n_links (confirmed links of the row's class) of every row."""
+        docs, named = self.groups()
+        linked = docs.where(F.col("cid").isNotNull()).select("doc_id", "n_shingles", "cid").join(named, "cid")
+        out = linked.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
         bare = docs.where(F.col("cid").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
         return out.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_links")
 
+    def survivors(self) -> DataFrame:
+        """The rows of the table, one of each group: the first of the class that names it.  Rows without words all stay."""
+        _, named = self.groups()
+        keys = named.where("names").select(F.col("key").alias("__key"))
+        text = whole_text(self.docs)
+        has_words = text.rlike(r"[^\x20\x09-\x0D]")
+        keyed = self.docs.where(has_words).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text))
+        one = keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+        return one.unionByName(self.docs.where(~has_words))
+
 
 def components(links: DataFrame) -> DataFrame:
     """For each end u of a link (u, v) the smallest vertex it reaches; large-star and small-star rounds until they
@@ -449,12 +470,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **more)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: that whose doc_id names it.  Rows that repeat such an id with the same text are
-    kept once; rows with a null id stay if they have no words, or if their group has no id (one of it)."""
-    marked = docs.select("doc_id", "text")
-    found = near_duplicates(marked, words, percent)
-    keep = found.where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each group; see NearDuplicates.survivors."""
+    return NearDuplicates(docs, words, percent).survivors()
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
