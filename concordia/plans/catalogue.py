@@ -1,11 +1,538 @@
-"""The queries of the engine's own operators, by name, and their SQL."""
+"""The queries of the engine's own operators over the driver's tables, by name, and the SQL that gives the same rows.
+
+Readers' cells, payloads and positions that the tables don't hold are derived from them by plain SQL, the same on both
+sides; the operators under test then run in Spark, and their semantics are written out in the oracle's SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concordia.functions import normalise, similarity, text
+from concordia.operators import bands, correct, export, fields, parse, reconcile, select, verify, vocabulary
+from concordia.sources import store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The SQL, with its tables in braces, over the folder's tables."""
+    names = [n for n in ("orders", "part", "documents", "events", "labels", "benchmark", "conversations", "customer", "lineitem", "nation", "region") if "{" + n + "}" in sql]
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def plain(sql: str) -> str:
+    """The SQL as DuckDB takes it."""
+    return sql.replace("{", "").replace("}", "")
+
+
+def query(sql: str | None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# Inputs ---------------------------------------------------------------------------------------------------------
+
+VISION = """SELECT o_orderkey AS record_id, 'Rank' AS label, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderpriority END AS value,
+CASE o_orderkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE '' END AS confidence, o_orderstatus AS evidence FROM {orders}
+UNION ALL SELECT o_orderkey, 'Birth Year', CAST(year(o_orderdate) - 130 AS STRING), 'MEDIUM', '' FROM {orders}
+UNION ALL SELECT o_orderkey, 'Surname', CASE o_orderkey % 4 WHEN 0 THEN 'Élie' WHEN 1 THEN 'Núñez' WHEN 2 THEN '' ELSE 'Martin' END, '', '' FROM {orders}"""
+TEXT = """SELECT o_orderkey AS record_id, 'Rank' AS label,
+CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 13 = 0 THEN '5-LOW' ELSE o_orderpriority END AS value FROM {orders}
+UNION ALL SELECT o_orderkey, 'Birth Year', CAST(year(o_orderdate) - CASE WHEN o_orderkey % 4 = 0 THEN 131 ELSE 130 END AS STRING) FROM {orders}
+UNION ALL SELECT o_orderkey, 'Surname', CASE o_orderkey % 3 WHEN 0 THEN 'elie' WHEN 1 THEN ' NUNEZ ' ELSE '' END FROM {orders} WHERE o_orderkey % 9 <> 0"""
+FOLD = "trim(lower(strip_accents({})))"
+RECONCILED = f"""vision AS ({plain(VISION)}), texts AS ({plain(TEXT)}), both_ AS (
+SELECT coalesce(v.record_id, t.record_id) AS record_id, coalesce(v.label, t.label) AS label, coalesce(v.value, '') AS v, coalesce(v.confidence, '') AS vc,
+coalesce(v.evidence, '') AS evidence, coalesce(t.value, '') AS t FROM vision v FULL JOIN texts t ON v.record_id = t.record_id AND v.label = t.label),
+kinds AS (SELECT *, CASE WHEN v <> '' AND t <> '' AND {FOLD.format("v")} = {FOLD.format("t")} THEN 'vision+text' WHEN v <> '' AND t <> '' THEN 'conflict'
+WHEN v <> '' THEN 'vision' WHEN t <> '' THEN 'text' ELSE '' END AS source FROM both_),
+reconciled AS (SELECT record_id, label, CASE WHEN source = 'text' THEN t ELSE v END AS value,
+CASE source WHEN 'vision+text' THEN 'HIGH' WHEN 'conflict' THEN 'LOW' WHEN 'vision' THEN CASE WHEN vc = '' THEN 'MEDIUM' ELSE vc END WHEN 'text' THEN 'MEDIUM' ELSE '' END AS confidence,
+evidence, source, CASE WHEN source = 'conflict' THEN t ELSE '' END AS alt FROM kinds)"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.reconcile(derived(spark, sf_dir, VISION), derived(spark, sf_dir, TEXT))
+
+
+# Text -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({FOLD.format('text')}) AS folded, CAST(length({FOLD.format('text')}) AS BIGINT) AS n FROM documents")
+def text_fold(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("f"))
+    return d.select("doc_id", F.md5(F.col("f").cast("binary")).alias("folded"), F.length("f").cast("long").alias("n"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, regexp_replace(lower(trim(line, ' ' || chr(9))), '\s+', ' ', 'g') AS key FROM l),
+b AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k)
+SELECT doc_id, count(*) AS n_kept, md5(string_agg(line, chr(10) ORDER BY pos)) AS kept FROM b
+WHERE NOT coalesce(key <> '' AND key = before, FALSE) GROUP BY doc_id""")
+def line_collapse(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", text.collapse_lines(F.col("text")).alias("kept"))
+    return d.select("doc_id", F.size("kept").cast("long").alias("n_kept"), F.md5(F.array_join("kept", "\n").cast("binary")).alias("kept"))
+
+
+@query(None)
+def phrase_loop_cut(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.cut_phrase_loops(F.col("text"))).alias("n"))
+
+
+@query(None)
+def transcript_clean(spark, sf_dir):
+    """The whole chain of transcript cleaning."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_transcript(F.col("text")).cast("binary")).alias("cleaned"))
+
+
+MESSY = """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN concat(' - ', role, ',;') WHEN 1 THEN concat(role, ' [?]') WHEN 2 THEN '[?] ...' WHEN 3 THEN ' Inconnu '
+WHEN 4 THEN concat('  ', role, '… ') ELSE NULL END AS value FROM {conversations}"""
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, trim(coalesce(value, '')) AS s FROM ({plain(MESSY)}))
+SELECT conv_id, turn, CASE WHEN regexp_full_match(s, '[\[\]?.…\s–—-]*') OR lower(s) IN ('n/a', 'none', 'null', 'inconnu', 'unknown', 'illisible', '[illegible]') THEN ''
+ELSE trim(trim(regexp_replace(s, '\[\?\]|…', '', 'g'), ' -–—,;')) END AS cleaned FROM m""")
+def clean_value(spark, sf_dir):
+    return derived(spark, sf_dir, MESSY).select("conv_id", "turn", text.clean_value(F.col("value")).alias("cleaned"))
+
+
+MARKED = """SELECT doc_id, concat(text, CASE doc_id % 5 WHEN 0 THEN ' SIGNALEMENT. Détail des services' WHEN 1 THEN ' Répertoire' WHEN 2 THEN ' État civil, tome' WHEN 3 THEN ' Campagnes' ELSE '' END) AS text
+FROM {documents}"""
+
+
+def _held(markers: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(contains(t, '{m}') AS BIGINT)" for m in markers)
+
+
+@query(f"""WITH f AS (SELECT doc_id, {FOLD.format("text")} AS t FROM ({plain(MARKED)})),
+m AS (SELECT doc_id, {_held(verify.MILITARY_MARKERS)} AS mil, {_held(verify.COVER_MARKERS)} AS cov FROM f)
+SELECT doc_id, mil, cov, CASE WHEN (mil >= 2 AND mil >= cov) OR (mil = 1 AND cov = 0) THEN 'Military' WHEN cov >= 1 AND mil = 0 THEN 'Coverpage' ELSE '' END AS doctype,
+CASE WHEN mil >= 2 AND mil >= cov THEN 'HIGH' WHEN (mil = 1 AND cov = 0) OR (cov >= 1 AND mil = 0) THEN 'MEDIUM' ELSE '' END AS doctype_confidence FROM m""")
+def marker_classify(spark, sf_dir):
+    return verify.classify(derived(spark, sf_dir, MARKED)).select("doc_id", "mil", "cov", "doctype", "doctype_confidence")
+
+
+@query(f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(list_sort(w), ' ')) AS words, CAST(len(r) AS BIGINT) AS n_runs, array_to_string(list_sort(r), ' ') AS runs
+FROM (SELECT doc_id, list_distinct(regexp_extract_all({FOLD.format("text")}, '[a-z]{{2,}}')) AS w, list_distinct(regexp_extract_all(text, '[0-9]+')) AS r FROM documents)""")
+def token_index(spark, sf_dir):
+    i = verify.transcript_index(table(spark, sf_dir, "documents"), "doc_id")
+    joined = lambda c: F.array_join(F.array_sort(c), " ")
+    return i.select(F.col("record_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.md5(joined("words").cast("binary")).alias("words"), F.size("runs").cast("long").alias("n_runs"), joined("runs").alias("runs"))
+
+
+# Payloads -------------------------------------------------------------------------------------------------------
+
+PAYLOADS = """SELECT event_id AS record_id, concat('Answer: ', chr(123), '"given_name": "', event_type, ' [?]", "BIRTH YEAR": ', CAST(event_id % 90 + 1800 AS STRING), ', "other": 1, "given_name": "', lower(event_type), CASE WHEN event_id % 3 = 0 THEN '",' ELSE '"' END, chr(125), ' end') AS payload FROM {events}"""
+
+
+@query("""SELECT event_id AS record_id, 'Given Name' AS label, lower(event_type) AS value FROM events
+UNION ALL SELECT event_id, 'Birth Year', CAST(event_id % 90 + 1800 AS VARCHAR) FROM events""")
+def json_remap(spark, sf_dir):
+    return parse.remap_values(derived(spark, sf_dir, PAYLOADS), fields.key_variants(spark))
+
+
+CELLS = """SELECT event_id AS record_id, concat(chr(123), '"Surname": ', chr(123), '"value": "', event_type, '", "confidence": "', CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN ' Medium' WHEN 2 THEN 'sure' ELSE 'LOW' END, '", "evidence": "', repeat('e', CAST(event_id % 200 AS INT)), '"', chr(125), ', "Rank": "', event_type, '"', chr(125)) AS payload FROM {events}"""
+
+
+@query("""SELECT event_id AS record_id, 'Surname' AS label, event_type AS value, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+repeat('e', least(140, event_id % 200)) AS evidence FROM events UNION ALL SELECT event_id, 'Rank', event_type, 'MEDIUM', '' FROM events""")
+def meta_remap(spark, sf_dir):
+    return parse.remap_cells(derived(spark, sf_dir, CELLS), fields.key_variants(spark))
+
+
+# Normalisers ----------------------------------------------------------------------------------------------------
+
+HEIGHTS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat('1 m. ', CAST(p_size AS STRING), ' cent.') WHEN 1 THEN concat('1m', CAST(p_size AS STRING)) WHEN 2 THEN concat('2 metre ', CAST(p_size AS STRING)) WHEN 3 THEN concat('1,', CAST(p_size AS STRING)) ELSE '1m 05' END AS v FROM {part}"
+HEIGHT_RE = r"(?i)([0-9])\s*m[. ètre]*\s*([0-9]{1,3})"
+
+
+@query(f"SELECT p_partkey, CASE WHEN regexp_matches(v, '{HEIGHT_RE}') THEN regexp_extract(v, '{HEIGHT_RE}', 1) || 'm ' || CAST(CAST(regexp_extract(v, '{HEIGHT_RE}', 2) AS INT) AS VARCHAR) || 'cm' ELSE v END AS height FROM ({plain(HEIGHTS)})")
+def height_norm(spark, sf_dir):
+    return derived(spark, sf_dir, HEIGHTS).select("p_partkey", normalise.height(F.col("v")).alias("height"))
+
+
+DAY_VALUES = "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '1er' WHEN 1 THEN ' 1 ERE. ' WHEN 2 THEN 'Premier' WHEN 3 THEN '2e' WHEN 4 THEN '1ère' ELSE CAST(day(o_orderdate) AS STRING) END AS v FROM {orders}"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN regexp_full_match(lower(trim(v)), '1\\s*(er|ere|ère|re)[.]?') OR lower(trim(v)) = 'premier' THEN '1' ELSE v END AS day FROM ({plain(DAY_VALUES)})")
+def day_norm(spark, sf_dir):
+    return derived(spark, sf_dir, DAY_VALUES).select("o_orderkey", normalise.day(F.col("v")).alias("day"))
+
+
+REGIMENTS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat(CAST(p_size AS STRING), 'e d''Infanterie') WHEN 1 THEN '1er Dragons' WHEN 2 THEN concat('Regiment ', CAST(p_size AS STRING)) WHEN 3 THEN p_brand ELSE 'Genie' END AS v FROM {part}"
+
+
+@query(f"SELECT p_partkey, CASE WHEN n = '' THEN v WHEN n = '1' THEN '1er Régt' ELSE n || 'e Régt' END AS regiment FROM (SELECT p_partkey, v, regexp_extract(v, '(?i)([0-9]+)\\s*(er|re|e)?\\b', 1) AS n FROM ({plain(REGIMENTS)}))")
+def regiment_norm(spark, sf_dir):
+    return derived(spark, sf_dir, REGIMENTS).select("p_partkey", normalise.regiment(F.col("v")).alias("regiment"))
+
+
+ORDINALS = "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '3e fils de' WHEN 1 THEN concat(CAST(o_orderkey % 30 AS STRING), '°') WHEN 2 THEN 'Jr' WHEN 3 THEN 'II' WHEN 4 THEN '1er 2e fille' ELSE 'fils' END AS v FROM {orders}"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN regexp_matches(v, '^(\\s*[0-9]+\\s*(er|ère|e|°|<sup>e</sup>)[.]?\\s*)+') THEN '' ELSE v END AS kept FROM ({plain(ORDINALS)})")
+def ordinal_strip(spark, sf_dir):
+    return derived(spark, sf_dir, ORDINALS).select("o_orderkey", normalise.ordinal(F.col("v")).alias("kept"))
+
+
+PLAUSIBLE = """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CAST(l_orderkey % 40 AS STRING) WHEN 1 THEN concat(CAST(l_orderkey % 30 + 1 AS STRING), CASE WHEN l_orderkey % 2 = 0 THEN 'er' ELSE '' END)
+WHEN 2 THEN CAST(1700 + l_orderkey % 300 AS STRING) ELSE CONCAT(CAST(l_orderkey % 4 AS STRING), 'm ', CAST(l_orderkey % 120 AS STRING), 'cm') END AS v FROM {lineitem}"""
+
+
+@query(f"""WITH p AS ({plain(PLAUSIBLE)}) SELECT l_orderkey, l_linenumber, CASE
+WHEN l_linenumber % 4 <= 1 AND NOT regexp_full_match(v, '[0-9]+') THEN 'day-format' WHEN l_linenumber % 4 <= 1 AND CAST(v AS INT) NOT BETWEEN 1 AND 31 THEN 'impossible-day'
+WHEN l_linenumber % 4 = 2 AND CAST(v AS INT) NOT BETWEEN 1750 AND 1960 THEN 'year-out-of-range'
+WHEN l_linenumber % 4 = 3 AND NOT regexp_full_match(v, '[0-9]m [0-9]{{1,2}}cm') THEN 'height-format' WHEN l_linenumber % 4 = 3 AND v[1] NOT IN ('1', '2') THEN 'height-implausible' ELSE '' END AS flags FROM p""")
+def plausibility_flags(spark, sf_dir):
+    kind = F.col("l_linenumber") % 4
+    found = normalise.plausibility(F.col("v"), kind <= 1, kind == 2, kind == 3)
+    return derived(spark, sf_dir, PLAUSIBLE).select("l_orderkey", "l_linenumber", F.array_join(found, ",").alias("flags"))
+
+
+# Reconciliation -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {RECONCILED} SELECT * FROM reconciled")
+def two_reader_reconcile(spark, sf_dir):
+    return _reconciled(spark, sf_dir).drop("flags")
+
+
+@query(f"SELECT record_id, label, value, CASE WHEN trim(value) <> '' THEN 'MEDIUM' ELSE '' END AS confidence, 'text' AS source FROM ({plain(TEXT)})")
+def fast_mode(spark, sf_dir):
+    return reconcile.fast_mode(derived(spark, sf_dir, TEXT)).select("record_id", "label", "value", "confidence", "source")
+
+
+STATS = """SELECT record_id, count(*) FILTER (trim(value) <> '') AS filled, count(*) FILTER (trim(value) <> '' AND confidence = 'HIGH') AS high,
+count(*) FILTER (trim(value) <> '' AND confidence = 'MEDIUM') AS medium, count(*) FILTER (trim(value) <> '' AND confidence = 'LOW') AS low,
+count(*) FILTER (trim(value) <> '' AND source = 'conflict') AS conflicts, CAST(0 AS BIGINT) AS flagged FROM reconciled GROUP BY record_id"""
+
+
+@query(f"WITH {RECONCILED} {STATS}")
+def confidence_stats(spark, sf_dir):
+    return reconcile.confidence_stats(_reconciled(spark, sf_dir))
+
+
+@query(f"WITH {RECONCILED}, s AS ({STATS}) SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("filled", "high", "medium", "low", "conflicts", "flagged")) + " FROM s")
+def batch_totals(spark, sf_dir):
+    return reconcile.batch_totals(reconcile.confidence_stats(_reconciled(spark, sf_dir)))
+
+
+THIRD = "SELECT o_orderkey AS record_id, 'Rank' AS label, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '5-low' END AS value FROM {orders}"
+
+
+@query(f"""WITH {RECONCILED}, third AS ({plain(THIRD)}), j AS (SELECT r.*, confidence = 'LOW' AND coalesce(t.value, '') <> '' AND
+({FOLD.format("t.value")} = {FOLD.format("r.value")} OR (alt <> '' AND {FOLD.format("t.value")} = {FOLD.format("alt")})) AS ok FROM reconciled r LEFT JOIN third t ON r.record_id = t.record_id AND r.label = t.label)
+SELECT record_id, label, value, CASE WHEN ok THEN 'MEDIUM' ELSE confidence END AS confidence, CASE WHEN ok THEN source || '+third' ELSE source END AS source FROM j""")
+def third_reader_upgrade(spark, sf_dir):
+    out = reconcile.third_reader(_reconciled(spark, sf_dir), derived(spark, sf_dir, THIRD))
+    return out.select("record_id", "label", "value", "confidence", "source")
+
+
+# Vocabularies ---------------------------------------------------------------------------------------------------
+
+MONTHS = "SELECT o_orderkey, 'month' AS vocab, CASE o_orderkey % 5 WHEN 0 THEN CAST(month(o_orderdate) AS STRING) WHEN 1 THEN '8bre' WHEN 2 THEN 'FÉVR' WHEN 3 THEN 'Décembre' ELSE o_orderpriority END AS value FROM {orders}"
+
+
+def _vocab_values(name: str) -> str:
+    spec = fields.VOCABULARIES[name]
+    pairs = {}
+    for c, vs in spec.items():
+        for v in [*vs, c]:
+            pairs[text_fold_plain(v)] = c
+    return ", ".join("('{}', '{}')".format(k, v) for k, v in pairs.items())
+
+
+def text_fold_plain(s: str) -> str:
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().strip()
+
+
+@query(f"WITH m(norm, canonical) AS (VALUES {_vocab_values('month')}) SELECT o_orderkey, value, coalesce(canonical, '') AS canonical FROM ({plain(MONTHS)}) LEFT JOIN m ON norm = {FOLD.format('value')}")
+def vocab_exact_snap(spark, sf_dir):
+    out = vocabulary.exact_snap(derived(spark, sf_dir, MONTHS), fields.vocabulary(spark))
+    return out.select("o_orderkey", "value", F.coalesce("canonical", F.lit("")).alias("canonical"))
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence by bit-parallel steps; b has at most 62 characters."""
+    full = f"((CAST(1 AS BIGINT) << length({b})) - 1)"
+    masks = f"list_transform(string_split({a}, ''), lambda c: CAST(list_sum(list_transform(range(length({b})), lambda i: CASE WHEN substr({b}, i + 1, 1) = c THEN CAST(1 AS BIGINT) << i ELSE CAST(0 AS BIGINT) END)) AS BIGINT))"
+    return f"bit_count(~list_reduce(list_prepend({full}, {masks}), lambda s, m: ((s + (s & m)) | (s & ~m)) & {full}) & {full})"
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return f"200.0 * {lcs_sql(a, b)} / (length({a}) + length({b}))"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x, n y WHERE x.a < y.a)
+SELECT a, b, round(CAST({ratio_sql("a", "b")} AS DOUBLE), 6) AS score FROM p""")
+def fuzzy_ratio(spark, sf_dir):
+    """Every pair of the (few, distinct) part names."""
+    n = table(spark, sf_dir, "part").select("p_name").distinct()
+    pairs = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round(similarity.ratio(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+NAMES = "SELECT DISTINCT 'surname' AS dictkey, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'e', '') WHEN p_partkey % 3 = 1 THEN concat(p_name, 'x') ELSE p_name END AS v FROM {part}"
+DICT = "SELECT 'surname' AS dictkey, p_name AS value, 0 AS src, min(p_partkey) AS ord FROM {part} GROUP BY p_name"
+DICT_SQL = f"SELECT value, {FOLD.format('value')} AS norm, ord FROM ({plain(DICT)})"
+NEAR_SQL = f"""asked AS (SELECT DISTINCT v, {FOLD.format("v")} AS n FROM ({plain(NAMES)})), d AS ({DICT_SQL}),
+pairs AS (SELECT v, n, value, norm, ord FROM asked JOIN d ON n[1] = norm[1] AND length(norm) BETWEEN greatest(2, CAST(round_even(length(n) * 0.7, 0) AS INT)) AND length(n) + greatest(3, CAST(round_even(length(n) * 0.5, 0) AS INT))),
+near AS (SELECT *, CAST({ratio_sql("n", "norm")} AS DOUBLE) AS score FROM pairs)"""
+
+
+def _dictionary(spark, sf_dir):
+    return vocabulary.build_dictionary(derived(spark, sf_dir, DICT))
+
+
+@query(f"""WITH {NEAR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, ord) AS k FROM near WHERE score >= 84)
+SELECT v, value AS match, round(score, 6) AS score FROM r WHERE k = 1""")
+def fuzzy_best_match(spark, sf_dir):
+    out = vocabulary.best_match(derived(spark, sf_dir, NAMES), _dictionary(spark, sf_dir))
+    return out.select("v", "match", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {NEAR_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, ord) AS k FROM near WHERE score >= 55)
+SELECT v, CAST(k AS INT) AS rank, value, round(score, 6) AS score FROM r WHERE k <= 4""")
+def fuzzy_topk(spark, sf_dir):
+    out = vocabulary.top_candidates(derived(spark, sf_dir, NAMES), _dictionary(spark, sf_dir))
+    return out.select("v", "rank", "value", F.round("score", 6).alias("score"))
+
+
+@query("""WITH c(value, ord) AS (VALUES ('Promo', 0), ('Standard', 1), ('Brushed', 2), ('Steel', 3))
+SELECT p_partkey, p_type, coalesce((SELECT arg_min(value, ord) FROM c WHERE lower(p_type) = lower(value) OR list_contains(string_split(lower(p_type), ' '), lower(value))), '') AS match FROM part""")
+def token_contains(spark, sf_dir):
+    closed = spark.createDataFrame([("branch", v, i) for i, v in enumerate(("Promo", "Standard", "Brushed", "Steel"))], "dictkey string, value string, ord int")
+    closed = closed.withColumn("norm", text.fold(F.col("value")))
+    cells = table(spark, sf_dir, "part").select("p_partkey", F.lit("branch").alias("dictkey"), F.col("p_type").alias("v"))
+    return vocabulary.contained(cells, closed).select("p_partkey", F.col("v").alias("p_type"), F.coalesce("match", F.lit("")).alias("match"))
+
+
+SOURCES = """SELECT 'city' AS dictkey, n_name AS value, 0 AS src, n_nationkey AS ord FROM {nation} UNION ALL SELECT 'city', concat(' ', lower(n_name), ' '), 1, n_nationkey FROM {nation}
+UNION ALL SELECT 'hair', CASE WHEN r_regionkey % 2 = 0 THEN concat(r_name, ' or other') ELSE r_name END, 0, r_regionkey FROM {region} UNION ALL SELECT 'surname', p_brand, 0, CAST(p_partkey AS INT) FROM {part} UNION ALL SELECT 'surname', '.', 1, 0 FROM {region}"""
+
+
+@query(rf"""WITH s AS (SELECT dictkey, trim(value) AS value, src, ord FROM ({plain(SOURCES)})),
+k AS (SELECT *, {FOLD.format("value")} AS norm FROM s WHERE value NOT IN ('', '.') AND NOT (dictkey IN ('hair', 'eye') AND regexp_matches(value, '(?i),|\bor\b'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY dictkey, norm ORDER BY src, ord) AS n FROM k)
+SELECT dictkey, value, norm, norm[1] AS block, CAST(length(norm) AS INT) AS norm_len FROM r WHERE n = 1""")
+def dict_build(spark, sf_dir):
+    return vocabulary.build_dictionary(derived(spark, sf_dir, SOURCES)).drop("ord")
+
+
+@query(f"WITH k AS (SELECT DISTINCT dictkey, {FOLD.format('trim(value)')} AS norm FROM ({plain(SOURCES)}) WHERE trim(value) NOT IN ('', '.') AND NOT (dictkey = 'hair' AND regexp_matches(value, '(?i),|\\bor\\b'))) SELECT dictkey, count(*) AS n FROM k GROUP BY dictkey")
+def dict_sizes(spark, sf_dir):
+    return vocabulary.build_dictionary(derived(spark, sf_dir, SOURCES)).groupBy("dictkey").agg(F.count("*").alias("n"))
+
+
+# Verification ---------------------------------------------------------------------------------------------------
+
+ASKED = f"SELECT item_id AS record_id, w FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all({FOLD.format('text')}, '[a-z]{{4,}}'))) AS w FROM benchmark)"
+
+
+def _asked(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    words = F.array_distinct(F.regexp_extract_all(text.fold(F.col("text")), F.lit("[a-z]{4,}"), F.lit(0)))
+    asked = b.select(F.col("item_id").alias("record_id"), F.explode(words).alias("word"))
+    return asked, verify.transcript_index(table(spark, sf_dir, "documents"), "doc_id")
+
+
+POSTINGS = f"SELECT doc_id AS record_id, unnest(list_distinct(regexp_extract_all({FOLD.format('text')}, '[a-z]{{2,}}'))) AS seen FROM documents"
+
+
+@query(f"SELECT DISTINCT a.record_id, a.w AS word FROM ({ASKED}) a JOIN ({POSTINGS}) p ON a.record_id = p.record_id AND a.w = p.seen")
+def grounding_exact(spark, sf_dir):
+    asked, index = _asked(spark, sf_dir)
+    postings = index.select("record_id", F.explode("words").alias("word"))
+    return asked.join(postings, ["record_id", "word"], "left_semi").distinct()
+
+
+@query(f"""WITH a AS ({ASKED}), p AS ({POSTINGS}), j AS (SELECT a.record_id, w, seen FROM a JOIN p ON a.record_id = p.record_id
+AND length(seen) BETWEEN ceil(length(w) * 82.0 / 118) AND floor(length(w) * 118.0 / 82))
+SELECT DISTINCT record_id, w AS word FROM j WHERE w = seen OR (length(seen) <= 62 AND {ratio_sql("w", "seen")} >= 82)""")
+def grounding_fuzzy(spark, sf_dir):
+    asked, index = _asked(spark, sf_dir)
+    return verify.word_support(asked, index)
+
+
+YEARS = """SELECT o_orderkey AS record_id, 'Birth Year' AS label, CAST(year(o_orderdate) - 100 AS STRING) AS value, 'HIGH' AS confidence FROM {orders}
+UNION ALL SELECT o_orderkey, 'Death Year', CAST(year(o_orderdate) - 102 + CAST(o_orderkey % 5 AS INT) AS STRING), 'MEDIUM' FROM {orders}"""
+
+
+@query(f"""WITH y AS ({plain(YEARS)}), b AS (SELECT *, max(CASE WHEN label = 'Birth Year' THEN CAST(value AS INT) END) OVER (PARTITION BY record_id) AS birth FROM y)
+SELECT record_id, label, value, CASE WHEN label = 'Death Year' AND CAST(value AS INT) < birth THEN 'LOW' ELSE confidence END AS confidence,
+CASE WHEN label = 'Death Year' AND CAST(value AS INT) < birth THEN 'before-birth' ELSE '' END AS flags FROM b""")
+def cross_field_before(spark, sf_dir):
+    cells = derived(spark, sf_dir, YEARS).withColumn("flags", F.array().cast("array<string>"))
+    return verify.before_birth(cells).select("record_id", "label", "value", "confidence", F.array_join("flags", ",").alias("flags"))
+
+
+STRICT_CELLS = """SELECT doc_id AS record_id, 'Classe Year' AS label, CASE WHEN doc_id % 2 = 0 THEN '1875' ELSE '1876' END AS value, 'HIGH' AS confidence, '' AS evidence, 'vision' AS source, '' AS alt FROM {documents}
+UNION ALL SELECT doc_id, 'Surname', CASE WHEN doc_id % 3 = 0 THEN 'Quixzyvk' ELSE 'X' END, 'MEDIUM', '', 'vision', '' FROM {documents}"""
+STRICT_TEXTS = "SELECT doc_id AS record_id, concat(CASE WHEN doc_id % 4 = 0 THEN 'classe 18 75 ' ELSE 'classe ' END, regexp_replace(lang, '[0-9]', '')) AS text FROM {documents}"
+
+
+@query(f"""WITH c AS ({plain(STRICT_CELLS)}), f AS (SELECT *, CASE WHEN label = 'Classe Year' THEN record_id % 4 <> 0 WHEN value = 'Quixzyvk' THEN TRUE ELSE FALSE END AS bad FROM c)
+SELECT record_id, label, CASE WHEN bad THEN '' ELSE value END AS value, CASE WHEN bad THEN 'LOW' ELSE confidence END AS confidence, CASE WHEN bad THEN 'uncorroborated' ELSE '' END AS flags,
+CASE WHEN bad THEN value ELSE '' END AS dropped FROM f""")
+def strict_blank(spark, sf_dir):
+    cells = derived(spark, sf_dir, STRICT_CELLS).withColumn("flags", F.array().cast("array<string>"))
+    out = verify.verify(cells, verify.transcript_index(derived(spark, sf_dir, STRICT_TEXTS)), fields.field_spec(spark), strict=True)
+    return out.select("record_id", "label", "value", "confidence", F.array_join("flags", ",").alias("flags"), F.coalesce("dropped", F.lit("")).alias("dropped"))
+
+
+# Correction -----------------------------------------------------------------------------------------------------
+
+FAULTY = """SELECT o_orderkey AS record_id, 'Height' AS label, concat('1 m. ', CAST(o_orderkey % 90 AS STRING), ' cent.') AS value, 'LOW' AS confidence FROM {orders}
+UNION ALL SELECT o_orderkey, 'Birth Day', CASE WHEN o_orderkey % 2 = 0 THEN '1er' ELSE CAST(day(o_orderdate) AS STRING) END, 'LOW' FROM {orders}
+UNION ALL SELECT o_orderkey, 'Prefix', CASE WHEN o_orderkey % 3 = 0 THEN '3e fils de' ELSE 'sieur' END, 'LOW' FROM {orders}
+UNION ALL SELECT o_orderkey, 'Birth Departement', CASE WHEN o_orderkey % 4 = 0 THEN 'L''Aude' ELSE 'gironde' END, 'HIGH' FROM {orders}
+UNION ALL SELECT o_orderkey, 'Birth Month', CAST(month(o_orderdate) AS STRING), 'HIGH' FROM {orders}
+UNION ALL SELECT o_orderkey, 'Regiment', concat(CAST(o_orderkey % 150 AS STRING), 'e d''Infanterie'), 'LOW' FROM {orders}"""
+MONTH_NAMES = "['janvier','février','mars','avril','mai','juin','juillet','août','septembre','octobre','novembre','décembre']"
+CORRECTED = f"""f AS ({plain(FAULTY)}), c AS (SELECT record_id, label, value AS raw, CASE label WHEN 'Height' THEN '1m ' || CAST(record_id % 90 AS VARCHAR) || 'cm'
+WHEN 'Birth Day' THEN CASE WHEN value = '1er' THEN '1' ELSE value END WHEN 'Prefix' THEN CASE WHEN value = 'sieur' THEN 'Sieur' ELSE '' END
+WHEN 'Birth Departement' THEN CASE WHEN value = 'gironde' THEN 'Gironde' ELSE '' END WHEN 'Birth Month' THEN ({MONTH_NAMES})[TRY_CAST(value AS INT)]
+ELSE CASE WHEN record_id % 150 = 1 THEN '1er Régt' ELSE CAST(record_id % 150 AS VARCHAR) || 'e Régt' END END AS value FROM f)"""
+
+
+def _corrected(spark, sf_dir):
+    return correct.correct(derived(spark, sf_dir, FAULTY), fields.field_spec(spark), fields.vocabulary(spark))
+
+
+@query(f"WITH {CORRECTED} SELECT record_id, label, raw, value, CAST(CASE WHEN raw <> value THEN 1 ELSE 0 END AS BIGINT) AS n_diffs FROM c")
+def correction_pipeline(spark, sf_dir):
+    return _corrected(spark, sf_dir).select("record_id", "label", "raw", "value", F.size("diffs").cast("long").alias("n_diffs"))
+
+
+@query(f"""WITH {CORRECTED} SELECT record_id, label, CAST(0 AS INT) AS seq, raw AS original, value AS corrected, CASE label WHEN 'Height' THEN 'height format' WHEN 'Birth Day' THEN 'day format'
+WHEN 'Prefix' THEN CASE WHEN value = '' THEN 'form numbering removed' ELSE 'case:prefix' END WHEN 'Birth Departement' THEN CASE WHEN value = '' THEN 'default department' ELSE 'case:state' END
+WHEN 'Birth Month' THEN 'snap:month' ELSE 'regiment format' END AS note FROM c WHERE raw <> value""")
+def diff_log(spark, sf_dir):
+    return correct.diff_log(_corrected(spark, sf_dir))
+
+
+# Bands ----------------------------------------------------------------------------------------------------------
+
+POSITIONS = "SELECT l_orderkey AS page, CAST(l_linenumber * 700 + (l_partkey % 9) * 10 AS BIGINT) AS y FROM {lineitem} UNION ALL SELECT l_orderkey, CAST(l_linenumber * 700 + 26 AS BIGINT) FROM {lineitem} WHERE l_partkey % 2 = 0"
+
+
+@query(f"""WITH p AS ({plain(POSITIONS)}), g AS (SELECT page, y, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) > 35 THEN 1 ELSE 0 END AS fresh FROM p),
+r AS (SELECT page, y, sum(fresh) OVER (PARTITION BY page ORDER BY y ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT page, CAST(floor(avg(y)) AS BIGINT) AS y FROM r GROUP BY page, run""")
+def gap_cluster(spark, sf_dir):
+    return bands.cluster(derived(spark, sf_dir, POSITIONS))
+
+
+PAGES = """SELECT o_orderkey AS page, CAST(o_orderkey % 50 AS BIGINT) AS top, CASE o_orderkey % 3 WHEN 0 THEN array(0L, 790L, 2370L) WHEN 1 THEN array(0L, 300L, 1090L + o_orderkey % 7, 1880L) ELSE array(0L, 100L) END AS positions FROM {orders}"""
+
+
+def _pages(spark, sf_dir):
+    return bands.fill(derived(spark, sf_dir, PAGES))
+
+
+BANDS_SQL = """b AS (SELECT o_orderkey AS page, o_orderkey % 50 AS t, o_orderkey % 3 AS m, o_orderkey % 7 AS s FROM orders),
+bands AS (SELECT page, t, m, CASE m WHEN 0 THEN [[0, 790], [790, 1580], [1580, 2370]] WHEN 1 THEN [[300, 1090 + s], [1090 + s, 1880]] ELSE [] END AS bs FROM b)"""
+
+
+@query(f"WITH {BANDS_SQL}, u AS (SELECT page, t, unnest(bs) AS x FROM bands) SELECT page, CAST(x[1] + t AS BIGINT) AS top, CAST(x[2] + t AS BIGINT) AS bottom FROM u")
+def gap_fill_bands(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page", F.explode("bands").alias("b")).select("page", "b.top", "b.bottom")
+
+
+@query(f"""WITH {BANDS_SQL}, u AS (SELECT page, t, m = 2 AS fallback, unnest(CASE WHEN m = 2 THEN [[390, 1180], [1180, 1970], [1970, 2760], [2760, 3550]] ELSE bs END) AS x FROM bands)
+SELECT page, fallback, CAST(x[1] + t AS BIGINT) AS top, CAST(x[2] + t AS BIGINT) AS bottom FROM u""")
+def band_fallback(spark, sf_dir):
+    return bands.with_fallback(_pages(spark, sf_dir)).select("page", "fallback", F.explode("bands").alias("b")).select("page", "fallback", "b.top", "b.bottom")
+
+
+# Selection, store, export ---------------------------------------------------------------------------------------
+
+IMAGES = "SELECT CASE WHEN doc_id % 3 = 0 THEN concat('page', CAST(doc_id % 40 AS STRING), '_row', CAST(doc_id AS STRING), '.png') ELSE concat('img', CAST(doc_id AS STRING), '.j2k') END AS name, doc_id FROM {documents}"
+RESULTS = f"SELECT i.name, CASE WHEN l.toxic = 1 THEN 'Coverpage' ELSE 'Military' END AS event_type, l.quality = 1 AS postprocessed, CAST(l.quality + l.toxic AS BIGINT) AS n_diffs FROM {{labels}} l JOIN ({IMAGES}) i ON i.doc_id = l.doc_id"
+
+
+def _images(spark, sf_dir):
+    return derived(spark, sf_dir, IMAGES), derived(spark, sf_dir, RESULTS)
+
+
+@query(f"SELECT name FROM ({plain(IMAGES)}) WHERE doc_id % 4 = 0 AND name IN (SELECT name FROM ({plain(RESULTS)}))")
+def select_subset(spark, sf_dir):
+    images, results = _images(spark, sf_dir)
+    names = images.where("doc_id % 4 = 0").select("name").unionByName(spark.createDataFrame([("unknown.png",)], "name string"))
+    return select.select_images(images, results, names=names, doctype="Coverpage", task="postprocess").select("name")
+
+
+@query(f"SELECT name FROM ({plain(IMAGES)}) WHERE name NOT IN (SELECT name FROM ({plain(RESULTS)}))")
+def select_unprocessed(spark, sf_dir):
+    return select.select_images(*_images(spark, sf_dir), unprocessed=True).select("name")
+
+
+@query(f"SELECT name FROM ({plain(IMAGES)}) WHERE name IN (SELECT name FROM ({plain(RESULTS)}) WHERE event_type = 'Coverpage' AND NOT postprocessed)")
+def select_doctype(spark, sf_dir):
+    return select.select_images(*_images(spark, sf_dir), doctype="Coverpage", task="postprocess", unprocessed=True).select("name")
+
+
+@query(rf"""WITH i AS (SELECT name, regexp_matches(name, '_row[0-9]+\.png$') AS is_row FROM ({plain(IMAGES)})),
+p AS (SELECT name, is_row, CASE WHEN is_row THEN regexp_replace(name, '_row[0-9]+\.png$', '') ELSE regexp_replace(name, '\.[^.]*$', '') END AS parent,
+CASE WHEN is_row THEN CAST(regexp_extract(name, '_row([0-9]+)', 1) AS INT) ELSE 0 END AS row_idx FROM i), n AS (SELECT parent, count(*) AS rows FROM p WHERE is_row GROUP BY parent)
+SELECT p.name, p.parent, row_idx, CASE WHEN is_row THEN rows ELSE 1 END AS rows, rows IS NOT NULL AND NOT is_row AS has_rows, r.name IS NOT NULL AS processed,
+coalesce(event_type, '') AS event_type, coalesce(n_diffs, 0) AS n_diffs FROM p LEFT JOIN n ON p.parent = n.parent LEFT JOIN ({plain(RESULTS)}) r ON p.name = r.name""")
+def image_listing(spark, sf_dir):
+    return select.listing(*_images(spark, sf_dir))
+
+
+@query(f"""WITH old AS (SELECT name, event_type, n_diffs FROM ({plain(RESULTS)})), new AS (SELECT name, 'Edited' AS event_type, CAST(0 AS BIGINT) AS n_diffs FROM ({plain(IMAGES)}) WHERE doc_id % 5 = 0)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE name NOT IN (SELECT name FROM new)""")
+def upsert_store(spark, sf_dir):
+    images, results = _images(spark, sf_dir)
+    new = images.where("doc_id % 5 = 0").select("name", F.lit("Edited").alias("event_type"), F.lit(0).cast("long").alias("n_diffs"))
+    return store.upsert(results.select("name", "event_type", "n_diffs"), new)
+
+
+EXPORTED = """SELECT concat('page', CAST(doc_id % 40 AS STRING), '_row', CAST(doc_id AS STRING), '.png') AS record_id, 'Event Type' AS label, CASE WHEN doc_id % 2 = 0 THEN 'Military' ELSE 'Coverpage' END AS value FROM {documents}
+UNION ALL SELECT concat('page', CAST(doc_id % 40 AS STRING), '_row', CAST(doc_id AS STRING), '.png'), 'Birth Departement', lang FROM {documents} WHERE doc_id % 3 = 0"""
+EXPORT_SQL = ", ".join(
+    {"ImageName": "'page' || CAST(doc_id % 40 AS VARCHAR)", "DocType": "e", "Event Type": "e", "Birth Département": "CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END"}.get(c, "''") + f' AS "{c}"'
+    for c in export.TEMPLATE
+)
+
+
+@query(f"SELECT {EXPORT_SQL} FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'Military' ELSE 'Coverpage' END AS e FROM documents)")
+def template_export(spark, sf_dir):
+    cells = derived(spark, sf_dir, EXPORTED)
+    return export.template(cells, cells.select(F.col("record_id").alias("name")))
+
+
+@query("SELECT label, key, vocab FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(n, k, v or "") for n, k, v in fields.FIELDS) + ") t(label, key, vocab)")
+def field_map(spark, sf_dir):
+    return export.field_map(fields.field_spec(spark))
+
+
+@query("""WITH p AS (SELECT event_id, (event_id % 100 + (event_id % 7) * 10 / 100.0) / greatest(1, 100) AS frac, CAST(event_id % 1000 AS DOUBLE) AS elapsed FROM events)
+SELECT event_id, round(CAST(frac AS DOUBLE), 6) AS frac, CASE WHEN frac > 0.02 THEN round(elapsed / frac - elapsed, 3) ELSE -1.0 END AS eta FROM p""")
+def progress_eta(spark, sf_dir):
+    frac, eta = select.progress(F.col("event_id") % 100, F.lit(100), (F.col("event_id") % 7) * 10.0, (F.col("event_id") % 1000).cast("double"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(frac, 6).alias("frac"), F.coalesce(F.round(eta, 3), F.lit(-1.0)).alias("eta"))
