@@ -10,13 +10,16 @@ exhaustively, by the share of equal minwise tokens (four bits each).  The number
 asked for at the threshold itself; more similar pairs are found with more certainty.
 
 A node stays large where many documents are alike.  There, each class is compared with up to eight leaders of the
-node; classes close to a leader are linked to it, and only the others (the rest) must still be compared with all.
-If the rest is small, or the node doesn't shrink, that is done in cells of bounded size, dealt over all tasks; else the
-node branches on.  No group is ever gathered in one task and no candidate is dropped.
+node; those close to the first leader, or to a leader that leads to it, hang together already, and only the others
+(the rest) must still be compared with all.  If the rest is small, or the node doesn't shrink, that is done in cells of
+bounded size, dealt over all tasks; else the node branches on.  No group is ever gathered in one task.
 
-Of the candidates of a large group of alike classes only links that keep it together are passed on (each class to three
-others of the smallest hashes, and every link between parts that these leave apart).  All links passed on are
-confirmed on the full sets.  Components come from large-star and small-star rounds, each written to the shared folder.
+Of the candidates of a node only links that keep together what all of them connect are passed on, with each class's
+two most similar ones and two of the smallest hashes.  They are confirmed on the full sets.  What the candidates
+connect but the confirmed links don't is then compared exactly, on full sets: every class outside the largest
+confirmed part of such a group against all of the group, again in cells of bounded size, so that no link between two
+components is missed for a candidate left out.  Components come from large-star and small-star rounds, each written to
+the shared folder.
 
 Null text and text without words have an empty set and are linked with nothing.  Rows are kept, repeated ones and null
 ids included; a null id never names a component unless no other id is in it, and is never kept.
@@ -122,33 +125,41 @@ def survival(threshold: float, depth: int) -> float:
     return q
 
 
-def thin(a: np.ndarray, b: np.ndarray, like: np.ndarray, rank: np.ndarray, sure: float) -> np.ndarray:
-    """Which of a node's candidate links to pass on: of those surely alike, each member's to the three others of the
-    smallest ranks; of the unsure ones, those between parts that the former leave apart."""
+def _roots(a: np.ndarray, b: np.ndarray, n: int, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest member of each of n members' part, links given by their ends."""
+    root = np.arange(n) if root is None else root
+    while len(a):
+        x, y = root[a], root[b]
+        on = x != y
+        if not on.any():
+            break
+        a, b, x, y = a[on], b[on], x[on], y[on]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def thin(a: np.ndarray, b: np.ndarray, like: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of a node's candidate links to pass on: each member's two most alike and its two of the smallest ranks,
+    and of the others what it takes to connect all that the candidates connect."""
+    members, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, link = ends, np.concatenate([ends[len(a) :], ends[: len(a)]]), np.tile(np.arange(len(a)), 2)
     keep = np.zeros(len(a), bool)
-    strong = np.flatnonzero(like >= sure)
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := root.get(x, x)) != x:
-            root[x] = root.get(p, p)
-            x = root[x]
-        return x
-
-    x, y = np.concatenate([a[strong], b[strong]]), np.concatenate([b[strong], a[strong]])
-    link = np.concatenate([strong, strong])
-    order = np.lexsort((rank[y], x))
-    x, link = x[order], link[order]
-    nth = np.arange(len(x)) - np.searchsorted(x, x)
-    keep[link[nth < 3]] = True
-    for i in np.flatnonzero(keep).tolist():
-        root[find(int(a[i]))] = find(int(b[i]))
-    for i in np.flatnonzero(like < sure).tolist():
-        keep[i] = find(int(a[i])) != find(int(b[i]))
+    for by in (-np.tile(like, 2), rank[members][y]):
+        order = np.lexsort((by, x))
+        nth = np.arange(len(x)) - np.searchsorted(x[order], x[order])
+        keep[link[order][nth < 2]] = True
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = _roots(x[keep], y[keep], len(members))
+    for i in np.flatnonzero(root[x] != root[y]).tolist():
+        if root[x[i]] != root[y[i]]:
+            keep[i] = True
+            root = _roots(x[i : i + 1], y[i : i + 1], len(members), root)
     return keep
 
 
-def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float, sure: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the candidate links within the runs of equal nodes; all rows of a node are given, sorted by node."""
     n = len(node)
     fresh = np.concatenate([[True], node[1:] != node[:-1]]) if n else np.zeros(0, bool)
@@ -176,8 +187,8 @@ def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float, sur
     keep = np.ones(len(a), bool)
     edges = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]])) if len(a) else np.zeros(1, int)
     for x, y in zip(edges[:-1], edges[1:]):
-        if y - x > 24:
-            keep[x:y] = thin(a[x:y], b[x:y], like[x:y], rank, sure)
+        if y - x > 6:
+            keep[x:y] = thin(a[x:y], b[x:y], like[x:y], rank)
     return a[keep], b[keep]
 
 
@@ -197,7 +208,6 @@ class NearDuplicates:
         self.missed, self.trees, self.depth = missed, trees, depth
         self.threshold = percent / 100
         self.cut = self.threshold - SLACK * math.sqrt(self.threshold * (1 - self.threshold) / PLACES)
-        self.sure = self.threshold + 0.6 * (1 - self.threshold)
 
     def _keyed(self) -> DataFrame:
         text = whole_text(self.docs)
@@ -272,12 +282,12 @@ class NearDuplicates:
         """Candidate links (a, b) of nodes of bounded size; rows have small signatures."""
         import pyarrow as pa
 
-        cut, sure = self.cut, self.sure
+        cut = self.cut
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def links(node, cid, sig):
                 rank = np.array([int.from_bytes(c[:6], "big") for c in cid], np.int64)
-                a, b = compare(node, sig, rank, cut, sure)
+                a, b = compare(node, sig, rank, cut)
                 pairs = {(cid[i], cid[j]) if cid[i] < cid[j] else (cid[j], cid[i]) for i, j in zip(a.tolist(), b.tolist()) if cid[i] != cid[j]}
                 x, y = zip(*pairs) if pairs else ((), ())
                 return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
@@ -298,10 +308,10 @@ class NearDuplicates:
         return rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary")
 
     def leaders(self, rows: DataFrame) -> DataFrame:
-        """Each row of large nodes with the links to its node's leaders, and whether one of them is surely alike."""
+        """Each row of large nodes with its links to the node's leaders, and whether it hangs together with the first."""
         import pyarrow as pa
 
-        cut, sure = self.cut, self.sure
+        cut = self.cut
         lot = F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(8))
         one = rows.groupBy("node", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64(F.lit(4), "cid").alias("h"), "cid", "sig")).alias("x"))
         some = one.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("leaders"), F.count("*").alias("n"))
@@ -311,15 +321,22 @@ class NearDuplicates:
             for b in batches:
                 sig = small_signature(_fixed(b.column("sig"), np.uint16, PLACES))
                 cid, lead = b.column("cid").to_pylist(), b.column("lead").to_pylist()
-                known: dict[tuple, np.ndarray] = {}
+                known: dict[tuple, tuple] = {}
                 links, alike = [], []
                 for i, (c, ids, sigs) in enumerate(zip(cid, lead, b.column("lead_sig").to_pylist())):
                     key = tuple(ids)
                     if key not in known:
-                        known[key] = small_signature(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, PLACES))
-                    like = likeness(known[key], sig[i])
-                    links.append([ids[j] for j in np.flatnonzero(like >= cut) if ids[j] != c])
-                    alike.append(bool((like >= sure).any()))
+                        x = small_signature(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, PLACES))
+                        m, n = np.nonzero(likeness(x[:, None], x[None, :]) >= cut)
+                        known[key] = (x, _roots(m, n, len(x)) == 0)
+                    x, main = known[key]
+                    like = likeness(x, sig[i])
+                    near = np.flatnonzero(like >= cut)
+                    if c not in key:  # a leader keeps all its links, so that the leaders hang together as they do here
+                        firsts, most = near[main[near]][:1], near[np.argsort(-like[near], kind="stable")[:1]]
+                        near = np.union1d(firsts, most)
+                    links.append([ids[j] for j in near if ids[j] != c])
+                    alike.append(bool(main[like >= cut].any()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("node"), b.column("cid"), b.column("sig"), pa.array(links, pa.list_(pa.binary())), pa.array(alike)], ["node", "cid", "sig", "links", "alike"]
                 )
@@ -382,8 +399,8 @@ class NearDuplicates:
             links = links.unionByName(more)
         return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    def confirmed(self, links: DataFrame, classes: DataFrame) -> DataFrame:
-        """The links whose full sets are similar enough."""
+    def sets(self, links: DataFrame, classes: DataFrame) -> DataFrame:
+        """cid and items, the full set, of each class that has a candidate link."""
         import pyarrow as pa
 
         words = self.words
@@ -396,12 +413,68 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
 
         texts = self._keyed().select("key", "text").join(wanted, "key").dropDuplicates(["cid"])
-        sets = written(texts.select("cid", "text").mapInArrow(run, "cid binary, items array<bigint>"), "dedup-sets")
+        return written(texts.select("cid", "text").mapInArrow(run, "cid binary, items array<bigint>"), "dedup-sets")
+
+    def confirmed(self, links: DataFrame, sets: DataFrame) -> DataFrame:
+        """The links whose full sets are similar enough."""
         one = links.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
         both = one.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
         return common.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * self.percent).select("a", "b")
 
+    def remaining(self, links: DataFrame, sure: DataFrame, sets: DataFrame, cell: int = 256) -> DataFrame:
+        """Confirmed links between the parts that confirmed links (sure) leave of what the candidates connect."""
+        import pyarrow as pa
+
+        percent = self.percent
+        named = lambda d, n: components(d.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("cid"), F.col("root").alias(n))
+        group = written(named(links, "k").join(named(sure, "g"), "cid", "left").withColumn("g", F.coalesce("g", "cid")), "dedup-parts")
+        parts = group.groupBy("k", "g").agg(F.count("*").alias("n"))
+        whole = parts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "g")).alias("main"))
+        tried = links.join(group.select(F.col("cid").alias("a"), "k"), "a").groupBy("k").agg(F.count("*").alias("tried"))
+        left = whole.where("parts > 1").join(tried, "k").where("tried < n * (n - 1) / 2")
+        left = written(left.select("k", "n", F.col("main.g").alias("main"), (F.col("n") - F.col("main.n")).alias("rest")), "dedup-left")
+        if not left.take(1):
+            return sure.limit(0)
+        zero = F.lit(0).cast("long")
+        number = lambda c: F.ceil(F.col(c) / cell).cast("long")
+        own = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "cid"), number(c))
+        both = group.join(left, "k")
+        every = both.withColumn("i", own(8, "n")).withColumn("j", F.explode(F.sequence(zero, number("rest") - 1))).withColumn("side", F.lit(0))
+        rest = both.where("g <> main").withColumn("j", own(9, "rest")).withColumn("i", F.explode(F.sequence(zero, number("n") - 1))).withColumn("side", F.lit(1))
+        rows = every.unionByName(rest).select("k", "i", "j", "side", "cid", "g").join(sets, "cid")
+
+        def run(t: pa.Table) -> pa.Table:
+            cid, g = t.column("cid").to_pylist(), t.column("g").to_pylist()
+            items = [np.asarray(x, np.int64) for x in t.column("items").combine_chunks().to_numpy(zero_copy_only=False)]
+            side = t.column("side").to_numpy()
+            all_of, some = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            out: list[tuple] = []
+            root: dict[bytes, bytes] = {}
+
+            def find(x: bytes) -> bytes:
+                while (y := root.get(x, x)) != x:
+                    x = y
+                return x
+
+            if len(all_of) and len(some):
+                flat = np.concatenate([items[i] for i in all_of])
+                sizes = np.array([len(items[i]) for i in all_of])
+                starts = np.cumsum(sizes) - sizes
+                for r in some.tolist():
+                    x = np.sort(items[r])
+                    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+                    common = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
+                    for e in np.flatnonzero(common * 100 >= percent * (sizes + len(x) - common)).tolist():
+                        p, q = find(g[r]), find(g[all_of[e]])
+                        if p != q:
+                            root[p] = q
+                            out.append((cid[r], cid[all_of[e]]))
+            a, b = zip(*out) if out else ((), ())
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+        return rows.groupBy("k", "i", "j").applyInArrow(run, "a binary, b binary")
+
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """The rows' sets, and for each class its component, links, first row (key) and whether that names the component."""
         docs = written(self.documents(), "dedup-docs")
@@ -411,26 +484,27 @@ class NearDuplicates:
         classes = full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), first.alias("first"), F.max("sig").alias("sig"))
         classes = written(classes.select("cid", "first_id", F.col("first.key").alias("key"), "sig"), "dedup-classes")
         links = written(self.candidates(classes), "dedup-candidates")
-        links = written(self.confirmed(links, classes), "dedup-links")
+        sets = self.sets(links, classes)
+        sure = written(self.confirmed(links, sets), "dedup-links")
+        links = written(sure.unionByName(self.remaining(links, sure, sets)), "dedup-all-links")
         vertex = classes.select("cid", F.struct(F.coalesce("first_id", largest).alias("id"), "cid").alias("v"))
         ends = links.join(vertex.select(F.col("cid").alias("a"), F.col("v").alias("u")), "a").join(vertex.select(F.col("cid").alias("b"), "v"), "b").select("u", "v")
         roots = components(ends).select(F.col("u.cid").alias("cid"), "root")
-        degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
-        named = classes.select("cid", "first_id", "key").join(roots, "cid", "left").join(degree, "cid", "left")
+        named = classes.select("cid", "first_id", "key").join(roots, "cid", "left")
         named = named.select(
-            "cid", "key", "n_links",
+            "cid", "key",
             F.coalesce(F.when(F.col("root.id") < largest, F.col("root.id")), "first_id").alias("component_id"),
             (F.col("root").isNull() | (F.col("root.cid") == F.col("cid"))).alias("names"),
         )
         return docs, written(named, "dedup-named")
 
     def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept and n_links (confirmed links of the row's class) of every row."""
+        """doc_id, n_shingles, component_id and kept of every row."""
         docs, named = self.groups()
         linked = docs.where(F.col("cid").isNotNull()).select("doc_id", "n_shingles", "cid").join(named, "cid")
-        out = linked.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        bare = docs.where(F.col("cid").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-        return out.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "n_links")
+        bare = docs.where(F.col("cid").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        out = linked.select("doc_id", "n_shingles", "component_id").unionByName(bare)
+        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
     def survivors(self) -> DataFrame:
         """The rows of the table, one of each group: the first of the class that names it.  Rows without words all stay."""
