@@ -18,5 +18,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_near_dup, op2_packing, op3_media, op4_secrets, op5_nearest, op6_toxicity, op7_token_files, op8_token_counts, op9_sentence_pieces, op10_language_model)}
 
 
+#: All pairs of documents by their common shingles; for small tables, as the pairs grow with the square.
+NEAR_DUP_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+'[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 80 * (u.n + v.n - c)),
+ends AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT ends.y, r.root FROM r JOIN ends ON r.doc_id = ends.x)
+SELECT n.doc_id, n.n AS n_shingles, m.root AS component_id, n.doc_id = m.root AS kept FROM n JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_near_dup": NEAR_DUP_SQL}

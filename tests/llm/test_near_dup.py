@@ -71,3 +71,16 @@ def test_survivors_keep_one_of_each_group(spark):
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     assert {r.u: r.root for r in near_dup.components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from concordia.llm.queries import oracle_sql
+    from tests.llm.corpus import SMALL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = sorted(con.execute(oracle_sql()["op1_near_dup"]).fetchall())
+    got = near_dup.op1_near_dup(spark, SMALL).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == want
