@@ -1,4 +1,4 @@
-"""Normalisers of field values, and the flags of implausible ones."""
+"""Normalisers of field values, and the flags of implausible ones.  Patterns, names of flags and limits are fixed values."""
 
 from __future__ import annotations
 

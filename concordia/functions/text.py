@@ -83,6 +83,7 @@ def line_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), f"{SPACE}+", " ")
 
 
+#: Fixed value: a line that says nothing but what couldn't be read.
 FILLER = r"\A(?:\[\?\]|le|la|au|à|du|de|et|,|\.|…|-|\s)*\z"
 
 
@@ -92,7 +93,7 @@ def collapse_lines(c: Column) -> Column:
     Both rules look one raw line back: a line dropped as a repeat has the key of the line before it, and a line dropped
     as filler holds a gap like the one kept before it.
     """
-    lines = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+    lines = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
     # A last line end opens no line.
     lines = F.when((F.size(lines) > 0) & (F.element_at(lines, -1) == ""), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     both = F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
@@ -112,7 +113,7 @@ def cut_phrase_loops(c: Column) -> Column:
 
 
 def clean_transcript(c: Column) -> Column:
-    """A reader's transcript without sentinels, code fences and runaway repetition."""
+    """A reader's transcript without sentinels, code fences and runaway repetition; the patterns are fixed values."""
     t = F.regexp_replace(c, "</?start_of_image>|</?end_of_image>", "")
     t = F.regexp_replace(t, "(?md)^```.*?$", "")
     t = F.array_join(collapse_lines(t), "\n")

@@ -44,7 +44,7 @@ def snap(cells: DataFrame, vocab: DataFrame, least: float = 85.0) -> DataFrame:
 def build_dictionary(sources: DataFrame, gloss_keys: tuple[str, ...] = ("hair", "eye")) -> DataFrame:
     """dictkey, value, norm, block, norm_len, ord from (dictkey, value, src, ord): blanks and glosses go, of equal folded
     values the first spelling stays."""
-    v = strip(F.regexp_replace("value", " ", " "))
+    v = strip(F.translate("value", "\u00a0", " "))
     rows = sources.withColumn("value", v).where(F.col("value").isNotNull() & ~F.col("value").isin("", "."))
     rows = rows.where(~(F.col("dictkey").isin(*gloss_keys) & F.col("value").rlike(r"(?i),|\bor\b"))).withColumn("norm", fold(F.col("value"))).where("norm <> ''")
     first = rows.groupBy("dictkey", "norm").agg(F.min(F.struct("src", "ord", "value")).alias("f"))
