@@ -234,6 +234,7 @@ class NearDuplicates:
                         [b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())],
                         ["doc_id", "key", "n_shingles", "cid", "sig"],
                     )
+            _WORDS.clear()  # the worker goes on to other operators, which have caches of their own
 
         return self._keyed().mapInArrow(run, "doc_id long, key long, n_shingles long, cid binary, sig binary")
 
@@ -411,6 +412,7 @@ class NearDuplicates:
             for b in batches:
                 sets = [shingles(t, words).view(np.int64) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
+            _WORDS.clear()
 
         texts = self._keyed().select("key", "text").join(wanted, "key").dropDuplicates(["cid"])
         return written(texts.select("cid", "text").mapInArrow(run, "cid binary, items array<bigint>"), "dedup-sets")
