@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ def _fold_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
     return "".join(one_from), "".join(one_to), "".join(gone), tuple(many)
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the column, which is named once however often f uses it: chains of such steps grow by sums, not products."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+\z|\A{SPACE[4:]}+", "")
 

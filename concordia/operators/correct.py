@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.functions.normalise import day, department, height, ordinal, regiment
-from concordia.functions.text import strip
+from concordia.functions.text import let, strip
 from concordia.operators.fields import AFFIXES, CLOSED, DAYS, DICTIONARY_OF
 from concordia.operators.vocabulary import best_match, contained, snap
 
@@ -23,15 +23,17 @@ RULES_LAST = (("regiment format", regiment, ("Regiment",)),)
 
 def apply_rule(cells: DataFrame, note: str, rule: Callable[[Column], Column], labels: tuple[str, ...]) -> DataFrame:
     """cells with the rule applied to those labels' values, and the change appended to diffs."""
-    made = F.when(F.col("label").isin(*labels) & (F.col("value") != ""), rule(F.col("value"))).otherwise(F.col("value"))
+    own = F.col("label").isin(*labels)
+    made = let(F.col("value"), lambda v: F.when(own & (v != ""), rule(v)).otherwise(v))
     return logged(cells.withColumn("__new", made), F.lit(note))
 
 
 def logged(cells: DataFrame, note: Column, original: Column | None = None) -> DataFrame:
     """value becomes __new; a change is appended to diffs."""
-    diff = F.struct((F.col("value") if original is None else original).alias("original"), F.col("__new").alias("corrected"), note.alias("note"))
-    changed = F.col("__new") != F.col("value")
-    return cells.withColumn("diffs", F.when(changed, F.concat("diffs", F.array(diff))).otherwise(F.col("diffs"))).withColumn("value", F.col("__new")).drop("__new")
+    before = F.col("value") if original is None else original
+    diff = F.struct(F.col("value").alias("was"), before.alias("original"), F.col("__new").alias("corrected"), note.alias("note"))
+    changes = F.transform(F.filter(F.array(diff), lambda x: x["was"] != x["corrected"]), lambda x: F.struct(x["original"], x["corrected"], x["note"]))
+    return cells.withColumn("diffs", F.concat("diffs", changes)).withColumn("value", F.col("__new")).drop("__new")
 
 
 def with_log(cells: DataFrame) -> DataFrame:
@@ -47,8 +49,9 @@ def dictionary_layer(cells: DataFrame, dictionary: DataFrame, spec: DataFrame, g
     near = near.select("dictkey", F.col("v").alias("value"), F.col("match").alias("__near"), F.col("score").alias("__score"))
     one = contained(c.where(closed).select("dictkey", F.col("value").alias("v")).distinct(), dictionary.where(F.col("dictkey").isin(*CLOSED)))
     one = one.select("dictkey", F.col("v").alias("value"), F.col("match").alias("__one"))
-    c = c.join(near, ["dictkey", "value"], "left").join(one, ["dictkey", "value"], "left")
-    new = F.when(open_, F.coalesce("__near", "value")).when(closed, F.coalesce("__one", "value")).otherwise(F.col("value"))
+    c = c.withColumn("__open", open_).join(near, ["dictkey", "value"], "left").join(one, ["dictkey", "value"], "left")
+    c = c.withColumn("__near", F.when(F.col("__open"), F.col("__near"))).drop("__open")
+    new = F.coalesce("__near", "__one", "value")
     score = F.when(closed, F.lit(100)).otherwise(F.round("__score").cast("int"))
     note = F.concat(F.lit("dict:"), F.coalesce("dictkey", F.lit("")), F.lit("("), F.coalesce(score, F.lit(0)).cast("string"), F.lit(")"))
     return logged(c.withColumn("__new", new), note).drop("dictkey", "__near", "__score", "__one")
@@ -57,11 +60,11 @@ def dictionary_layer(cells: DataFrame, dictionary: DataFrame, spec: DataFrame, g
 def vocabulary_layer(cells: DataFrame, vocab: DataFrame, spec: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     """Values of fields that have a small vocabulary, those of skip left alone; the log's original is the raw value."""
     c = cells.join(F.broadcast(spec.select("label", "vocab")), "label", "left")
-    use = F.col("vocab").isNotNull() & ~F.col("vocab").isin("day", "year") & ~F.col("label").isin(*skip) & (strip(F.col("value")) != "")
-    use = F.coalesce(use, F.lit(False))
+    skipped = F.col("label").isin(*skip) if skip else F.lit(False)
+    use = F.col("vocab").isNotNull() & ~F.col("vocab").isin("day", "year") & ~skipped & (strip(F.col("value")) != "")
     asked = c.where(use).select("vocab", "value").distinct()
     made = snap(asked.withColumn("asked", F.col("value")), vocab).select("vocab", F.col("asked").alias("value"), F.col("value").alias("__to"), "note")
-    c = c.join(made, ["vocab", "value"], "left").withColumn("__new", F.when(use, F.coalesce("__to", "value")).otherwise(F.col("value")))
+    c = c.join(made, ["vocab", "value"], "left").withColumn("__new", F.coalesce(F.when(skipped, F.lit(None)).otherwise(F.col("__to")), "value"))
     return logged(c, F.coalesce("note", F.lit("")), F.col("raw")).drop("vocab", "__to", "note")
 
 
@@ -80,7 +83,7 @@ def correct(
     c = vocabulary_layer(c, vocab, spec, tuple(DICTIONARY_OF) if dictionary is not None else ())
     if speller is not None:
         c = c.join(speller(c), ["record_id", "label"], "left")
-        new = F.when((F.col("value") != "") & (F.coalesce("spelt", F.lit("")) != ""), F.col("spelt")).otherwise(F.col("value"))
+        new = let(F.struct("value", "spelt"), lambda x: F.when((x["value"] != "") & (F.coalesce(x["spelt"], F.lit("")) != ""), x["spelt"]).otherwise(x["value"]))
         c = logged(c.withColumn("__new", new), F.lit("spelling")).drop("spelt")
     for note, rule, labels in RULES_LAST:
         c = apply_rule(c, note, rule, labels)

@@ -40,7 +40,7 @@ def post_phase(
     typed = F.when(rows, F.lit("Military")).when(F.coalesce("doctype", F.lit("")) != "", F.col("doctype"))
     gold = gold.withColumn("source", F.when(event & typed.isNotNull(), F.when(rows, "row-split").otherwise("structure")).otherwise(F.col("source")))
     gold = gold.withColumn("confidence", F.when(event & typed.isNotNull(), F.when(rows, "HIGH").otherwise(F.col("doctype_confidence"))).otherwise(F.col("confidence")))
-    gold = gold.withColumn("value", F.when(event, F.coalesce(typed, "value")).otherwise(F.col("value"))).drop("doctype", "doctype_confidence")
+    gold = gold.withColumn("value", F.coalesce(F.when(event, typed), "value")).drop("doctype", "doctype_confidence")
     gold = verify.verify(gold, verify.transcript_index(transcripts), spec, settings.strict)
     if settings.third_reader and third is not None:
         keep = gold.select("record_id", "label", "raw", "diffs", "dropped")
