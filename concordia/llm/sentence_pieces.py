@@ -17,7 +17,6 @@ Rows are kept as they are, repeated ones and null ids included.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +27,6 @@ from concordia.llm.common import table, tokenizer_path, whole_text
 from concordia.llm.pretokens import ChunkCache, slices
 
 MARK = "▁"
-RUNS = re.compile("▁▁")
 UNIGRAM, BPE = 1, 2
 
 
@@ -56,10 +54,13 @@ class Pieces:
         if any(p.type not in (kinds.NORMAL, kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN) for p in proto.pieces) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that cross words or are set by hand aren't read")
         self.longest = max(map(len, self.ids), default=1)
-        #: By the last two characters of a prefix, the length of the longest piece that can end it.
-        self.reach: dict[str, int] = {}
+        #: By the last three characters of a prefix (fewer where no piece ends so), the lengths of pieces that can end it, longest first.
+        self.lengths: dict[str, tuple[int, ...]] = {}
         for p in self.ids:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+            self.lengths[p[-3:]] = (*self.lengths.get(p[-3:], ()), len(p))
+        for end, sizes in self.lengths.items():
+            self.lengths[end] = tuple(sorted({*sizes, *(n for n in range(1, len(end)) if end[-n:] in self.ids)}, reverse=True))
+        self.plain = set(self.ids.values())
         self.bad_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self._apart: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
@@ -117,8 +118,9 @@ class Pieces:
         scores, lasts, starts = [0.0], [-1], [0]  # of each prefix: score, last piece, where that starts
         path = ""
         merges = self.kind == BPE
-        for w, n in sorted((w, n) for n, w in enumerate(words)):
-            if merges and RUNS.search(w):
+        for n in sorted(range(len(words)), key=words.__getitem__):
+            w = words[n]
+            if merges and "▁▁" in w:
                 out[n] = array("I", [i for p in self.merged(w) for i in self._plain(p)])
                 continue
             shared = 0
@@ -141,13 +143,14 @@ class Pieces:
         return out
 
     def _merge_steps(self, w: str, lasts: list[int], starts: list[int]) -> None:
-        get, reach, known, apart = self.ids.get, self.reach.get, self._apart, self.apart
+        get, lengths, known, apart, alone = self.ids.get, self.lengths.get, self._apart, self.apart, self._alone.get
         for i in range(len(lasts), len(w) + 1):
             last, start = -ord(w[i - 1]), i - 1
-            for j in range(max(0, i - reach(w[i - 2 : i] if i > 1 else w[:1], 1)), i):
-                if (piece := get(w[j:i])) is not None:
+            for n in lengths(w[i - 3 : i] if i > 2 else w[:i]) or lengths(w[max(0, i - 2) : i]) or lengths(w[start]) or ():
+                if (j := i - n) >= 0 and (piece := get(w[j:i])) is not None:
                     if not j:
-                        ok = self.alone(piece)
+                        if (ok := alone(piece)) is None:
+                            ok = self.alone(piece)
                     elif (ok := known.get((lasts[j], piece))) is None:
                         ok = apart(lasts[j], piece)
                     if ok:
@@ -177,6 +180,9 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids: bytes joined, marks as blanks, without the blank that the encoding put first."""
+        if self.plain.issuperset(ids):
+            text = "".join(map(self.text.__getitem__, ids))
+            return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -201,7 +207,7 @@ def loaded(path: str) -> tuple[Pieces, ChunkCache]:
     """This worker's model, and its cache of chunks."""
     if path not in _LOADED:
         model = Pieces(path)
-        _LOADED[path] = (model, ChunkCache(lambda s: model.segment([x.replace(" ", MARK) for x in s]), limit=400_000))
+        _LOADED[path] = (model, ChunkCache(lambda s: [x.tobytes() for x in model.segment([x.replace(" ", MARK) for x in s])], limit=400_000))
     return _LOADED[path]
 
 
@@ -209,11 +215,10 @@ def encode_texts(path: str, texts: list[str]) -> Iterator[array]:
     """Ids of each whole text."""
     _, cache = loaded(path)
     marked = [" " + t.replace(MARK, " ") if t else "" for t in texts]  # a mark in a text is a blank to the model
-    for a, b in slices(marked):
+    for a, b in slices(marked, 6_000_000):
         for parts in cache.batch(marked[a:b]):
             out = array("I")
-            for p in parts:
-                out += p
+            out.frombytes(b"".join(parts))
             yield out
 
 
@@ -225,8 +230,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
+            for at in range(0, len(whole), 2000):
+                b = whole.slice(at, 2000)
                 ids = [memoryview(x) for x in encode_texts(path, b.column("text").to_pylist())]
                 ends = [0]
                 for x in ids:
