@@ -48,9 +48,15 @@ class Pieces:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
         self.scores = [p.score for p in proto.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {i for i, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
+        #: What each id adds to a decoded text.
+        self.raw = [p.piece.encode() for p in proto.pieces]
+        for i in self.silent:
+            self.raw[i] = b""
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
+        self.raw[self.unknown] = " ⁇ ".encode()
         if any(p.type not in (kinds.NORMAL, kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN) for p in proto.pieces) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that cross words or are set by hand aren't read")
         self.longest = max(map(len, self.ids), default=1)
@@ -60,7 +66,6 @@ class Pieces:
             self.lengths[p[-3:]] = (*self.lengths.get(p[-3:], ()), len(p))
         for end, sizes in self.lengths.items():
             self.lengths[end] = tuple(sorted({*sizes, *(n for n in range(1, len(end)) if end[-n:] in self.ids)}, reverse=True))
-        self.plain = set(self.ids.values())
         self.bad_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self._apart: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
@@ -180,23 +185,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids: bytes joined, marks as blanks, without the blank that the encoding put first."""
-        if self.plain.issuperset(ids):
-            text = "".join(map(self.text.__getitem__, ids))
-            return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held.clear()
-            if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else self.text[i])
-        if held:
-            out.append(held.decode(errors="replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
 
 
