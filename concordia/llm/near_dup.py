@@ -49,7 +49,7 @@ class _WordHashes(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
-            if len(self) >= 1_000_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h

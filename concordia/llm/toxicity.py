@@ -69,7 +69,7 @@ class Classifier:
     def scores(self, texts: list[str]) -> np.ndarray:
         wanted = self.weights != 0
         out = np.full(len(texts), self.bias)
-        for a, b in slices(texts):
+        for a, b in slices(texts, 500_000):
             owner, f, value = present(texts[a:b], wanted)
             out[a:b] += np.bincount(owner, self.weights[f] * value, b - a)
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: in
         df, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for b in batches:
             texts, y = b.column("text").to_pylist(), b.column("__toxic").to_numpy().astype(np.int64)
-            for a, z in slices(texts):
+            for a, z in slices(texts, 500_000):
                 owner, f, _ = present(texts[a:z])
                 for k in (0, 1):
                     df[k] += np.bincount(f[y[a:z][owner] == k], minlength=1 << BITS).astype(np.int32)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: in
         for b in batches:
             texts = b.column("text").to_pylist()
             out = []
-            for a, z in slices(texts):
+            for a, z in slices(texts, 500_000):
                 owner, f, value = present(texts[a:z], wanted)
                 ends = np.searchsorted(owner, np.arange(1, z - a))
                 out += [(x.astype("<u4").tobytes(), v.astype("<f4").tobytes()) for x, v in zip(np.split(f, ends), np.split(value, ends))]
