@@ -4,7 +4,9 @@ A codebook of 16 centroids for each subspace is fitted on a bounded sample of th
 the residual that is parallel to the vector more than the rest, as it changes large inner products most; both the
 codes and the centroids are updated under that loss.  Every vector is encoded, four bits a subspace.  A query's inner
 products with the centroids make a table for each subspace; the sums of table entries over the codes rank all
-vectors, and the best of each block are scored again exactly, on the original vectors in double precision.
+vectors, and the best of each block are scored again exactly, on the original vectors in double precision.  That gives
+a floor for the k-th score.  By the norms of a vector's residuals an approximate score is off by no more than a bound;
+whatever can reach the floor with it is scored exactly too, however many that are, so the result is exact.
 
 Queries and vectors are cut into blocks by a hash, and each pair of blocks is one task's work: a stated query set
 against all rows.  Equal vectors of a block share one entry in the scan; as many of their smallest ids as can be
@@ -66,6 +68,22 @@ class Quantiser:
         q = self.padded(q.astype(np.float32)).reshape(len(q), self.books.shape[0], self.width)
         return np.einsum("qmd,mcd->qmc", q, self.books)
 
+    def doubts(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each vector and subspace how far a unit query's part can move the score off the table's: the residual's
+        norm, and the rounding of sums in single precision."""
+        m, d = self.books.shape[0], self.width
+        x = self.padded(x.astype(np.float64)).reshape(len(x), m, d)
+        rounding = (m + d + 8) * np.finfo(np.float32).eps
+        out = np.empty((len(x), m), np.float32)
+        for j in range(m):
+            made = self.books[j].astype(np.float64)[codes[:, j]]
+            out[:, j] = (np.linalg.norm(x[:, j] - made, axis=1) + rounding * np.linalg.norm(made, axis=1)) * (1 + rounding)
+        return out
+
+    def part_norms(self, q: np.ndarray) -> np.ndarray:
+        """Norms of each query's parts."""
+        return np.linalg.norm(self.padded(q).reshape(len(q), self.books.shape[0], self.width), axis=2).astype(np.float32)
+
 
 def fit(sample: np.ndarray, subspaces: int = 32, threshold: float = 0.2, rounds: int = 6, seed: int = 5) -> Quantiser:
     """Alternates codes and centroids under the anisotropic loss; threshold is the share of a vector's norm from which
@@ -108,6 +126,11 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.sort(np.concatenate([above, np.flatnonzero(scores == edge)[: k - len(above)]]))
 
 
+def least_of(scores: np.ndarray, k: int) -> float:
+    """The k-th largest; that of fewer is no limit."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+
 def search_block(q: Quantiser, query_ids, queries, ids, vectors, k: int, rerank: int) -> Iterator[tuple]:
     """(query_id, vec_id, score) of the k best of the block for each query."""
     order = np.argsort(ids, kind="stable")
@@ -122,15 +145,21 @@ def search_block(q: Quantiser, query_ids, queries, ids, vectors, k: int, rerank:
     entries = vectors[first[by]]
     codes = q.encode(entries)
     exact = entries.astype(np.float64)
+    doubts = np.ascontiguousarray(q.doubts(entries, codes).T)
+    longest = np.linalg.norm(exact, axis=1).max()
     for a in range(0, len(queries), 256):
         part = queries[a : a + 256].astype(np.float64)
         tables = q.tables(part)
         approx = np.zeros((len(part), len(entries)), np.float32)
         for j in range(codes.shape[1]):
             approx += tables[:, j][:, codes[:, j]]
+        most = approx + q.part_norms(part) @ doubts
         for i, v in enumerate(part):
-            own = best(approx[i], rerank)
-            s = exact[own] @ v
+            floor = least_of(exact[best(approx[i], max(rerank, k + 1))] @ v, k + 1)  # one more, as the query may be among them
+            own = np.flatnonzero(~(most[i] < floor))
+            s = exact[own] @ v if 4 * len(own) < len(exact) else (exact @ v)[own]
+            own = own[~(s < least_of(s, k + 1) - 1e-12 * longest * np.linalg.norm(v))]
+            s = (exact[own] * v).sum(1)  # the same for equal vectors, in whatever block
             got = [(query_ids[a + i], ids[p], x) for e, x in zip(own, s) for p in spread[starts[e] : min(starts[e + 1], starts[e] + k + 1)] if ids[p] != query_ids[a + i]]
             got.sort(key=lambda r: (-r[2], r[1]))
             yield from got[:k]

@@ -60,3 +60,18 @@ def test_parallel_residuals_shrink():
         return (((x - made) * unit).sum(1) ** 2).mean()
 
     assert along(aware) < 0.7 * along(plain)
+
+
+def test_full_block_with_near_copies():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    x[1::3] = x[1] + rng.normal(scale=0.01, size=x[1::3].shape)
+    ids = np.arange(len(x))
+    asked = np.arange(0, len(x), 100)  # a third of them among the near copies
+    got = {}
+    for i, j, _ in nearest.search_block(nearest.fit(x[:4000], rounds=2), asked, x[asked], ids, x, 20, 400):
+        got.setdefault(i, []).append(j)
+    for i in asked:
+        s = x.astype(float) @ x[i].astype(float)
+        s[i] = -np.inf
+        assert got[i] == np.lexsort((ids, -s))[:20].tolist()
