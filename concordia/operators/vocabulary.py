@@ -19,19 +19,19 @@ def exact_snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
     return cells.withColumn("norm", fold(F.col("value"))).join(F.broadcast(known), ["vocab", "norm"], "left").drop("norm")
 
 
-def fuzzy_snap(cells: DataFrame, vocab: DataFrame, least: float = 85.0) -> DataFrame:
-    """The canonical form of the most similar variant from that score on; vocabularies are of fixed size."""
+def fuzzy_snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The canonical form of the most similar variant from the vocabulary's least score on; vocabularies are of fixed size."""
     distinct = cells.where(strip(F.col("value")) != "").select("vocab", "value").distinct().withColumn("n", fold(F.col("value")))
-    pairs = distinct.join(F.broadcast(vocab.select("vocab", "canonical", "norm", "ord")), "vocab")
-    best = pairs.withColumn("score", composite_ratio(F.col("n"), F.col("norm"))).where(F.col("score") >= least)
+    pairs = distinct.join(F.broadcast(vocab.select("vocab", "canonical", "norm", "ord", "least")), "vocab")
+    best = pairs.withColumn("score", composite_ratio(F.col("n"), F.col("norm"))).where(F.col("score") >= F.col("least"))
     best = best.groupBy("vocab", "value").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", -F.col("ord"))).alias("m"))
     return cells.join(best, ["vocab", "value"], "left").withColumn("canonical", F.col("m.canonical")).withColumn("score", F.col("m.score")).drop("m")
 
 
-def snap(cells: DataFrame, vocab: DataFrame, least: float = 85.0) -> DataFrame:
+def snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
     """cells with snapped value and note: exact variants first, the rest by similarity."""
     exact = exact_snap(cells, vocab)
-    near = fuzzy_snap(exact.where("canonical IS NULL").drop("canonical"), vocab, least)
+    near = fuzzy_snap(exact.where("canonical IS NULL").drop("canonical"), vocab)
     done = exact.where("canonical IS NOT NULL").withColumn("score", F.lit(100.0))
     both = done.unionByName(near)
     canonical = F.col("canonical")
