@@ -365,11 +365,14 @@ class NearDuplicates:
 
         return rows.select("node", "cid", "sig").mapInArrow(run, "node long, cid binary, sig binary")
 
+    def shape(self, count: int) -> tuple[int, int]:
+        """Depth and number of trees for so many classes; a pair must survive to the deepest level if its nodes are large."""
+        depth = self.depth or max(2, round(math.log2(max(count, 2)) / 6))
+        return depth, self.trees or math.ceil(math.log(self.missed) / math.log(1 - survival(self.threshold, depth + self.deeper)))
+
     def candidates(self, classes: DataFrame) -> DataFrame:
         """Distinct candidate links between classes."""
-        count = classes.count()
-        depth = self.depth or max(2, round(math.log2(max(count, 2)) / 6))
-        trees = self.trees or math.ceil(math.log(self.missed) / math.log(1 - survival(self.threshold, depth)))
+        depth, trees = self.shape(classes.count())
         sizes = lambda rows: written(rows.groupBy("node").count().where(F.col("count") > self.limit), "dedup-large")
         large = sizes(self.nodes(classes, depth, trees, False).select("node"))
         some = bool(large.take(1))

@@ -61,6 +61,14 @@ def test_large_groups_of_alike_documents(spark):
     check(documents(spark, texts), limit=20, deeper=1, depth=1)
 
 
+def test_trees_suffice_at_the_deepest_level(spark):
+    """A pair at the threshold is missed by no more than the stated chance where its nodes are large at every level."""
+    n = near_dup.NearDuplicates(documents(spark), 2, 80)
+    for count in (2, 50_000, 10**9):
+        depth, trees = n.shape(count)
+        assert (1 - near_dup.survival(0.8, depth + n.deeper)) ** trees <= n.missed
+
+
 def test_survivors_keep_one_of_each_group(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f", "A b c d e f", "", "", "other words entirely here now ok"], [7, 3, None, 5, 5, None])
     out = near_dup.drop_near_duplicates(df).collect()
