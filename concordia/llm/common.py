@@ -20,8 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts are of any length, so a batch is bounded by its bytes; a batch stands several times in a worker and beside the JVM's heap.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where the driver alone has it on its path."""
+    """Let Python workers import this package, also where the driver alone has it on its path; bound Arrow batches."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) in ("67108864b", "64m", str(64 << 20)):  # as Spark has it, so nobody chose it
+        spark.conf.set(bound, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     have = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if root in have or os.path.abspath(os.getcwd()) == root or getattr(spark.sparkContext, "_concordia_shipped", False):
@@ -55,7 +62,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*superseded: DataFrame) -> None:
+    """Deletes the files of tables that written() made, once what was derived from them is written itself."""
+    for df in superseded:
+        if path := getattr(df, "_written_at", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def free_name(taken, name: str) -> str:
+    """A column name like this one that none of the taken ones equals, upper case or lower."""
+    held = {c.lower() for c in taken}
+    name = f"__{name}"
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

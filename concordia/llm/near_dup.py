@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import table, whole_text, written
+from concordia.llm.common import forget, free_name, table, whole_text, written
 
 PLACES = 128
 #: Candidates have at least this share of equal minwise tokens less than the threshold, in standard deviations.
@@ -159,18 +159,72 @@ def thin(a: np.ndarray, b: np.ndarray, like: np.ndarray, rank: np.ndarray) -> np
     return keep
 
 
-def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the candidate links within the runs of equal nodes; all rows of a node are given, sorted by node."""
+def thin_dense(same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """As thin, from a node's table of equal minwise tokens (a byte a pair); its rows are in the order of their ranks."""
+    n = len(same)
+    np.fill_diagonal(same, 0)
+    ok = same >= least
+    row, ends = np.flatnonzero(ok.any(1)), []
+    for table in (same, ok):  # the first largest entry of a row: its most alike, or its first in rank
+        first = table[row].argmax(1)
+        rest = table[row]
+        rest[np.arange(len(row)), first] = 0
+        second = rest.argmax(1)
+        held = ok[row, second] & (rest[np.arange(len(row)), second] > 0)
+        ends += [(row, first), (row[held], second[held])]
+        del rest
+    x, y = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+    root = _roots(x, y, n)
+    while True:  # a link out of each part that has one, until no candidate joins two parts
+        out = ok & (root[:, None] != root[None, :])
+        row = np.flatnonzero(out.any(1))
+        if not len(row):
+            break
+        row = row[np.unique(root[row], return_index=True)[1]]
+        far = out[row].argmax(1)
+        x, y = np.concatenate([x, row]), np.concatenate([y, far])
+        root = _roots(row, far, n, root)
+    pairs = np.unique(np.minimum(x, y) * n + np.maximum(x, y))
+    return pairs // n, pairs % n
+
+
+def equal_tokens(sig: np.ndarray) -> np.ndarray:
+    """For each pair of rows how many minwise tokens look equal, a byte each; in strips, so that little more is held."""
+    n = len(sig)
+    same = np.empty((n, n), np.uint8)
+    strip = max(1, (1 << 22) // max(1, sig.size))
+    for a in range(0, n, strip):
+        part = NIBBLES[sig[a : a + strip, None] ^ sig[None, a:]].sum(-1, dtype=np.uint8)
+        same[a : a + strip, a:] = part
+        same[a:, a : a + strip] = part.T
+    return same
+
+
+def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the candidate links within the runs of equal nodes; all rows of a node are given, sorted by node.
+
+    Nodes of up to `small` rows are compared together; a larger one alone, by tables of a byte for each pair of its rows,
+    and its links are thinned before the next one's are made.
+    """
     n = len(node)
-    fresh = np.concatenate([[True], node[1:] != node[:-1]]) if n else np.zeros(0, bool)
-    starts = np.flatnonzero(fresh)
+    if not n:
+        return np.zeros(0, int), np.zeros(0, int)
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     ends = np.append(starts[1:], n)
-    left = np.repeat(ends, ends - starts) - np.arange(n) if n else np.zeros(0, int)
+    sizes = ends - starts
     firsts, seconds, likes = [], [], []
+    large_a, large_b = [], []
+    least = math.ceil(PLACES * (1 / 16 + cut * 15 / 16) - 1e-9)  # the cut as a count of equal tokens
+    for x, y in zip(starts[sizes > small].tolist(), ends[sizes > small].tolist()):
+        order = x + np.argsort(rank[x:y], kind="stable")
+        a, b = thin_dense(equal_tokens(sig[order]), least)
+        large_a.append(order[a])
+        large_b.append(order[b])
+    left = np.repeat(np.where(sizes > small, starts, ends), sizes) - np.arange(n)
     at, s = np.flatnonzero(left > 1), 1
     while len(at):
-        for c in range(0, len(at), 1 << 16):
-            i = at[c : c + (1 << 16)]
+        for c in range(0, len(at), 1 << 14):
+            i = at[c : c + (1 << 14)]
             like = likeness(sig[i], sig[i + s])
             ok = like >= cut
             firsts.append(i[ok])
@@ -178,9 +232,7 @@ def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float) ->
             likes.append(like[ok])
         s += 1
         at = at[left[at] > s]
-    if not firsts:
-        return np.zeros(0, int), np.zeros(0, int)
-    a, b, like = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(likes)
+    a, b, like = (np.concatenate(z) if z else np.zeros(0, int) for z in (firsts, seconds, likes))
     run = np.searchsorted(starts, a, "right") - 1
     order = np.argsort(run, kind="stable")
     a, b, like, run = a[order], b[order], like[order], run[order]
@@ -189,7 +241,7 @@ def compare(node: np.ndarray, sig: np.ndarray, rank: np.ndarray, cut: float) ->
     for x, y in zip(edges[:-1], edges[1:]):
         if y - x > 6:
             keep[x:y] = thin(a[x:y], b[x:y], like[x:y], rank)
-    return a[keep], b[keep]
+    return np.concatenate([a[keep], *large_a]), np.concatenate([b[keep], *large_b])
 
 
 def _fixed(column, kind, width: int) -> np.ndarray:
@@ -211,7 +263,7 @@ class NearDuplicates:
 
     def _keyed(self) -> DataFrame:
         text = whole_text(self.docs)
-        return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
+        return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_key(F.col("doc_id").cast("long"), text).alias("key"))
 
     def documents(self) -> DataFrame:
         """doc_id, key, size of the set, its hash (cid) and its minwise tokens, of every row."""
@@ -236,7 +288,7 @@ class NearDuplicates:
                     )
             _WORDS.clear()  # the worker goes on to other operators, which have caches of their own
 
-        return self._keyed().mapInArrow(run, "doc_id long, key long, n_shingles long, cid binary, sig binary")
+        return self._keyed().mapInArrow(run, "doc_id long, key binary, n_shingles long, cid binary, sig binary")
 
     def nodes(self, classes: DataFrame, depth: int, trees: int, full: bool) -> DataFrame:
         """A row for each node of that depth and class in it; full: with all minwise tokens, else with the small ones."""
@@ -264,6 +316,26 @@ class NearDuplicates:
 
         return classes.select("cid", "sig").mapInArrow(run, "node long, cid binary, sig binary")
 
+    def node_sizes(self, classes: DataFrame, depth: int, trees: int) -> DataFrame:
+        """node and count of the nodes of more than limit classes; a task adds up before it sends."""
+        import pyarrow as pa
+
+        share = 1 / self.threshold - 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), 2000):
+                    sig = _fixed(whole.slice(at, 2000).column("sig"), np.uint16, PLACES)
+                    for t in range(trees):
+                        row, node = np.arange(len(sig)), np.full(len(sig), 0x5851F42D4C957F2D * (t + 1) % 2**64, np.uint64)
+                        for _ in range(depth):
+                            node, row = branch(node, row, sig, share)
+                        found, n = np.unique(node, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["node", "n"])
+
+        sizes = classes.select("sig").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("count"))
+        return written(sizes.where(F.col("count") > self.limit), "dedup-large")
+
     def children(self, rows: DataFrame) -> DataFrame:
         """The rows of nodes, with all minwise tokens, one level down."""
         import pyarrow as pa
@@ -301,7 +373,7 @@ class NearDuplicates:
                 whole = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on
                 if whole:
                     yield links(node[:whole], cid[:whole], sig[:whole])
-                    node, cid, sig = node[whole:], cid[whole:], sig[whole:]
+                    node, cid, sig = node[whole:].copy(), cid[whole:], sig[whole:].copy()
             if len(node):
                 yield links(node, cid, sig)
 
@@ -374,7 +446,7 @@ class NearDuplicates:
         """Distinct candidate links between classes."""
         depth, trees = self.shape(classes.count())
         sizes = lambda rows: written(rows.groupBy("node").count().where(F.col("count") > self.limit), "dedup-large")
-        large = sizes(self.nodes(classes, depth, trees, False).select("node"))
+        large = self.node_sizes(classes, depth, trees)
         some = bool(large.take(1))
         rows = self.nodes(classes, depth, trees, False)
         compared = [rows.join(large, "node", "left_anti") if some else rows]
@@ -412,9 +484,11 @@ class NearDuplicates:
         wanted = classes.join(members, "cid", "left_semi").select("key", "cid")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = [shingles(t, words).view(np.int64) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
+            for whole in batches:
+                for at in range(0, len(whole), 200):
+                    b = whole.slice(at, 200)
+                    sets = [shingles(t, words).view(np.int64) for t in b.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
             _WORDS.clear()
 
         texts = self._keyed().select("key", "text").join(wanted, "key").dropDuplicates(["cid"])
@@ -462,19 +536,20 @@ class NearDuplicates:
                     x = y
                 return x
 
-            if len(all_of) and len(some):
-                flat = np.concatenate([items[i] for i in all_of])
-                sizes = np.array([len(items[i]) for i in all_of])
+            ends = np.cumsum([len(items[i]) for i in all_of]) // (1 << 18) if len(all_of) and len(some) else np.zeros(0, int)
+            for part in np.split(all_of, np.flatnonzero(np.diff(ends)) + 1) if len(ends) else ():  # so many items at once
+                flat = np.concatenate([items[i] for i in part])
+                sizes = np.array([len(items[i]) for i in part])
                 starts = np.cumsum(sizes) - sizes
                 for r in some.tolist():
                     x = np.sort(items[r])
                     at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
                     common = np.add.reduceat((x[at] == flat).astype(np.int64), starts)
                     for e in np.flatnonzero(common * 100 >= percent * (sizes + len(x) - common)).tolist():
-                        p, q = find(g[r]), find(g[all_of[e]])
+                        p, q = find(g[r]), find(g[part[e]])
                         if p != q:
                             root[p] = q
-                            out.append((cid[r], cid[all_of[e]]))
+                            out.append((cid[r], cid[part[e]]))
             a, b = zip(*out) if out else ((), ())
             return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
@@ -512,16 +587,24 @@ class NearDuplicates:
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
     def survivors(self) -> DataFrame:
-        """The rows of the table, one of each group: the first of the class that names it.  Rows without words all stay."""
+        """The rows of the table, one of each group: the first of the class that names it; of rows equal in id and text
+        the one whose other columns have the smallest hash.  Rows without words all stay."""
         _, named = self.groups()
-        keys = named.where("names").select(F.col("key").alias("__key"))
+        row, key, tie = (free_name(self.docs.columns, c) for c in ("row", "key", "tie"))
+        keys = named.where("names").select(F.col("key").alias(key))
         text = whole_text(self.docs)
         has_words = text.rlike(r"[^\x20\x09-\x0D]")
-        keyed = self.docs.where(has_words).withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text))
-        one = keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+        names = [F.col(f"`{c}`") for c in self.docs.columns]
+        keyed = self.docs.where(has_words).select(F.struct(*names).alias(row), row_key(F.col("doc_id").cast("long"), text).alias(key), F.xxhash64(*names).alias(tie))
+        one = keyed.join(keys, key, "left_semi").groupBy(key).agg(F.min_by(row, tie).alias(row)).select(f"{row}.*")
         return one.unionByName(self.docs.where(~has_words))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(doc_id.cast("string"), F.lit("")), text).cast("binary")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """For each end u of a link (u, v) the smallest vertex it reaches; large-star and small-star rounds until they
     change nothing."""
@@ -537,11 +620,14 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select("u", F.col("v").alias("root")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("root"))).distinct()
         mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lows(both).select("u", F.least("u", "m").alias("m"))
-        edges = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components")
-        low = lows(edges)
-        pulled = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = lows(both)
+        own = low.select("u", F.least("u", "m").alias("m"))
+        large = written(both.join(own, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components")
+        forget(edges, low)
+        low = lows(large)
+        pulled = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        forget(large, low)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **more) -> DataFrame:
