@@ -11,14 +11,23 @@ PLANTED = [
     "ghp_" + "a1" * 20 + " gho_short sk_live_0123456789abcdefXY https://u:pw@h/x eyJabcdefgh.ijklmnopq.rstuvwxyz",
     "-----BEGIN RSA PRIVATE KEY-----\nxx -----BEGIN PRIVATE KEY-----",
     "pasſword=abcdefgh toKen=abcdefgh", "token=abcdef" * 50,
+    "-----BEGIN  PRIVATE KEY----------BEGIN A B  C PRIVATE KEY----------BEGIN A B PRIVATE KEY----- -----BEGIN XPRIVATE KEY-----",
+    "1.2+ssh://u:p@h 9://u:p@h Hftp://u:p@a-b://u:p@c http://u:p a.b:c@d x://y://z:w@v", "xeyJeyJaaaaaaaa.eyJbbbbbbbb.eyJcccccccc.eyJdddddddd eyJaaaa.eyJbbbbbbbb.cccccccc.dddddddd",
 ]
 
 
+#: Rules whose own expressions guard against reading a run twice, as they would be without that.
+PLAIN = {
+    "web_token": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "url_login": r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@",
+}
+
+
 def brute(text):
     text = text or ""
     spans = []
     pats = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)]
-    pats += [("access", r"AKIA[A-Z0-9]+", 0), ("hex", r"[0-9a-f]+", 0)] + [(r.kind, r.pattern, 0) for r in secrets.MORE]
+    pats += [("access", r"AKIA[A-Z0-9]+", 0), ("hex", r"[0-9a-f]+", 0)] + [(r.kind, PLAIN.get(r.kind, r.pattern), 0) for r in secrets.MORE]
     for k, (kind, p, flags) in enumerate(pats):
         for m in re.finditer(p, text, flags):
             n = {"assign": lambda: len(m[2]) >= 6, "access": lambda: len(m[0]) >= 20, "hex": lambda: len(m[0]) >= 24}.get(kind, lambda: True)()
@@ -65,6 +74,28 @@ def test_trigram_queries():
     assert secrets.trigram_query("(?i:ToKen)[a-z]+")[0] == frozenset({frozenset({"tok", "oke", "ken"})})
 
 
+LONG = [
+    "-----BEGIN " + "A " * 1_000_000 + "PRIVATE KEY-----", "-----BEGIN " + "A " * 1_000_000 + "x", "a" * 1_000_000 + " ://", "1" * 1000 + "a" * 1_000_000 + "://u:p@h",
+    "eyJ" * 400_000 + ".x", "eyJ" * 400_000 + ".abcdefgh.ijklmnop", "token='" * 50_000,
+]
+
+
+def test_very_long_texts(spark):
+    out = secrets.find_secrets(documents(spark, LONG)).orderBy("doc_id").select(secrets.described(secrets.F.col("secrets")).alias("s")).collect()
+    assert out[0].s == f"private_key:0:{len(LONG[0])}" and out[1].s == ""
+    assert out[2].s == "hex:0:1000000" and out[3].s == "hex:0:1001000,url_login:1000:1001007"
+    assert out[4].s == "" and out[5].s == f"web_token:0:{len(LONG[5])}"
+    assert out[6].s == ",".join(f"assign:{14 * i}:{14 * i + 13}" for i in range(25_000))
+    assert secrets.redact(documents(spark, LONG[6:])).first().text == "[SECRET]'" * 25_000
+
+
+def test_name_of_the_result_is_taken(spark):
+    df = documents(spark, PLANTED).withColumn("secrets", secrets.F.lit(1)).withColumn("__secret_text", secrets.F.lit(2)).withColumn("__secret_postings", secrets.F.lit(3))
+    out = secrets.find_secrets(df)
+    assert sorted(out.columns) == sorted(df.columns) and out.schema["secrets"].dataType.typeName() == "array"
+    assert out.where("__secret_text = 2 AND __secret_postings = 3").count() == len(PLANTED)
+
+
 def test_redaction_and_clashing_names(spark):
     df = documents(spark, [*PLANTED, None]).withColumn("secrets", secrets.F.lit(1)).withColumn("__k", secrets.F.lit(2))
     out = secrets.redact(df).orderBy("doc_id").collect()
