@@ -85,6 +85,24 @@ class EliasFano:
             left -= len(ones)
             byte += 64
 
+    def select_run(self, a: int, b: int) -> np.ndarray:
+        """Positions of the set bits numbered a to b - 1: only the bits between their samples are read."""
+        first, last = a // SAMPLE, -(-b // SAMPLE)
+        start = int(self.samples[first])
+        end = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.high_bits)
+        bits = np.unpackbits(self.high_bits[start // 8 : -(-end // 8)], bitorder="little")
+        bits[: start % 8] = 0
+        return start // 8 * 8 + np.flatnonzero(bits)[a - first * SAMPLE : b - first * SAMPLE]
+
+    def run(self, a: int, b: int) -> np.ndarray:
+        """The values numbered a to b - 1, by select."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.int64)
+        high = (self.select_run(a, b) - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low)
+        return ((high | unpack(self.low_bits, self.low, a, b - a)) + np.uint64(self.base % 2**64)).astype(np.int64)
+
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)

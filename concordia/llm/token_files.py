@@ -6,9 +6,10 @@ vocabulary allows.  The last bytes of a file index its segments.  The files of a
 concatenated id array; a manifest of one row for each file gives the count of ids before it.
 
 Writers keep one segment in memory.  A file is written under a name of its attempt and then renamed, so that a task
-that is run again leaves the same file.
+that is run again leaves the same file.  The number of files follows the bytes of the input.  Reading goes by the
+select structure: it takes the keys and boundaries of a run of documents, and neither sequence is ever decoded whole.
 
-Rows with a null id come first; rows with equal ids follow in the order of a hash of their text.  Null text is empty
+Columns other than doc_id and text aren't read, whatever their names.  Rows with a null id come first; rows with equal ids follow in the order of a hash of their text.  Null text is empty
 and still gets its end id.  An empty table has no files and no rows.
 """
 
@@ -89,7 +90,7 @@ class TokenFileWriter:
 
 
 class Segment:
-    """One segment as read: n documents, the key of each, and its ids by the select structure of the boundaries."""
+    """One segment as read: n documents, the key of each, and its ids, by the select structures of keys and boundaries."""
 
     def __init__(self, data: bytes):
         magic, self.n, self.nulls, self.n_ids, width = SEGMENT.unpack_from(data)
@@ -102,11 +103,14 @@ class Segment:
     def document(self, i: int) -> tuple[int | None, np.ndarray]:
         return (None if i < self.nulls else self.keys[i - self.nulls]), self.ids[self.ends[i] : self.ends[i + 1]]
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """Key, start in the segment and ids of every document."""
-        keys, ends = [None] * self.nulls + self.keys.values().tolist(), self.ends.values().tolist()
-        for k, a, b in zip(keys, ends, ends[1:]):
-            yield k, a, self.ids[a:b]
+    def documents(self, at_once: int = 4096) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Key, start in the segment and ids of every document; keys and boundaries come by select, a run at a time."""
+        for i in range(0, self.n, at_once):
+            j = min(self.n, i + at_once)
+            ends = self.ends.run(i, j + 1).tolist()
+            keys = [None] * max(0, min(j, self.nulls) - i) + self.keys.run(max(0, i - self.nulls), max(0, j - self.nulls)).tolist()
+            for k, a, b in zip(keys, ends, ends[1:]):
+                yield k, a, self.ids[a:b]
 
 
 class TokenFile:
@@ -129,14 +133,29 @@ class TokenFile:
             yield Segment(self.f.read(b - a))
 
 
+def shard_count(docs: DataFrame, shard_bytes: int = 256 << 20) -> int:
+    """So many files that none holds much more than shard_bytes of what is read, and all tasks of a shuffle have one."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # not known, as the rows don't come from files
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(shuffle_partitions(docs.sparkSession), -(-size // shard_bytes))
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0, shards: int | None = None) -> list[dict]:
-    """Writes the files; returns the manifest: a row for each file, in order, with the count of ids before it."""
+    """Writes the files; returns the manifest: a row for each file, in order, with the count of ids before it.
+
+    shards: how many ranges; by default as many as the size of the input asks for.  Rows equal in id and text are dealt
+    to several ranges where they are many, by where they stand in the input; so the input must be read from files, or
+    otherwise come in the same order when a lost task is run again.
+    """
     import pyarrow as pa
 
     spark = docs.sparkSession
     folder = qualified(spark, folder)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(shards or shard_count(rows), "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie")
+    dealt = dealt.select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
