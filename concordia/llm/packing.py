@@ -1,12 +1,15 @@
 """Operator 2: documents packed into sequences by first-fit decreasing over a tournament tree.
 
-A document's ids and its end id are cut into pieces of the sequence length and a rest.  Documents are dealt at random,
-by a hash of their content, into groups of about group_docs documents; each group is packed alone: full pieces fill
-sequences of their own, and the rests go by first-fit decreasing, where a tournament tree over the free room of the
-open sequences finds the first that fits in logarithmic time.  Only piece descriptions are shuffled, never texts or
-ids, and the number of groups grows with the input.
+A document's ids and its end id are cut into pieces of the sequence length and a rest.  The descriptions
+of pieces are written first; from then on a document is dealt at random, by a hash of its row's place in the input, so
+that repeated rows don't meet in one group, into groups of about group_docs documents.  Each group is packed alone:
+full pieces fill sequences of their own, and the rests go by first-fit decreasing, where a tournament tree over the
+free room of the open sequences finds the first that fits in logarithmic time.  Only piece descriptions are shuffled,
+never texts or ids, and the number of groups grows with the input.
 
 Null text is empty: its document is the end id alone.  Repeated rows, equal ids and null ids are packed as they are.
+A very long text is many full pieces.  Columns other than doc_id and text aren't read, whatever their names; an empty
+table gives no piece.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import table, tokenizer_path, whole_text
+from concordia.llm.common import table, tokenizer_path, whole_text, written
 from concordia.llm.pretokens import ids_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -63,11 +66,11 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
-    """The pieces of each document, with a hash of its id and text."""
+    """The pieces of each document, with a hash of its row's place."""
     import pyarrow as pa
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    rows = rows.withColumn("dealt", F.xxhash64(F.lit(11), "doc_id", "text"))
+    rows = rows.withColumn("dealt", F.xxhash64(F.lit(11), F.monotonically_increasing_id()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
@@ -87,8 +90,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0)
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, group_docs: int = 4096, end_id: int = 0) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    groups = max(1, -(-docs.count() // group_docs))
-    pieces = pieces_of(docs, path, capacity, end_id).withColumn("g", F.pmod("dealt", F.lit(groups))).drop("dealt")
+    pieces = written(pieces_of(docs, path, capacity, end_id), "packing-pieces")
+    groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
+    pieces = pieces.withColumn("g", F.pmod("dealt", F.lit(groups).cast("long"))).drop("dealt")
 
     def fit(key, g):
         import pyarrow as pa

@@ -63,8 +63,12 @@ def test_frequent_table_holds_true_lengths():
 def test_elias_fano(values):
     e, end = EliasFano.from_buffer(b"xx" + EliasFano.encode(np.array(values)).to_bytes(), 2)
     assert e.values().tolist() == values and [e[i] for i in range(len(values))] == values
+    for a, b in ((0, len(values)), (len(values) // 2, len(values)), (0, 0), (len(values) // 3, 2 * len(values) // 3)):
+        assert e.run(a, b).tolist() == values[a:b]
     with pytest.raises(IndexError):
         e[len(values)]
+    with pytest.raises(IndexError):
+        e.run(0, len(values) + 1)
 
 
 def test_elias_fano_is_small():
@@ -86,6 +90,16 @@ def test_files(spark):
     assert none == [] and token_files.read_token_files(spark, none).count() == 0
 
 
+def test_many_equal_rows_go_to_several_files(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN 7L ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same text' ELSE concat('t ', id) END AS text", "1 AS tie", "2 AS place")
+    manifest = token_files.write_token_files(df, scratch(spark, "test-ids"), PATH, shards=8)
+    assert max(m["n_docs"] for m in manifest) < 1000
+    got = token_files.read_token_files(spark, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in df.collect())
+    big = df.withColumn("text", token_files.F.expr("repeat('x', 100)"))
+    assert token_files.shard_count(big, shard_bytes=1 << 10) > 4 >= token_files.shard_count(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+
+
 def test_select_gives_any_document(spark):
     df = small(spark)
     (m,) = token_files.write_token_files(df.limit(20), scratch(spark, "test-ids"), PATH, shards=1)
@@ -126,6 +140,16 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_packing_of_many_equal_rows(spark):
+    df = spark.range(0, 3000, 1, 4).selectExpr("CASE WHEN id % 3 = 0 THEN 7L ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE concat('t ', id) END AS text", "1 AS g", "2 AS dealt")
+    got = packing.pack(df, PATH, 64, group_docs=100).collect()
+    check_packing(df, got, 64)
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(groups) == 30 and max(groups.values()) < 170
+
+
 def test_first_fit_by_the_tree():
     rng = random.Random(5)
     lengths = np.array([rng.randrange(1, 101) for _ in range(400)])
