@@ -2,12 +2,14 @@
 
 Features are the hashed 3-, 4- and 5-grams of characters of the lower-cased text, 1 + log of how often each occurs.
 Their log-count ratios between toxic and other labelled texts scale them; a logistic regression on the scaled
-features that tell the labels apart best, trained by gradient steps, gives the weights.  The classifier is fitted on a bounded sample, at most max_rows labelled texts
-chosen by a hash of their id; the scores cover every whole text, map-side, without a shuffle.
-
-Null and empty texts get the score of no feature at all.  Rows are kept as they are.  If labels hold an id twice it is
-toxic when any of its labels says so; labels without an id or a value are left out.  With no label to learn from, or
-labels of one kind only, every score is the share of toxic labels (0 without labels).
+features that tell the labels apart best, trained by gradient steps, gives the weights.  The classifier is fitted on a
+bounded sample, at most max_rows labelled texts chosen by a hash of their id; the scores cover every whole text,
+map-side, without a shuffle.
+
+Null and empty texts get the score of no feature at all.  Rows are kept as they are; columns named score or predicted
+are replaced by the results.  If labels hold an id twice it is toxic when any of its labels says so, and if documents
+hold a labelled id twice the least of its texts is learned from; labels without an id or a value are left out.  With no
+label to learn from, or labels of one kind only, every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import crc_mod, table, whole_text, written
+from concordia.llm.common import crc_mod, free_name, table, whole_text, written
 from concordia.llm.pretokens import slices
 
 BITS = 18
@@ -82,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: in
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(max_rows)
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", whole_text(docs).alias("text"))
-    sample = written(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))  # at most max_rows
+    sample = written(sample, "toxicity-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
@@ -162,24 +165,23 @@ def logistic(cols, owner, value, scale, y, steps: int, penalty: float) -> tuple[
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with score and predicted after their columns."""
+    """docs with score and predicted after their columns; columns of these names are replaced."""
     import pyarrow as pa
+    from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 1 MB
-    rows = docs.withColumn("__whole", whole_text(docs))
+    own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    whole = free_name(own, "whole")
+    rows = docs.select(*(F.col(f"`{c}`") for c in own), whole_text(docs).alias(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         model = Classifier(weights, bias)
         for b in batches:
-            s = model.scores(b.column("__whole").to_pylist())
-            cols = [b.column(c) for c in b.schema.names if c != "__whole"]
-            names = [c for c in b.schema.names if c != "__whole"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
-
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+            s = model.scores(b.column(whole).to_pylist())
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*own, "score", "predicted"])
 
-    schema = StructType(list(docs.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType())
+    schema = StructType([docs.schema[c] for c in own]).add("score", DoubleType()).add("predicted", IntegerType())
     return rows.mapInArrow(run, schema)
 
 

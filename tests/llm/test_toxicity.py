@@ -27,9 +27,12 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark):
     labels = spark.createDataFrame([(3, 0), (5, 1), (5, 0), (None, 1), (8, None)], "doc_id long, toxic int")
-    docs = edge_documents(spark).withColumn("score", toxicity.F.lit("x")).drop("score")
+    docs = edge_documents(spark).withColumn("score", toxicity.F.lit("x")).withColumn("__whole", toxicity.F.lit("y"))
     model = toxicity.fit(docs, labels)
-    rows = toxicity.score(docs, model).collect()
+    scored = toxicity.score(docs, model)
+    assert scored.columns == [*(c for c in docs.columns if c != "score"), "score", "predicted"] and scored.where("__whole = 'y'").count() == docs.count()
+    assert toxicity.score(scored, model).columns == scored.columns
+    rows = scored.collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if not r.text}) == 1
     none = toxicity.fit(docs, labels.limit(0))
@@ -42,3 +45,32 @@ def test_same_text_same_score(spark):
     docs = documents(spark, ["the cat sat", "x" * 3_000_000, "the cat sat", "the cat " * 400_000])
     a = [r.score for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
     assert a[0] == a[2]
+
+
+def test_scores_by_hand(spark):
+    """Each score from the n-grams themselves, one at a time."""
+    model = toxicity.fit(small(spark), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    weights = model.weights.astype(np.float32)
+    for r in toxicity.score(small(spark), model).limit(20).collect():
+        padded, seen = f" {r.text.lower()} ", {}
+        for n in toxicity.ORDERS:
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for j, c in enumerate(padded[i : i + n]):
+                    h = (h + ord(c) * toxicity.ODD[j]) % 2**32
+                h ^= h >> 15
+                h = h * 0x2C1B3C6D % 2**32
+                h = (h ^ (h >> 12)) * 0x297A2D39 % 2**32 >> (32 - toxicity.BITS)
+                seen[h] = seen.get(h, 0) + 1
+        z = model.bias + sum(float(weights[h]) * (1 + np.log(k)) for h, k in seen.items())
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-6
+
+
+def test_repeated_ids_do_not_multiply_the_sample(spark):
+    docs = documents(spark, ["bad word here", "good one", "another good", "foul thing"], [1, 2, 3, 4])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    many = docs
+    for _ in range(6):
+        many = many.unionByName(docs.where("doc_id = 1"))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(many, labels)
+    assert np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias)
