@@ -57,9 +57,36 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again; this cuts the lineage."""
+def known_bytes(df: DataFrame) -> int | None:
+    """The size of what is read, as the plan has it from its files; None where it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size >= 1 << 60 else size
+
+
+def merged(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """The rows with small splits put together, so that a table of many tiny files doesn't become one of many tiny files
+    again; splits of task_bytes or more stay as they are."""
+    size = known_bytes(df)
+    if size is None:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)))
+
+
+def files_for(rows: int, each: int) -> int:
+    """How many files so many rows take: each rows in one while files are few, else a million."""
+    return max(1, min(-(-rows // each), max(2_000, -(-rows // 1_000_000))))
+
+
+def written(df: DataFrame, what: str, rows: int | None = None, each: int = 100_000, spread: bool = False) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again; this cuts the lineage.
+
+    rows: about how many there are, where that is known: the number of files follows from it, not from the number of
+    shuffle partitions, since a table of few rows in many files costs more to open than to read.  The last stage then
+    has as many tasks; spread: it has as many as before, and the rows are dealt to the files after it.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(files_for(rows, each)) if spread else df.coalesce(files_for(rows, each))
     path = scratch(spark, what)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

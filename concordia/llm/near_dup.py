@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import forget, free_name, table, whole_text, written
+from concordia.llm.common import files_for, forget, free_name, table, whole_text, written
 
 PLACES = 128
 #: Candidates have at least this share of equal minwise tokens less than the threshold, in standard deviations.
@@ -263,10 +263,10 @@ class NearDuplicates:
 
     def _keyed(self) -> DataFrame:
         text = whole_text(self.docs)
-        return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_key(F.col("doc_id").cast("long"), text).alias("key"))
+        return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row_key(F.col("doc_id").cast("long"), text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"))
 
     def documents(self) -> DataFrame:
-        """doc_id, key, size of the set, its hash (cid) and its minwise tokens, of every row."""
+        """doc_id, key, size of the text, size of the set, its hash (cid) and its minwise tokens, of every row."""
         import pyarrow as pa
 
         words = self.words
@@ -283,12 +283,12 @@ class NearDuplicates:
                     cid = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                     sig = [next(sigs).tobytes() if len(s) else None for s in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())],
-                        ["doc_id", "key", "n_shingles", "cid", "sig"],
+                        [b.column("doc_id"), b.column("key"), b.column("n_bytes"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())],
+                        ["doc_id", "key", "n_bytes", "n_shingles", "cid", "sig"],
                     )
             _WORDS.clear()  # the worker goes on to other operators, which have caches of their own
 
-        return self._keyed().mapInArrow(run, "doc_id long, key binary, n_shingles long, cid binary, sig binary")
+        return self._keyed().mapInArrow(run, "doc_id long, key binary, n_bytes long, n_shingles long, cid binary, sig binary")
 
     def nodes(self, classes: DataFrame, depth: int, trees: int, full: bool) -> DataFrame:
         """A row for each node of that depth and class in it; full: with all minwise tokens, else with the small ones."""
@@ -316,7 +316,7 @@ class NearDuplicates:
 
         return classes.select("cid", "sig").mapInArrow(run, "node long, cid binary, sig binary")
 
-    def node_sizes(self, classes: DataFrame, depth: int, trees: int) -> DataFrame:
+    def node_sizes(self, classes: DataFrame, n: int, depth: int, trees: int) -> DataFrame:
         """node and count of the nodes of more than limit classes; a task adds up before it sends."""
         import pyarrow as pa
 
@@ -334,7 +334,7 @@ class NearDuplicates:
                         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["node", "n"])
 
         sizes = classes.select("sig").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("count"))
-        return written(sizes.where(F.col("count") > self.limit), "dedup-large")
+        return written(sizes.where(F.col("count") > self.limit), "dedup-large", n * trees * 2 // self.limit)
 
     def children(self, rows: DataFrame) -> DataFrame:
         """The rows of nodes, with all minwise tokens, one level down."""
@@ -380,7 +380,7 @@ class NearDuplicates:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary")
 
-    def leaders(self, rows: DataFrame) -> DataFrame:
+    def leaders(self, rows: DataFrame, n: int) -> DataFrame:
         """Each row of large nodes with its links to the node's leaders, and whether it hangs together with the first."""
         import pyarrow as pa
 
@@ -388,7 +388,7 @@ class NearDuplicates:
         lot = F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(8))
         one = rows.groupBy("node", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64(F.lit(4), "cid").alias("h"), "cid", "sig")).alias("x"))
         some = one.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("leaders"), F.count("*").alias("n"))
-        some = written(some.select("node", F.transform("leaders", lambda x: x["cid"]).alias("lead"), F.transform("leaders", lambda x: x["sig"]).alias("lead_sig")), "dedup-leaders")
+        some = written(some.select("node", F.transform("leaders", lambda x: x["cid"]).alias("lead"), F.transform("leaders", lambda x: x["sig"]).alias("lead_sig")), "dedup-leaders", n // self.limit + 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -444,29 +444,33 @@ class NearDuplicates:
 
     def candidates(self, classes: DataFrame) -> DataFrame:
         """Distinct candidate links between classes."""
-        depth, trees = self.shape(classes.count())
-        sizes = lambda rows: written(rows.groupBy("node").count().where(F.col("count") > self.limit), "dedup-large")
-        large = self.node_sizes(classes, depth, trees)
-        some = bool(large.take(1))
+        n = classes.count()
+        depth, trees = self.shape(n)
+        total = lambda large: large.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        large = self.node_sizes(classes, n, depth, trees)
+        held = total(large)
         rows = self.nodes(classes, depth, trees, False)
-        compared = [rows.join(large, "node", "left_anti") if some else rows]
+        compared = [rows.join(large, "node", "left_anti") if held else rows]
         found: list[DataFrame] = []
-        hot = self.nodes(classes, depth, trees, True).join(large, "node", "left_semi") if some else None
+        hot = self.nodes(classes, depth, trees, True).join(large, "node", "left_semi") if held else None
         for level in range(self.deeper + 1):
-            if not some:
+            if not held:
                 break
-            hot = written(self.leaders(written(hot, "dedup-hot")), "dedup-led")
+            hot = written(hot, "dedup-hot", held, 20_000, spread=True)
+            hot = written(self.leaders(hot, held), "dedup-led", held, 20_000, spread=True)
             found.append(hot.select(F.col("cid").alias("a"), F.explode("links").alias("b")))
             rest = hot.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("rest")).where("rest > 0")
-            rest = written(rest, "dedup-rest")
+            rest = written(rest, "dedup-rest", held // self.limit + 1)
             last = level == self.deeper
             compared.append(self._small(self.cells(hot, rest if last else rest.where(F.col("rest") <= self.limit))))
             if last:
                 break
-            down = written(self.children(hot.join(rest.where(F.col("rest") > self.limit), "node", "left_semi")), "dedup-down")
-            large = sizes(down)
+            down = self.children(hot.join(rest.where(F.col("rest") > self.limit), "node", "left_semi"))
+            down = written(down, "dedup-down", held, 20_000, spread=True)
+            large = down.groupBy("node").count().where(F.col("count") > self.limit)
+            large = written(large, "dedup-large", held // self.limit + 1)
             compared.append(self._small(down.join(large, "node", "left_anti")))
-            hot, some = down.join(large, "node", "left_semi"), bool(large.take(1))
+            hot, held = down.join(large, "node", "left_semi"), total(large)
         everything = compared[0]
         for more in compared[1:]:
             everything = everything.unionByName(more)
@@ -480,7 +484,7 @@ class NearDuplicates:
         import pyarrow as pa
 
         words = self.words
-        members = links.select(F.col("a").alias("cid")).union(links.select("b")).distinct()
+        members = written(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "dedup-members", links.count())
         wanted = classes.join(members, "cid", "left_semi").select("key", "cid")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,7 +496,8 @@ class NearDuplicates:
             _WORDS.clear()
 
         texts = self._keyed().select("key", "text").join(wanted, "key").dropDuplicates(["cid"])
-        return written(texts.select("cid", "text").mapInArrow(run, "cid binary, items array<bigint>"), "dedup-sets")
+        items = texts.select("cid", "text").mapInArrow(run, "cid binary, items array<bigint>")
+        return written(items, "dedup-sets", members.count(), 4_000)
 
     def confirmed(self, links: DataFrame, sets: DataFrame) -> DataFrame:
         """The links whose full sets are similar enough."""
@@ -507,12 +512,13 @@ class NearDuplicates:
 
         percent = self.percent
         named = lambda d, n: components(d.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("cid"), F.col("root").alias(n))
-        group = written(named(links, "k").join(named(sure, "g"), "cid", "left").withColumn("g", F.coalesce("g", "cid")), "dedup-parts")
+        group = named(links, "k").join(named(sure, "g"), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
+        group = written(group, "dedup-parts", links.count())
         parts = group.groupBy("k", "g").agg(F.count("*").alias("n"))
         whole = parts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "g")).alias("main"))
         tried = links.join(group.select(F.col("cid").alias("a"), "k"), "a").groupBy("k").agg(F.count("*").alias("tried"))
         left = whole.where("parts > 1").join(tried, "k").where("tried < n * (n - 1) / 2")
-        left = written(left.select("k", "n", F.col("main.g").alias("main"), (F.col("n") - F.col("main.n")).alias("rest")), "dedup-left")
+        left = written(left.select("k", "n", F.col("main.g").alias("main"), (F.col("n") - F.col("main.n")).alias("rest")), "dedup-left", group.count())
         if not left.take(1):
             return sure.limit(0)
         zero = F.lit(0).cast("long")
@@ -557,16 +563,18 @@ class NearDuplicates:
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """The rows' sets, and for each class its component, links, first row (key) and whether that names the component."""
-        docs = written(self.documents(), "dedup-docs")
+        docs = written(self.documents(), "dedup-docs", self.docs.count(), 25_000, spread=True)
         full = docs.where(F.col("cid").isNotNull())
         largest = F.lit(2**63 - 1)
         first = F.min(F.struct(F.coalesce("doc_id", largest).alias("id"), "key"))
         classes = full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), first.alias("first"), F.max("sig").alias("sig"))
-        classes = written(classes.select("cid", "first_id", F.col("first.key").alias("key"), "sig"), "dedup-classes")
-        links = written(self.candidates(classes), "dedup-candidates")
+        classes = written(classes.select("cid", "first_id", F.col("first.key").alias("key"), "sig"), "dedup-classes", docs.count(), 8_000)
+        count = classes.count()
+        links = written(self.candidates(classes), "dedup-candidates", 2 * count, 50_000)
         sets = self.sets(links, classes)
-        sure = written(self.confirmed(links, sets), "dedup-links")
-        links = written(sure.unionByName(self.remaining(links, sure, sets)), "dedup-all-links")
+        sure = written(self.confirmed(links, sets), "dedup-links", links.count(), 10_000)
+        more = written(self.remaining(links, sure, sets), "dedup-more-links", count, spread=True)
+        links = sure.unionByName(more)
         vertex = classes.select("cid", F.struct(F.coalesce("first_id", largest).alias("id"), "cid").alias("v"))
         ends = links.join(vertex.select(F.col("cid").alias("a"), F.col("v").alias("u")), "a").join(vertex.select(F.col("cid").alias("b"), "v"), "b").select("u", "v")
         roots = components(ends).select(F.col("u.cid").alias("cid"), "root")
@@ -576,7 +584,7 @@ class NearDuplicates:
             F.coalesce(F.when(F.col("root.id") < largest, F.col("root.id")), "first_id").alias("component_id"),
             (F.col("root").isNull() | (F.col("root.cid") == F.col("cid"))).alias("names"),
         )
-        return docs, written(named, "dedup-named")
+        return docs, written(named, "dedup-named", count)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id and kept of every row."""
@@ -584,12 +592,13 @@ class NearDuplicates:
         linked = docs.where(F.col("cid").isNotNull()).select("doc_id", "n_shingles", "cid").join(named, "cid")
         bare = docs.where(F.col("cid").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         out = linked.select("doc_id", "n_shingles", "component_id").unionByName(bare)
-        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        return out.coalesce(files_for(docs.count(), 25_000))
 
-    def survivors(self) -> DataFrame:
+    def survivors(self, file_bytes: int = 16 << 20) -> DataFrame:
         """The rows of the table, one of each group: the first of the class that names it; of rows equal in id and text
         the one whose other columns have the smallest hash.  Rows without words all stay."""
-        _, named = self.groups()
+        docs, named = self.groups()
         row, key, tie = (free_name(self.docs.columns, c) for c in ("row", "key", "tie"))
         keys = named.where("names").select(F.col("key").alias(key))
         text = whole_text(self.docs)
@@ -597,7 +606,9 @@ class NearDuplicates:
         names = [F.col(f"`{c}`") for c in self.docs.columns]
         keyed = self.docs.where(has_words).select(F.struct(*names).alias(row), row_key(F.col("doc_id").cast("long"), text).alias(key), F.xxhash64(*names).alias(tie))
         one = keyed.join(keys, key, "left_semi").groupBy(key).agg(F.min_by(row, tie).alias(row)).select(f"{row}.*")
-        return one.unionByName(self.docs.where(~has_words))
+        size = docs.join(named.where("names").select("key"), "key", "left_semi").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        one = one.coalesce(max(1, -(-size // file_bytes)))  # files of about so much text, whatever the number of partitions
+        return one.unionByName(self.docs.where(~has_words).coalesce(files_for(docs.where("cid IS NULL").count(), 100_000)))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -608,25 +619,28 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """For each end u of a link (u, v) the smallest vertex it reaches; large-star and small-star rounds until they
     change nothing."""
-    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
+    both = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    n = both.count()
+    edges = written(both.distinct(), "components", n)
     mark = None
 
     def lows(both: DataFrame) -> DataFrame:
-        return written(both.groupBy("u").agg(F.min("v").alias("m")), "components-low")
+        return written(both.groupBy("u").agg(F.min("v").alias("m")), "components-low", n)
 
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        n = now[0]
         if now == mark:
             return edges.select("u", F.col("v").alias("root")).union(edges.select(F.col("v").alias("u"), F.col("v").alias("root"))).distinct()
         mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lows(both)
         own = low.select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(own, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components")
+        large = written(both.join(own, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components", n)
         forget(edges, low)
         low = lows(large)
         pulled = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components")
+        edges = written(pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components", n)
         forget(large, low)
 
 

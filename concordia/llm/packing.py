@@ -90,7 +90,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0)
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, group_docs: int = 4096, end_id: int = 0) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    pieces = written(pieces_of(docs, path, capacity, end_id), "packing-pieces")
+    pieces = written(pieces_of(docs, path, capacity, end_id), "packing-pieces", docs.count(), spread=True)
     groups = max(1, -(-pieces.where("start = 0").count() // group_docs))
     pieces = pieces.withColumn("g", F.pmod("dealt", F.lit(groups).cast("long"))).drop("dealt")
 

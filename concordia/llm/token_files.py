@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import scratch, shuffle_partitions, table, tokenizer_path, whole_text
+from concordia.llm.common import known_bytes, scratch, shuffle_partitions, table, tokenizer_path, whole_text
 from concordia.llm.elias_fano import EliasFano
 from concordia.llm.pretokens import ids_of
 
@@ -135,8 +135,8 @@ class TokenFile:
 
 def shard_count(docs: DataFrame, shard_bytes: int = 256 << 20) -> int:
     """So many files that none holds much more than shard_bytes of what is read, and all tasks of a shuffle have one."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:  # not known, as the rows don't come from files
+    size = known_bytes(docs)
+    if size is None:
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return max(shuffle_partitions(docs.sparkSession), -(-size // shard_bytes))
 

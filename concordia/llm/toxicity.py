@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: in
     chosen = known.orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(max_rows)
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", whole_text(docs).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))  # at most max_rows
-    sample = written(sample, "toxicity-sample")
+    sample = written(sample, "toxicity-sample", max_rows, 2_500)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
