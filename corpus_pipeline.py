@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import near_dup, packing, secrets, toxicity
-from concordia.llm.common import DOC_COLUMNS, table, tokenizer_path, written
+from concordia.llm.common import DOC_COLUMNS, merged, table, tokenizer_path, written
 
 ORACLE_SQL = None
 
@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of rows that aren't held out, doesn't call toxic."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*DOC_COLUMNS), model).where(F.col("predicted") == 0).select(*DOC_COLUMNS)
+    return toxicity.score(merged(docs.select(*DOC_COLUMNS)), model).where(F.col("predicted") == 0).select(*DOC_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
