@@ -334,7 +334,7 @@ class NearDuplicates:
                         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["node", "n"])
 
         sizes = classes.select("sig").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("count"))
-        return written(sizes.where(F.col("count") > self.limit), "dedup-large", n * trees * 2 // self.limit)
+        return written(sizes.where(F.col("count") > self.limit), "dedup-large", n * trees * 2 // self.limit, spread=True)
 
     def children(self, rows: DataFrame) -> DataFrame:
         """The rows of nodes, with all minwise tokens, one level down."""
@@ -388,7 +388,7 @@ class NearDuplicates:
         lot = F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(8))
         one = rows.groupBy("node", lot.alias("lot")).agg(F.min(F.struct(F.xxhash64(F.lit(4), "cid").alias("h"), "cid", "sig")).alias("x"))
         some = one.groupBy("node").agg(F.sort_array(F.collect_list("x")).alias("leaders"), F.count("*").alias("n"))
-        some = written(some.select("node", F.transform("leaders", lambda x: x["cid"]).alias("lead"), F.transform("leaders", lambda x: x["sig"]).alias("lead_sig")), "dedup-leaders", n // self.limit + 1)
+        some = written(some.select("node", F.transform("leaders", lambda x: x["cid"]).alias("lead"), F.transform("leaders", lambda x: x["sig"]).alias("lead_sig")), "dedup-leaders", n // self.limit + 1, spread=True)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -460,7 +460,7 @@ class NearDuplicates:
             hot = written(self.leaders(hot, held), "dedup-led", held, 20_000, spread=True)
             found.append(hot.select(F.col("cid").alias("a"), F.explode("links").alias("b")))
             rest = hot.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~F.col("alike")).alias("rest")).where("rest > 0")
-            rest = written(rest, "dedup-rest", held // self.limit + 1)
+            rest = written(rest, "dedup-rest", held // self.limit + 1, spread=True)
             last = level == self.deeper
             compared.append(self._small(self.cells(hot, rest if last else rest.where(F.col("rest") <= self.limit))))
             if last:
@@ -468,7 +468,7 @@ class NearDuplicates:
             down = self.children(hot.join(rest.where(F.col("rest") > self.limit), "node", "left_semi"))
             down = written(down, "dedup-down", held, 20_000, spread=True)
             large = down.groupBy("node").count().where(F.col("count") > self.limit)
-            large = written(large, "dedup-large", held // self.limit + 1)
+            large = written(large, "dedup-large", held // self.limit + 1, spread=True)
             compared.append(self._small(down.join(large, "node", "left_anti")))
             hot, held = down.join(large, "node", "left_semi"), total(large)
         everything = compared[0]
@@ -484,7 +484,7 @@ class NearDuplicates:
         import pyarrow as pa
 
         words = self.words
-        members = written(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "dedup-members", links.count())
+        members = written(links.select(F.col("a").alias("cid")).union(links.select("b")).distinct(), "dedup-members", links.count(), 50_000)
         wanted = classes.join(members, "cid", "left_semi").select("key", "cid")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,12 +513,12 @@ class NearDuplicates:
         percent = self.percent
         named = lambda d, n: components(d.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("cid"), F.col("root").alias(n))
         group = named(links, "k").join(named(sure, "g"), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
-        group = written(group, "dedup-parts", links.count())
+        group = written(group, "dedup-parts", links.count(), 50_000)
         parts = group.groupBy("k", "g").agg(F.count("*").alias("n"))
         whole = parts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "g")).alias("main"))
         tried = links.join(group.select(F.col("cid").alias("a"), "k"), "a").groupBy("k").agg(F.count("*").alias("tried"))
         left = whole.where("parts > 1").join(tried, "k").where("tried < n * (n - 1) / 2")
-        left = written(left.select("k", "n", F.col("main.g").alias("main"), (F.col("n") - F.col("main.n")).alias("rest")), "dedup-left", group.count())
+        left = written(left.select("k", "n", F.col("main.g").alias("main"), (F.col("n") - F.col("main.n")).alias("rest")), "dedup-left", group.count(), spread=True)
         if not left.take(1):
             return sure.limit(0)
         zero = F.lit(0).cast("long")
@@ -568,9 +568,9 @@ class NearDuplicates:
         largest = F.lit(2**63 - 1)
         first = F.min(F.struct(F.coalesce("doc_id", largest).alias("id"), "key"))
         classes = full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), first.alias("first"), F.max("sig").alias("sig"))
-        classes = written(classes.select("cid", "first_id", F.col("first.key").alias("key"), "sig"), "dedup-classes", docs.count(), 8_000)
+        classes = written(classes.select("cid", "first_id", F.col("first.key").alias("key"), "sig"), "dedup-classes", docs.count(), 8_000, spread=True)
         count = classes.count()
-        links = written(self.candidates(classes), "dedup-candidates", 2 * count, 50_000)
+        links = written(self.candidates(classes), "dedup-candidates", 2 * count, 25_000, spread=True)
         sets = self.sets(links, classes)
         sure = written(self.confirmed(links, sets), "dedup-links", links.count(), 10_000)
         more = written(self.remaining(links, sure, sets), "dedup-more-links", count, spread=True)
@@ -621,11 +621,11 @@ def components(links: DataFrame) -> DataFrame:
     change nothing."""
     both = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     n = both.count()
-    edges = written(both.distinct(), "components", n)
+    edges = written(both.distinct(), "components", n, 50_000)
     mark = None
 
     def lows(both: DataFrame) -> DataFrame:
-        return written(both.groupBy("u").agg(F.min("v").alias("m")), "components-low", n)
+        return written(both.groupBy("u").agg(F.min("v").alias("m")), "components-low", n, 50_000)
 
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -636,11 +636,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lows(both)
         own = low.select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(own, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components", n)
+        large = written(both.join(own, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components", n, 50_000)
         forget(edges, low)
         low = lows(large)
         pulled = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components", n)
+        edges = written(pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components", n, 50_000)
         forget(large, low)
 
 
