@@ -14,29 +14,48 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
-@functools.cache
-def _fold_tables() -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
-    """From the character database: single replacements (from, to), marks to delete, and replacements by several.
+HANGUL = (0xAC00, 0xD7A3)
 
-    Hangul syllables are left whole.
-    """
-    one_from, one_to, gone, many = [], [], [], []
+
+@functools.cache
+def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
+    """From the character database: single replacements (from, to), marks to delete, and replacements by several, or of
+    characters beyond the basic plane.  Hangul syllables go by rule."""
+    one_from, one_to, gone, many = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
+        if 0xD800 <= code <= 0xDFFF or HANGUL[0] <= code <= HANGUL[1]:
             continue
         c = chr(code)
         d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if d == c:
             continue
-        if not d:
-            gone.append(c)
-        elif len(d) == 1 and code < 0x10000:
-            one_from.append(c)
-            one_to.append(d)
+        if len(d) <= 1 and code < 0x10000:
+            (one_from if d else gone).append(c)
+            one_to += d
         else:
-            many.append((c, d))
-    # Beyond the alphabets below, few texts hold characters that become several; they go by the slower branch.
-    return "".join(one_from), "".join(one_to), "".join(gone), tuple(many)
+            many[c] = d
+    return "".join(one_from), "".join(one_to), "".join(gone), many
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of these code points, runs as ranges."""
+    out, at = [], 0
+    while at < len(codes):
+        end = at
+        while end + 1 < len(codes) and codes[end + 1] == codes[end] + 1:
+            end += 1
+        out.append(f"\\x{{{codes[at]:x}}}" + (f"-\\x{{{codes[end]:x}}}" if end > at else ""))
+        at = end + 1
+    return "[" + "".join(out) + "]"
+
+
+def _jamo(c: Column) -> Column:
+    """A Hangul syllable as the letters that make it up."""
+    n = F.ascii(c) - HANGUL[0]
+    letter = lambda base, i: F.decode(F.unhex(F.lpad(F.hex((F.lit(base) + i).cast("long")), 4, "0")), "UTF-16BE")
+    tail = F.pmod(n, F.lit(28))
+    lead, vowel = F.floor(n / 588), F.floor(F.pmod(n, F.lit(588)) / 28)
+    return F.concat(letter(0x1100, lead), letter(0x1161, vowel), F.when(tail > 0, letter(0x11A7, tail)).otherwise(F.lit("")))
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -49,13 +68,19 @@ def strip(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Compatibility decomposition without combining marks, lower case, stripped."""
+    """Compatibility decomposition without combining marks, lower case, stripped.
+
+    Texts of ASCII alone are only lower-cased; single replacements are one pass; only the characters that become several
+    and that a text does hold are then replaced one by one.
+    """
     one_from, one_to, gone, many = _fold_tables()
     plain = F.translate(c, one_from + gone, one_to)
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many if ord(a) < 0x3000 or 0xFB00 <= ord(a) <= 0xFB4F))
-    odd = "[" + "".join(sorted(a for a, _ in many if ord(a) < 0x3000 or 0xFB00 <= ord(a) <= 0xFB4F)) + "]"
-    several = F.aggregate(pairs, plain, lambda acc, x: F.replace(acc, x["a"], x["b"]))
-    return strip(F.lower(F.when(c.rlike(odd), several).otherwise(plain)))
+    odd = F.lit(_ranges(sorted([*map(ord, many), *range(HANGUL[0], HANGUL[1] + 1)])))
+    table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in many.items())), F.lit("\x01"), F.lit("\x02"))
+    made = lambda x: F.when(x.between(chr(HANGUL[0]), chr(HANGUL[1])), _jamo(x)).otherwise(F.element_at(table, x))
+    several = F.aggregate(F.array_distinct(F.regexp_extract_all(plain, odd, F.lit(0))), plain, lambda acc, x: F.replace(acc, x, made(x)))
+    wide = F.when(F.regexp(plain, odd), several).otherwise(plain)
+    return strip(F.lower(F.when(F.regexp(c, F.lit(r"[^\x00-\x7F]")), wide).otherwise(c)))
 
 
 def digits(c: Column) -> Column:
@@ -90,7 +115,7 @@ def line_key(c: Column) -> Column:
 
 
 #: Fixed value: a line that says nothing but what couldn't be read.
-FILLER = r"\A(?:\[\?\]|le|la|au|à|du|de|et|,|\.|…|-|\s)*\z"
+FILLER = r"\A(?:\[\?\]|le|la|au|à|du|de|et|,|\.|…|-|\s)*+\z"
 
 
 def collapse_lines(c: Column) -> Column:
@@ -115,7 +140,7 @@ def collapse_lines(c: Column) -> Column:
 
 def cut_phrase_loops(c: Column) -> Column:
     """A short phrase that stands four times or more in a row is kept twice."""
-    return F.regexp_replace(c, r"(?U)(\b[^\n]{2,40}?\b)(?:[\s,;·]*\1){3,}", "$1 $1 …")
+    return F.regexp_replace(c, r"(?U)(\b[^\n]{2,40}?\b)(?:[\s,;·]*\1){3,}+", "$1 $1 …")
 
 
 def clean_transcript(c: Column) -> Column:
@@ -123,6 +148,6 @@ def clean_transcript(c: Column) -> Column:
     t = F.regexp_replace(c, "</?start_of_image>|</?end_of_image>", "")
     t = F.regexp_replace(t, "(?md)^```.*?$", "")
     t = F.array_join(collapse_lines(t), "\n")
-    t = F.regexp_replace(t, r"(?iU)(?:\[\?\]\s*(?:le|la|au|à|du|de|et)?\s*){3,}", "[?] … ")
-    t = F.regexp_replace(t, r"(?U)(?:\[\?\]\s*){3,}", "[?] … ")
+    t = F.regexp_replace(t, r"(?iU)(?:\[\?\]\s*(?:le|la|au|à|du|de|et)?\s*){3,}+", "[?] … ")
+    t = F.regexp_replace(t, r"(?U)(?:\[\?\]\s*){3,}+", "[?] … ")
     return strip(F.regexp_replace(cut_phrase_loops(t), "\n{3,}", "\n\n"))

@@ -9,13 +9,31 @@ PITCH = 790.0
 
 
 def cluster(positions: DataFrame, key: str = "page", pos: str = "y", gap: int = 35) -> DataFrame:
-    """key, pos: the mean, cut to an integer, of each run of sorted positions whose gaps are at most gap."""
+    """key, pos: the mean, cut to an integer, of each run of distinct sorted positions whose gaps are at most gap."""
     w = Window.partitionBy(key).orderBy(pos)
     fresh = F.coalesce((F.col(pos) - F.lag(pos).over(w) > gap).cast("int"), F.lit(0))
-    runs = positions.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = positions.select(key, pos).distinct().withColumn("__fresh", fresh).withColumn("__run", run)
     return runs.groupBy(key, "__run").agg(F.floor(F.avg(pos)).cast("long").alias(pos)).drop("__run")
 
 
+def rules_of(pages: DataFrame, key: str = "page", sums: str = "sums", share: float = 0.4, edge: float = 0.015) -> DataFrame:
+    """key, pos: the rules of a page from the ink of each of its pixel rows: rows over 0.4 of the most, clustered, without
+    those at the edges.  A page without ink has none."""
+    rows = pages.select(key, F.size(sums).alias("__height"), F.array_max(sums).alias("__most"), F.posexplode(sums).alias("y", "ink"))
+    found = cluster(rows.where((F.col("__most") > 0) & (F.col("ink") > share * F.col("__most"))).select(key, "y"), key)
+    sized = found.join(pages.select(key, F.size(sums).alias("__height")), key)
+    return sized.where((F.col("y") > edge * F.col("__height")) & (F.col("y") < F.col("__height") - edge * F.col("__height"))).select(key, "y")
+
+
+def deskew(rect: Column, hough: Column) -> tuple[Column, Column, Column]:
+    """Angle, method and whether to rotate, from two estimates either of which may be missing."""
+    close = rect.isNotNull() & hough.isNotNull() & (F.abs(rect - hough) < 5)
+    angle = F.bround(F.when(close, (rect + hough) / 2).otherwise(F.coalesce(rect, hough, F.lit(0.0))), 3)
+    method = F.when(close, "minAreaRect+hough").when(rect.isNotNull(), "minAreaRect").when(hough.isNotNull(), "hough").otherwise("none")
+    return angle, method, F.abs(angle) >= 0.1
+
+
 def _median(a: Column) -> Column:
     s = F.array_sort(a)
     n = F.size(s)

@@ -69,17 +69,19 @@ def vocabulary_layer(cells: DataFrame, vocab: DataFrame, spec: DataFrame, skip:
 
 
 def correct(
-    cells: DataFrame, spec: DataFrame, vocab: DataFrame, dictionary: DataFrame | None = None, speller: Callable[[DataFrame], DataFrame] | None = None
+    cells: DataFrame, spec: DataFrame, vocab: DataFrame, dictionary: DataFrame | None = None, speller: Callable[[DataFrame], DataFrame] | None = None,
+    gated: bool = True,
 ) -> DataFrame:
     """cells with corrected values, raw (as given) and diffs (original, corrected, note) in the order of the layers.
 
     speller is a hook for a model: it gets the cells and returns (record_id, label, spelt); it changes no empty value.
+    gated: HIGH values are left to open dictionaries' readers; without it, as for a record that a user edits, none are.
     """
     c = with_log(cells)
     for note, rule, labels in RULES_FIRST:
         c = apply_rule(c, note, rule, labels)
     if dictionary is not None:
-        c = dictionary_layer(c, dictionary, spec)
+        c = dictionary_layer(c, dictionary, spec, gated)
     c = vocabulary_layer(c, vocab, spec, tuple(DICTIONARY_OF) if dictionary is not None else ())
     if speller is not None:
         c = c.join(speller(c), ["record_id", "label"], "left")

@@ -20,10 +20,13 @@ TEMPLATE = (
 RENAMED = {"Enlistment Département": "Enlistment Departement", "Birth Département": "Birth Departement"}
 
 
-def template(cells: DataFrame, images: DataFrame, columns: tuple[str, ...] = TEMPLATE) -> DataFrame:
-    """One row for each record (an image's name) of cells that is among images, sorted by page and row."""
+def template(cells: DataFrame, images: DataFrame, columns: tuple[str, ...] = TEMPLATE, value: str = "value") -> DataFrame:
+    """One row for each record (an image's name) of cells that is among images, sorted by page and row.
+
+    value: the column that is delivered; corrected cells have the readers' own values as raw.
+    """
     own = cells.join(images.select(F.col("name").alias("record_id")).distinct(), "record_id", "left_semi")
-    wide = own.groupBy("record_id").pivot("label", list(LABELS)).agg(F.first("value"))
+    wide = own.groupBy("record_id").pivot("label", list(LABELS)).agg(F.first(value))
     parent, idx = row_of("record_id")
     out = wide.withColumn("__parent", parent).withColumn("__row", idx).orderBy("__parent", "__row", "record_id")
 
@@ -36,3 +39,10 @@ def template(cells: DataFrame, images: DataFrame, columns: tuple[str, ...] = TEM
 
 def field_map(spec: DataFrame) -> DataFrame:
     return spec.orderBy("ord").select("label", "key", F.coalesce("vocab", F.lit("")).alias("vocab"))
+
+
+def field_prompt(spec: DataFrame) -> DataFrame:
+    """The fields in order as one text for a model: a line for each, with its vocabulary, if it has one."""
+    line = F.concat(F.lit('- "'), F.col("label"), F.lit('"'), F.coalesce(F.concat(F.lit("  ("), F.col("vocab"), F.lit(")")), F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))  # a row for each field
+    return spec.agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("prompt"))

@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from concordia.functions.text import fold, strip
 
 
-def reconcile(vision: DataFrame, text: DataFrame) -> DataFrame:
+def spine(records: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """record_id and label: each record with every field."""
+    return records.select("record_id").distinct().withColumn("label", F.explode(F.array(*map(F.lit, labels))))
+
+
+def reconcile(vision: DataFrame, text: DataFrame, labels: tuple[str, ...] | None = None) -> DataFrame:
     """vision: record_id, label, value, confidence, evidence; text: record_id, label, value.
 
-    Agreement of the folded values is HIGH; a conflict keeps the vision value, LOW, and notes the other one.
+    Agreement of the folded values is HIGH; a conflict keeps the vision value, LOW, and notes the other one.  The text
+    reader's value is stripped first.  labels: every record gets these fields and no others, blank where no reader has
+    them; else the fields are those that a reader has.
     """
     v = vision.select("record_id", "label", F.col("value").alias("v"), F.col("confidence").alias("vc"), "evidence")
-    t = text.select("record_id", "label", F.col("value").alias("t"))
-    both = v.join(t, ["record_id", "label"], "full_outer").select(
-        "record_id", "label", *(F.coalesce(c, F.lit("")).alias(c) for c in ("v", "vc", "evidence", "t"))
-    )
+    t = text.select("record_id", "label", strip(F.col("value")).alias("t"))
+    on = ["record_id", "label"]
+    if labels is None:
+        met = v.join(t, on, "full_outer")
+    else:
+        met = spine(v.select("record_id").union(t.select("record_id")), labels).join(v, on, "left").join(t, on, "left")
+    both = met.select(*on, *(F.coalesce(c, F.lit("")).alias(c) for c in ("v", "vc", "evidence", "t")))
     has_v, has_t, same = F.col("v") != "", F.col("t") != "", fold(F.col("v")) == fold(F.col("t"))
 
     def pick(agree: Column | str, conflict: Column | str, only_v: Column | str, only_t: Column | str) -> Column:
@@ -35,8 +45,10 @@ def reconcile(vision: DataFrame, text: DataFrame) -> DataFrame:
     )
 
 
-def fast_mode(text: DataFrame) -> DataFrame:
-    """One reader alone: what it has is MEDIUM."""
+def fast_mode(text: DataFrame, labels: tuple[str, ...] | None = None) -> DataFrame:
+    """One reader alone: what it has is MEDIUM.  labels: as for reconcile."""
+    if labels is not None:
+        text = spine(text, labels).join(text.select("record_id", "label", "value"), ["record_id", "label"], "left")
     value = F.coalesce("value", F.lit(""))
     return text.select(
         "record_id", "label", value.alias("value"), F.when(strip(value) != "", "MEDIUM").otherwise("").alias("confidence"),
@@ -67,8 +79,21 @@ def third_reader(cells: DataFrame, third: DataFrame, mark: str = "+third") -> Da
     said = fold(F.col("q"))
     ok = (F.col("confidence") == "LOW") & (F.coalesce("q", F.lit("")) != "") & ((said == fold(F.col("value"))) | ((F.col("alt") != "") & (said == fold(F.col("alt")))))
     ok = F.coalesce(ok, F.lit(False))
-    return j.select(
-        "record_id", "label", "value", F.when(ok, "MEDIUM").otherwise(F.col("confidence")).alias("confidence"), "evidence",
-        F.when(ok, F.concat("source", F.lit(mark))).otherwise(F.col("source")).alias("source"), "alt",
-        F.when(ok, F.array_remove("flags", "uncorroborated")).otherwise(F.col("flags")).alias("flags"),
-    )
+    made = {
+        "confidence": F.when(ok, "MEDIUM").otherwise(F.col("confidence")),
+        "source": F.when(ok, F.concat("source", F.lit(mark))).otherwise(F.col("source")),
+        "flags": F.when(ok, F.array_remove("flags", "uncorroborated")).otherwise(F.col("flags")),
+    }
+    return j.select(*(made.get(c, F.col(c)).alias(c) for c in cells.columns))
+
+
+def batch_items(names: DataFrame, gold: DataFrame) -> DataFrame:
+    """name, ok, event_type, the record's statistics and error of each name asked for; a name without a record is an
+    error of its own and fails nothing else."""
+    stats = confidence_stats(gold)
+    event = gold.where(F.col("label") == "Event Type").groupBy("record_id").agg(F.max("value").alias("event_type"))
+    done = stats.join(event, "record_id", "left").withColumnRenamed("record_id", "name").withColumn("ok", F.lit(True))
+    out = names.select("name").distinct().join(done, "name", "left")
+    ok = F.coalesce("ok", F.lit(False))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("filled", "high", "medium", "low", "conflicts", "flagged")]
+    return out.select("name", ok.alias("ok"), F.coalesce("event_type", F.lit("")).alias("event_type"), *counts, F.when(ok, "").otherwise(F.concat("name", F.lit(" has not been read yet"))).alias("error"))

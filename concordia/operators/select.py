@@ -50,7 +50,8 @@ def row_of(name: Column | str) -> tuple[Column, Column]:
 
 
 def listing(images: DataFrame, results: DataFrame) -> DataFrame:
-    """name, parent, row_idx, rows of its page, has_rows, processed, event_type, n_diffs of every image."""
+    """name, parent, row_idx, rows of its page, which row of how many it is, has_rows, processed, event_type, n_diffs of
+    every image."""
     parent, idx = row_of("name")
     cut = row_split(F.col("name"))
     i = images.select("name").withColumn("parent", parent).withColumn("row_idx", idx).withColumn("is_row", cut)
@@ -59,6 +60,7 @@ def listing(images: DataFrame, results: DataFrame) -> DataFrame:
     out = i.join(rows, "parent", "left").join(r, "name", "left")
     return out.select(
         "name", "parent", "row_idx", F.when(F.col("is_row"), F.coalesce("rows", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("rows"),
+        F.when(F.col("is_row"), F.concat_ws(" of ", F.col("row_idx").cast("string"), F.col("rows").cast("string"))).otherwise("").alias("row_info"),
         (F.col("rows").isNotNull() & ~F.col("is_row")).alias("has_rows"), F.coalesce("processed", F.lit(False)).alias("processed"),
         F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("n_diffs", F.lit(0)).cast("long").alias("n_diffs"),
     )
@@ -72,3 +74,9 @@ def progress(done: Column, total: Column, share: Column, elapsed: Column) -> tup
     """Fraction done, and seconds left once 2 % are done."""
     frac = (done + share / 100) / F.greatest(F.lit(1), total)
     return frac, F.when(frac > 0.02, elapsed / frac - elapsed)
+
+
+def files_of(name: Column) -> tuple[Column, Column, Column]:
+    """Names of the converted, the straightened and the enhanced image of a file; files of one stem share them."""
+    stem = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*\z", "")
+    return tuple(F.concat(stem, F.lit(x)) for x in (".png", "_deskewed.png", "_preprocessed.png"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.functions.normalise import plausibility
-from concordia.functions.similarity import ratio, upper_bound
+from concordia.functions.similarity import ratio, short_ratio, upper_bound
 from concordia.functions.text import digit_runs, digits, fold, strip, tokens
 
 # Structural headings of the two kinds of pages.
@@ -58,15 +58,14 @@ def longest_word(value: Column) -> Column:
 def word_support(asked: DataFrame, index: DataFrame, least: float = 82.0) -> DataFrame:
     """record_id, word of the asked words that the record's transcript holds, up to that similarity.
 
-    A word meets the transcript's words of its own record, within lengths that can reach the score; each distinct pair
-    is scored once for all records.
+    A word meets the transcript's words of its own record, within lengths that can reach the score.
     """
     postings = index.select("record_id", F.explode("words").alias("seen"))
     exact = asked.join(postings.withColumnRenamed("seen", "word"), ["record_id", "word"], "left_semi").distinct()
     open_ = asked.join(exact, ["record_id", "word"], "left_anti")
     pairs = open_.join(postings, "record_id").where(upper_bound(F.col("word"), F.col("seen")) >= least)
-    near = pairs.select("word", "seen").distinct().where(ratio(F.col("word"), F.col("seen")) >= least)
-    return exact.unionByName(pairs.join(near, ["word", "seen"], "left_semi").select("record_id", "word").distinct())
+    near = pairs.where(ratio(F.col("word"), F.col("seen")) >= least)
+    return exact.unionByName(near.select("record_id", "word").distinct())
 
 
 def support(cells: DataFrame, index: DataFrame, spec: DataFrame) -> DataFrame:
@@ -78,7 +77,7 @@ def support(cells: DataFrame, index: DataFrame, spec: DataFrame) -> DataFrame:
     hits = word_support(asked, index).select("record_id", F.col("word").alias("__word"), F.lit(True).alias("__hit"))
     c = c.join(hits, ["record_id", "__word"], "left")
     num = F.col("__num")
-    close = F.exists(F.coalesce("runs", F.array().cast("array<string>")), lambda d: (d == num) | ((F.length(num) >= 3) & (F.coalesce(ratio(num, d), F.lit(0.0)) >= 85)))
+    close = F.exists(F.coalesce("runs", F.array().cast("array<string>")), lambda d: (d == num) | ((F.length(num) >= 3) & (F.coalesce(short_ratio(num, d), F.lit(0.0)) >= 85)))
     by_number = (num == "") | F.contains(F.coalesce("all_digits", F.lit("")), num) | close
     ok = F.when(F.col("is_num"), by_number).when(F.col("is_derived"), True).when(F.col("__word").isNull(), True).otherwise(F.coalesce("__hit", F.lit(False)))
     return c.withColumn("supported", ok).drop("__word", "__num", "__hit", "runs", "all_digits", "has_words", "is_num", "is_derived")

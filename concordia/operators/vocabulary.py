@@ -29,16 +29,20 @@ def fuzzy_snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
-    """cells with snapped value and note: exact variants first, the rest by similarity."""
+    """cells with snapped value and note: exact variants first, the rest by similarity.
+
+    An exact variant that changes the value is noted as case: in a plain list and as snap: in a vocabulary with variants.
+    """
     exact = exact_snap(cells, vocab)
     near = fuzzy_snap(exact.where("canonical IS NULL").drop("canonical"), vocab)
-    done = exact.where("canonical IS NOT NULL").withColumn("score", F.lit(100.0))
-    both = done.unionByName(near)
+    done = exact.where("canonical IS NOT NULL").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
+    both = done.unionByName(near.withColumn("exact", F.lit(False)))
     canonical = F.col("canonical")
+    both = both.join(F.broadcast(vocab.select("vocab", "listed").distinct()), "vocab", "left")
     note = F.when(canonical.isNull() | (canonical == F.col("value")), F.lit("")).when(
-        F.col("score") == 100.0, F.concat(F.when(F.lower("value") == F.lower(canonical), "case:").otherwise("snap:"), F.col("vocab"))
-    ).otherwise(F.concat(F.lit("snap:"), F.col("vocab"), F.lit("("), F.round("score").cast("int").cast("string"), F.lit(")")))
-    return both.withColumn("note", note).withColumn("value", F.coalesce(canonical, "value")).drop("canonical", "score")
+        F.col("exact"), F.concat(F.when(F.col("listed"), "case:").otherwise("snap:"), F.col("vocab"))
+    ).otherwise(F.concat(F.lit("snap:"), F.col("vocab"), F.lit("("), F.bround("score").cast("int").cast("string"), F.lit(")")))
+    return both.withColumn("note", note).withColumn("value", F.coalesce(canonical, "value")).drop("canonical", "score", "exact", "listed")
 
 
 def build_dictionary(sources: DataFrame, gloss_keys: tuple[str, ...] = ("hair", "eye")) -> DataFrame:
@@ -84,6 +88,44 @@ def top_candidates(values: DataFrame, dictionary: DataFrame, k: int = 4, least:
     return dictionary_candidates(values, dictionary, least).withColumn("rank", rank).where(F.col("rank") <= k).select("dictkey", "v", "rank", "value", "score")
 
 
+def vocabulary_candidates(values: DataFrame, vocab: DataFrame, k: int = 4, least: float = 60.0) -> DataFrame:
+    """vocab, v, rank, value, score of the k canonical forms of a small vocabulary most similar to each value, the first
+    among equals; of those, what scores at least so much."""
+    canon = vocab.groupBy("vocab", "canonical").agg(F.min("ord").alias("ord")).withColumn("norm", fold(F.col("canonical")))
+    pairs = values.select("vocab", "v").distinct().where(strip(F.col("v")) != "").join(F.broadcast(canon), "vocab")
+    scored = pairs.withColumn("score", composite_ratio(fold(F.col("v")), F.col("norm")))
+    rank = F.row_number().over(Window.partitionBy("vocab", "v").orderBy(F.desc("score"), "ord"))
+    return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") >= least)).select("vocab", "v", "rank", F.col("canonical").alias("value"), "score")
+
+
+def candidates(values: DataFrame, spec: DataFrame, vocab: DataFrame, dictionary: DataFrame | None = None, k: int = 4) -> DataFrame:
+    """label, v, candidates (best first) that ground a speller: of the field's dictionary, or else of its vocabulary."""
+    asked = values.select("label", "v").distinct().join(F.broadcast(spec.select("label", "dictkey", "vocab")), "label")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"])  # at most k
+    if dictionary is not None:
+        big = top_candidates(asked.where("dictkey IS NOT NULL"), dictionary, k).groupBy("dictkey", "v").agg(ordered.alias("big"))
+        asked = asked.join(big, ["dictkey", "v"], "left")
+    else:
+        asked = asked.withColumn("big", F.lit(None).cast("array<string>"))
+    open_ = asked.where("big IS NULL AND vocab IS NOT NULL")
+    small = vocabulary_candidates(open_, vocab, k).groupBy("vocab", "v").agg(ordered.alias("small"))
+    none = F.array().cast("array<string>")
+    return asked.join(small, ["vocab", "v"], "left").select("label", "v", F.coalesce("big", F.when(F.col("vocab").isNotNull(), F.col("small")), none).alias("candidates"))
+
+
+#: Dictionaries to which the project's own vocabulary of that name is added.
+MERGED = ("city", "state", "prefix", "suffix")
+
+
+def with_project_vocabulary(sources: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = MERGED) -> DataFrame:
+    """sources (dictkey, value, src, ord) and, after them, the canonical forms of the project's vocabularies."""
+    own = vocab.where(F.col("vocab").isin(*keys)).groupBy("vocab", "canonical").agg(F.min("ord").alias("ord"))
+    last = F.lit(2**31 - 1)
+    return sources.select("dictkey", "value", F.col("src").cast("int").alias("src"), F.col("ord").cast("long").alias("ord")).unionByName(
+        own.select(F.col("vocab").alias("dictkey"), F.col("canonical").alias("value"), last.alias("src"), F.col("ord").cast("long").alias("ord"))
+    )
+
+
 def contained(cells: DataFrame, closed: DataFrame) -> DataFrame:
     """cells (dictkey, v) with match: the first canonical of a small closed set that the value is or holds as a word."""
     words = F.split(fold(F.col("v")), r"\s+")

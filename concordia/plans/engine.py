@@ -18,11 +18,32 @@ class Settings:
     third_reader: bool = True
 
 
-def read_phase(text: DataFrame, vision: DataFrame | None, settings: Settings = Settings()) -> DataFrame:
-    """Silver cells from the readers' cells."""
-    if settings.mode == "fast" or vision is None:
-        return reconcile.fast_mode(text)
-    return reconcile.reconcile(vision, text)
+def typed(cells: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """cells with the Event Type that a row's name or the transcript's headings tell, and the change in diffs, if cells have them."""
+    kinds = verify.classify(transcripts).select("record_id", "doctype", "doctype_confidence")
+    rows, event = verify.row_split(F.col("record_id")), F.col("label") == "Event Type"
+    told = F.when(rows, F.lit("Military")).when(F.col("doctype") != "", F.col("doctype"))
+    c = cells.join(kinds, "record_id", "left").withColumn("__told", F.when(event, told))
+    known = F.col("__told").isNotNull()
+    made = {
+        "value": F.coalesce("__told", "value"),
+        "confidence": F.when(known, F.when(rows, F.lit("HIGH")).otherwise(F.col("doctype_confidence"))).otherwise(F.col("confidence")),
+        "source": F.when(known, F.when(rows, F.lit("row-split")).otherwise(F.lit("structure"))).otherwise(F.col("source")),
+        "alt": F.when(known, "").otherwise(F.col("alt")),
+        "evidence": F.when(known, F.when(rows, F.lit("one row of a multi-person ledger page")).otherwise(F.lit("page section headers"))).otherwise(F.col("evidence")),
+    }
+    if "diffs" in cells.columns:
+        note = F.when(rows, F.lit("row-split:forced")).otherwise(F.lit("doctype:markers"))
+        diff = F.array(F.struct(F.col("value").alias("original"), F.col("__told").alias("corrected"), note.alias("note")))
+        made["diffs"] = F.when(known & (F.col("__told") != F.col("value")), F.concat("diffs", diff)).otherwise(F.col("diffs"))
+    return c.select(*(made.get(x, F.col(x)).alias(x) for x in cells.columns))
+
+
+def read_phase(text: DataFrame, vision: DataFrame | None, settings: Settings = Settings(), transcripts: DataFrame | None = None) -> DataFrame:
+    """Silver cells from the readers' cells: every record with all fields, typed where its transcript is given."""
+    fast = settings.mode == "fast" or vision is None
+    silver = reconcile.fast_mode(text, fields.LABELS) if fast else reconcile.reconcile(vision, text, fields.LABELS)
+    return silver if transcripts is None else typed(silver, transcripts)
 
 
 def post_phase(
@@ -32,17 +53,12 @@ def post_phase(
     """Gold cells, always from silver ones: corrected, typed, verified, and confirmed by a third reader."""
     spark = silver.sparkSession
     spec, vocab = fields.field_spec(spark), fields.vocabulary(spark)
-    gold = correct.correct(silver, spec, vocab, dictionary, speller)
-    kinds = verify.classify(transcripts).select("record_id", "doctype", "doctype_confidence")
-    rows = verify.row_split(F.col("record_id"))
-    gold = gold.join(kinds, "record_id", "left")
-    event = F.col("label") == "Event Type"
-    typed = F.when(rows, F.lit("Military")).when(F.coalesce("doctype", F.lit("")) != "", F.col("doctype"))
-    gold = gold.withColumn("source", F.when(event & typed.isNotNull(), F.when(rows, "row-split").otherwise("structure")).otherwise(F.col("source")))
-    gold = gold.withColumn("confidence", F.when(event & typed.isNotNull(), F.when(rows, "HIGH").otherwise(F.col("doctype_confidence"))).otherwise(F.col("confidence")))
-    gold = gold.withColumn("value", F.coalesce(F.when(event, typed), "value")).drop("doctype", "doctype_confidence")
+    gold = typed(correct.correct(silver, spec, vocab, dictionary, speller), transcripts)
     gold = verify.verify(gold, verify.transcript_index(transcripts), spec, settings.strict)
-    if settings.third_reader and third is not None:
-        keep = gold.select("record_id", "label", "raw", "diffs", "dropped")
-        gold = reconcile.third_reader(gold, third).join(keep, ["record_id", "label"])
-    return gold
+    return reconcile.third_reader(gold, third) if settings.third_reader and third is not None else gold
+
+
+def edited(cells: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """A user's own values corrected: no confidence holds any back, and nothing is verified again."""
+    spark = cells.sparkSession
+    return correct.correct(cells, fields.field_spec(spark), fields.vocabulary(spark), dictionary, gated=False)
