@@ -78,8 +78,10 @@ def fold(c: Column) -> Column:
     odd = F.lit(_ranges(sorted([*map(ord, many), *range(HANGUL[0], HANGUL[1] + 1)])))
     table = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in many.items())), F.lit("\x01"), F.lit("\x02"))
     made = lambda x: F.when(x.between(chr(HANGUL[0]), chr(HANGUL[1])), _jamo(x)).otherwise(F.element_at(table, x))
-    several = F.aggregate(F.array_distinct(F.regexp_extract_all(plain, odd, F.lit(0))), plain, lambda acc, x: F.replace(acc, x, made(x)))
-    wide = F.when(F.regexp(plain, odd), several).otherwise(plain)
+    several = lambda p, rest: F.aggregate(F.array_distinct(F.regexp_extract_all(rest, odd, F.lit(0))), p, lambda acc, x: F.replace(acc, x, made(x)))
+    # The long class is only tried on what the single replacements leave beyond ASCII.
+    rest = lambda p: F.regexp_replace(p, r"[\x00-\x7f]+", "")
+    wide = let(plain, lambda p: let(rest(p), lambda r: F.when((r != "") & F.regexp(r, odd), several(p, r)).otherwise(p)))
     return strip(F.lower(F.when(F.regexp(c, F.lit(r"[^\x00-\x7F]")), wide).otherwise(c)))
 
 
