@@ -11,7 +11,9 @@ whatever can reach the floor with it is scored exactly too, however many that ar
 Queries and vectors are cut into blocks by a hash, and each pair of blocks is one task's work: a stated query set
 against all rows.  Equal vectors of a block share one entry in the scan; as many of their smallest ids as can be
 asked for are kept.  Vectors that are null, zero or hold null or non-finite components, and rows without an id, take
-no part.  Vectors of another length than the most frequent one aren't comparable and take no part either.
+no part.  Vectors of different lengths have no inner product: those of each length are searched among themselves, with
+a codebook of their own.  Repeated ids are rows of their own, except that a query has its id's rows for no candidates.
+Columns other than vec_id and embedding aren't read, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -179,18 +181,26 @@ def nearest(
 
     The codebook is fitted on at most sample_rows rows chosen by a hash; every row is encoded and searched.
     """
+    spark = vectors.sparkSession
+    every_length = usable(vectors)
+    lengths = every_length.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()  # a row for each length
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for usual in lengths:
+        own = every_length.where(F.size("v") == usual["n"])
+        found = _nearest_of_length(own, usual["count"], k, query_every, sample_rows, rerank, block, subspaces)
+        out = found if len(lengths) == 1 else out.unionByName(found)
+    return out
+
+
+def _nearest_of_length(own: DataFrame, count: int, k: int, query_every: int, sample_rows: int, rerank: int, block: int, subspaces: int) -> DataFrame:
+    """The search among vectors of one length."""
     import pyarrow as pa
 
     schema = "query_id long, vec_id long, score double"
-    spark = vectors.sparkSession
-    own = usable(vectors)
-    usual = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = own.where(F.size("v") == usual["n"])
+    spark = own.sparkSession
     sample = own.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(sample_rows).toPandas()  # a bounded sample
     quantiser = spark.sparkContext.broadcast(fit(np.stack(sample.v.to_numpy()), subspaces))
-    blocks, query_blocks = -(-usual["count"] // block), max(1, -(-usual["count"] // (query_every * 4096)))
+    blocks, query_blocks = -(-count // block), max(1, -(-count // (query_every * 4096)))
     number = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n).cast("long"))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     every = own.select("vec_id", "v", number(1, blocks).alias("b"), F.explode(numbers(query_blocks)).alias("q"))

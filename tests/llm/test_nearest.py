@@ -75,3 +75,13 @@ def test_full_block_with_near_copies():
         s = x.astype(float) @ x[i].astype(float)
         s[i] = -np.inf
         assert got[i] == np.lexsort((ids, -s))[:20].tolist()
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 + i % 2 * 2).tolist(), "x") for i in range(15, 215)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")).collect()
+    for q in {r[0] for r in rows if r[0] % 20 == 0}:
+        v = dict((i, x) for i, x, _ in rows)[q]
+        want = sorted(((-float(np.dot(v, x)), i) for i, x, _ in rows if len(x) == len(v) and i != q))[:20]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for _, i in want]
