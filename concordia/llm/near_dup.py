@@ -625,7 +625,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
 
     def lows(both: DataFrame) -> DataFrame:
-        return written(both.groupBy("u").agg(F.min("v").alias("m")), "components-low", n, 50_000)
+        return both.groupBy("u").agg(F.min("v").alias("m"))
 
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -637,11 +637,11 @@ def components(links: DataFrame) -> DataFrame:
         low = lows(both)
         own = low.select("u", F.least("u", "m").alias("m"))
         large = written(both.join(own, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "components", n, 50_000)
-        forget(edges, low)
+        forget(edges)
         low = lows(large)
         pulled = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(pulled.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "components", n, 50_000)
-        forget(large, low)
+        forget(large)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **more) -> DataFrame:
