@@ -91,7 +91,11 @@ def _scorer(kind: str):
 
 
 def ratio(a: Column, b: Column) -> Column:
-    """200 * common / (len a + len b), 100 for two empty strings; null if either is."""
+    """200 * common / (len a + len b), 100 for two empty strings; null if either is.
+
+    a and b are columns of a table below a join or aggregate: Spark gives a Python function no expression that holds
+    functions over arrays, as folding does.
+    """
     return _scorer("plain")(a, b)
 
 

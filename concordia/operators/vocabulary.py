@@ -92,8 +92,9 @@ def vocabulary_candidates(values: DataFrame, vocab: DataFrame, k: int = 4, least
     """vocab, v, rank, value, score of the k canonical forms of a small vocabulary most similar to each value, the first
     among equals; of those, what scores at least so much."""
     canon = vocab.groupBy("vocab", "canonical").agg(F.min("ord").alias("ord")).withColumn("norm", fold(F.col("canonical")))
-    pairs = values.select("vocab", "v").distinct().where(strip(F.col("v")) != "").join(F.broadcast(canon), "vocab")
-    scored = pairs.withColumn("score", composite_ratio(fold(F.col("v")), F.col("norm")))
+    asked = values.select("vocab", "v").distinct().where(strip(F.col("v")) != "").withColumn("n", fold(F.col("v")))
+    pairs = asked.join(F.broadcast(canon), "vocab")  # the folded values are a column below the join: scorers take no functions over arrays
+    scored = pairs.withColumn("score", composite_ratio(F.col("n"), F.col("norm")))
     rank = F.row_number().over(Window.partitionBy("vocab", "v").orderBy(F.desc("score"), "ord"))
     return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("score") >= least)).select("vocab", "v", "rank", F.col("canonical").alias("value"), "score")
 
