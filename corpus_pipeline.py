@@ -1,6 +1,10 @@
 """A corpus made ready for training: toxic documents go, one of each group of near-duplicates stays, secrets are blotted
 out, and what is left is packed into sequences.
 
+In every stage a null text counts as empty and stays null, rows with empty texts or null ids are kept, repeated rows are
+told apart where a stage keeps one of a group, an empty table gives an empty one, and a very long text is taken whole.
+Columns beside those of documents are left out, so that none can clash.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
 reads it again as the next stage's docs.  SQL cannot express the trained classifier, so there is no ORACLE_SQL; the
 tests hold the stages against plain versions.
