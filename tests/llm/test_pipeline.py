@@ -34,3 +34,19 @@ def test_stages(spark):
 
 def test_names_and_order():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "packing"] and pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and repeated rows, a null id, long texts and columns of other names go through every stage."""
+    from tests.llm.corpus import edge_documents
+
+    docs = edge_documents(spark).withColumn("score", secrets.F.lit(1)).withColumn("__spans", secrets.F.lit(2))
+    for rows, empty in ((docs, False), (docs.limit(0), True)):
+        for name, stage in pipeline.STAGES:
+            before, rows = rows, written(stage(spark, rows, SMALL), "test-pipeline")
+            if name != "packing":
+                assert rows.columns == list(DOC_COLUMNS)
+            assert rows.isEmpty() == empty
+            if name == "near_duplicates":
+                assert rows.where("text IS NULL OR trim(text) = ''").count() == before.where("text IS NULL OR trim(text) = ''").count()
+                assert rows.where("text = 'the cat sat on the mat'").count() == (0 if empty else 1)
