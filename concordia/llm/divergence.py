@@ -121,8 +121,11 @@ def kept_terms(dealt: DataFrame, least: int) -> DataFrame:
 
 
 def shard_count(docs: DataFrame) -> int:
-    """Enough shards that one's counts fit a task; they follow the input's bytes."""
-    return max(shuffle_partitions(docs.sparkSession), -(-(known_bytes(docs) or 0) // SHARD_BYTES))
+    """Enough shards that one's counts fit a task; they follow the input's bytes, as each shard has partial sums of its own.
+    Where the plan doesn't know those, there are as many as shuffle partitions."""
+    size = known_bytes(docs)
+    least = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    return shuffle_partitions(docs.sparkSession) if size is None else max(least, -(-size // SHARD_BYTES))
 
 
 def divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
