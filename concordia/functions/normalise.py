@@ -31,7 +31,7 @@ def ordinal(c: Column) -> Column:
     return F.when(c.rlike(p), F.lit("")).otherwise(c)
 
 
-#: Departments that a birthplace has by default.
+#: Departments that a place of enlistment has by default.
 DEFAULT_DEPARTMENTS = ("aude", "l'aude", "laude", "tarn")
 
 

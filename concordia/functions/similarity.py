@@ -1,90 +1,40 @@
 """Indel similarity of any strings, scored by Arrow batches; and in the JVM for short strings inside arrays.
 
-The score of two strings is 200 * common / (len a + len b), common being the length of their longest common subsequence,
-found by bit-parallel steps over integers of any length, so that no string is too long.  A worker keeps the scores of
-pairs that it meets again, up to a bound.
+The score of two strings is 200 * common / (len a + len b), common being the length of their longest common subsequence.
+A batch's pairs are scored at once, a lane of bits a pair; no string is too long.
 """
 
 from __future__ import annotations
 
 import functools
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from concordia.functions import lanes
+
 #: Longest string whose characters fit the bits of a long with room for the carry.
 BITS = 62
 
+register_pickle_by_value(lanes)  # scorers travel with their functions, so that workers need no import of this package
+
 
 @functools.cache
 def _scorer(kind: str):
-    """A pandas UDF of two string columns; its functions travel with it, so that workers need no import of this package."""
+    """A pandas UDF of two string columns."""
     import pandas as pd
 
-    def plain(a: str, b: str) -> float:
-        if not a and not b:
-            return 100.0
-        masks: dict = {}
-        for i, c in enumerate(b):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full = (1 << len(b)) - 1
-        s = full
-        for c in a:
-            hit = s & masks.get(c, 0)
-            s = (s + hit) | (s - hit)
-        return 200.0 * (~s & full).bit_count() / (len(a) + len(b))
-
-    def partial(a: str, b: str) -> float:
-        """The best score of the shorter string with a window of its length of the longer one, or with a shorter end of it."""
-        if len(a) > len(b):
-            a, b = b, a
-        if not a:
-            return 0.0 if b else 100.0
-        n, held = len(a), set(a)
-        best = 0.0
-        for i in range(-n + 1, len(b)):
-            x, y = max(i, 0), min(i + n, len(b))
-            if b[x if i < 0 else y - 1] in held or (i >= 0 and b[x] in held):  # others score no more than a neighbour
-                best = max(best, plain(a, b[x:y]))
-        return best
-
-    def composite(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        ta, tb = sorted(a.split()), sorted(b.split())
-        sa, sb = set(ta), set(tb)
-        both = " ".join(sorted(sa & sb))
-        only_a, only_b = " ".join(sorted(sa - sb)), " ".join(sorted(sb - sa))
-        longer = max(len(a), len(b)) / min(len(a), len(b))
-        score = plain(a, b)
-        if longer < 1.5:
-            token = plain(" ".join(ta), " ".join(tb))
-            if both:
-                x, y = f"{both} {only_a}".strip(), f"{both} {only_b}".strip()
-                token = max(token, 100.0 if not only_a or not only_b else max(plain(both, x), plain(both, y), plain(x, y)))
-            return max(score, 0.95 * token)
-        share = 0.9 if longer < 8 else 0.6
-        token = 100.0 if both else max(partial(" ".join(ta), " ".join(tb)), partial(only_a, only_b))
-        return max(score, share * partial(a, b), 0.95 * share * token)
-
-    rule, known = {"plain": plain, "composite": composite}[kind], {}
+    rule = {"plain": lanes.ratios, "composite": lanes.composites}[kind]
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for pair in zip(a, b):
-            if pair[0] is None or pair[1] is None:
-                out.append(None)
-                continue
-            s = known.get(pair)
-            if s is None:
-                if len(known) >= 100_000:
-                    known.clear()
-                s = rule(*pair)
-                if len(pair[0]) + len(pair[1]) <= 128:
-                    known[pair] = s
-            out.append(s)
-        return pd.Series(out, dtype="float64")
+        some = (a.notna() & b.notna()).to_numpy()
+        if some.all():
+            return pd.Series(rule(a.tolist(), b.tolist()))
+        out = pd.Series([None] * len(a), dtype="object")
+        out[some] = rule(a[some].tolist(), b[some].tolist())
+        return out
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}  # as types, which the UDF's kind is told from
     return F.pandas_udf(run, DoubleType())

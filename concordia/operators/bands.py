@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordia.functions.text import let
+
 PITCH = 790.0
 
 
@@ -17,13 +19,33 @@ def cluster(positions: DataFrame, key: str = "page", pos: str = "y", gap: int =
     return runs.groupBy(key, "__run").agg(F.floor(F.avg(pos)).cast("long").alias(pos)).drop("__run")
 
 
+def clustered(positions: Column, gap: int = 35) -> Column:
+    """The same of one page's sorted positions in an array: every run's mean, cut to an integer."""
+
+    def means(p: Column, starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(p))
+        mean = lambda run: F.floor(F.aggregate(run, F.lit(0).cast("long"), lambda s, x: s + x) / F.size(run)).cast("long")
+        return F.transform(starts, lambda s, k: let(F.slice(p, s + 1, end(k) - s), mean))
+
+    none = F.array().cast("array<bigint>")
+    places = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i) - F.get(p, i - 1) > gap))
+    return let(positions.cast("array<bigint>"), lambda p: F.when(F.size(p) > 0, let(places(p), lambda starts: means(p, starts))).otherwise(none))
+
+
+def rules(sums: Column, share: float = 0.4, edge: float = 0.015) -> Column:
+    """The rules of a page from the ink of each of its pixel rows: rows over 0.4 of the most, clustered, without those at
+    the edges.  A page without ink has none.  All of it stays in the page's own row."""
+
+    def inked(s: Column, most: Column) -> Column:
+        return F.filter(F.transform(s, lambda x, y: F.when((most > 0) & (x > share * most), y.cast("long"))), lambda y: y.isNotNull())
+
+    within = lambda h: lambda y: (y > edge * h) & (y < h - edge * h)
+    return let(sums, lambda s: let(F.array_max(s), lambda most: F.filter(clustered(inked(s, most)), within(F.size(s)))))
+
+
 def rules_of(pages: DataFrame, key: str = "page", sums: str = "sums", share: float = 0.4, edge: float = 0.015) -> DataFrame:
-    """key, pos: the rules of a page from the ink of each of its pixel rows: rows over 0.4 of the most, clustered, without
-    those at the edges.  A page without ink has none."""
-    rows = pages.select(key, F.size(sums).alias("__height"), F.array_max(sums).alias("__most"), F.posexplode(sums).alias("y", "ink"))
-    found = cluster(rows.where((F.col("__most") > 0) & (F.col("ink") > share * F.col("__most"))).select(key, "y"), key)
-    sized = found.join(pages.select(key, F.size(sums).alias("__height")), key)
-    return sized.where((F.col("y") > edge * F.col("__height")) & (F.col("y") < F.col("__height") - edge * F.col("__height"))).select(key, "y")
+    """key, y: the rules of each page."""
+    return pages.select(key, F.explode(rules(F.col(sums), share, edge)).alias("y"))
 
 
 def deskew(rect: Column, hough: Column) -> tuple[Column, Column, Column]:
@@ -35,48 +57,55 @@ def deskew(rect: Column, hough: Column) -> tuple[Column, Column, Column]:
 
 
 def _median(a: Column) -> Column:
-    s = F.array_sort(a)
-    n = F.size(s)
-    mid = lambda i: F.get(s, i.cast("int")).cast("double")
-    return (mid(F.floor((n - 1) / 2)) + mid(F.floor(n / 2))) / 2
+    mid = lambda s, i: F.get(s, i.cast("int")).cast("double")
+    return let(F.array_sort(a), lambda s: (mid(s, F.floor((F.size(s) - 1) / 2)) + mid(s, F.floor(F.size(s) / 2))) / 2)
 
 
 def _gaps(p: Column) -> Column:
     return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.get(p, i) - F.get(p, i - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fill(pages: DataFrame, positions: str = "positions", top: str = "top") -> DataFrame:
-    """pages (with sorted positions) with bands, an array of (top, bottom).
+def bands_of(positions: Column, top: Column) -> Column:
+    """Bands (top, bottom) between sorted positions, moved by top.
 
     The usual pitch is the median of the gaps over 400, if there are three; a gap of several pitches is cut in equal
     parts, to the nearest even integer; a first gap under 0.6 of the pitch loses its first line.
     """
-    g = _gaps(F.col(positions))
-    usual = F.filter(g, lambda x: x > 400)
-    c = pages.withColumn("__usual", F.when(F.size(usual) > 0, usual).otherwise(g))
-    c = c.withColumn("__med", F.when(F.size("__usual") >= 3, _median(F.col("__usual"))).otherwise(F.lit(PITCH)))
-    p = F.col(positions)
-    short = F.coalesce(F.get(p, F.lit(1)) - F.get(p, F.lit(0)) < 0.6 * F.col("__med"), F.lit(False))
-    c = c.withColumn("__p", F.when(short, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("__p") - 1), lambda i: F.struct(F.get("__p", i - 1).alias("a"), F.get("__p", i).alias("b")))
-
-    def cut(x: Column, med: Column) -> Column:
-        n = F.greatest(F.bround((x["b"] - x["a"]) / med), F.lit(1)).cast("int")
-        at = lambda k: F.bround(x["a"] + (x["b"] - x["a"]) * k / n).cast("long")
-        return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(at(k - 1).alias("top"), at(k).alias("bottom")))
-
-    bands = F.flatten(F.transform(pairs, lambda x: cut(x, F.col("__med"))))
-    bands = F.transform(bands, lambda b: F.struct((b["top"] + F.col(top)).alias("top"), (b["bottom"] + F.col(top)).alias("bottom")))
     none = F.expr("CAST(array() AS array<struct<top:bigint,bottom:bigint>>)")
-    return c.withColumn("bands", F.when((F.size(positions) >= 2) & (F.size("__p") >= 2), bands).otherwise(none)).drop("__usual", "__med", "__p")
+
+    def cut(a: Column, b: Column, med: Column) -> Column:
+        n = F.greatest(F.bround((b - a) / med), F.lit(1)).cast("int")
+        at = lambda k, n: (F.bround(a + (b - a) * k / n).cast("long") + top).cast("long")
+        return let(n, lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(at(k - 1, n).alias("top"), at(k, n).alias("bottom"))))
+
+    def between(p: Column, med: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: cut(F.get(p, i - 1), F.get(p, i), med))
+        return F.when(F.size(p) >= 2, F.flatten(pairs)).otherwise(none)
+
+    def pitched(p: Column, med: Column) -> Column:
+        short = F.coalesce(F.get(p, F.lit(1)) - F.get(p, F.lit(0)) < 0.6 * med, F.lit(False))
+        return let(F.when(short, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p), lambda lines: between(lines, med))
+
+    def pitch(g: Column) -> Column:
+        usual = lambda u: F.when(F.size(u) > 0, u).otherwise(g)
+        return let(let(F.filter(g, lambda x: x > 400), usual), lambda u: F.when(F.size(u) >= 3, _median(u)).otherwise(F.lit(PITCH)))
+
+    return let(positions, lambda p: let(let(_gaps(p), pitch), lambda med: F.when(F.size(p) >= 2, pitched(p, med)).otherwise(none)))
+
+
+def fill(pages: DataFrame, positions: str = "positions", top: str = "top") -> DataFrame:
+    """pages (with sorted positions) with bands, an array of (top, bottom)."""
+    return pages.withColumn("bands", bands_of(F.col(positions), F.col(top)))
 
 
 def with_fallback(pages: DataFrame, top: str = "top", first: int = 390, count: int = 4) -> DataFrame:
     """pages with bands replaced by four of the usual pitch, where there are none or one is far from it."""
-    fine = (F.size("bands") > 0) & F.forall("bands", lambda b: ((b["bottom"] - b["top"]) >= 0.6 * PITCH) & ((b["bottom"] - b["top"]) <= 1.4 * PITCH))
+    near = lambda b: ((b["bottom"] - b["top"]) >= 0.6 * PITCH) & ((b["bottom"] - b["top"]) <= 1.4 * PITCH)
     start = lambda k: (F.col(top) + first + k * int(PITCH)).cast("long")
     fixed = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.struct(start(k).alias("top"), start(k + 1).alias("bottom")))
-    return pages.withColumn("fallback", ~fine).withColumn("bands", F.when(fine, F.col("bands")).otherwise(fixed))
+    kept = lambda b: F.when((F.size(b) > 0) & F.forall(b, near), F.struct(F.lit(False).alias("fallback"), b.alias("bands"))).otherwise(F.struct(F.lit(True).alias("fallback"), fixed.alias("bands")))
+    own = [c for c in pages.columns if c not in ("fallback", "bands")]
+    return pages.withColumn("__b", let(F.col("bands"), kept)).select(*own, "__b.fallback", "__b.bands")
 
 
 def crops(pages: DataFrame, height: str = "height", stem: str = "stem", pad: int = 8) -> DataFrame:

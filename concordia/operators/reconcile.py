@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.functions.text import fold, strip
+from concordia.functions.text import fold, let, strip
 
 
 def spine(records: DataFrame, labels: tuple[str, ...]) -> DataFrame:
@@ -28,23 +30,70 @@ def reconcile(vision: DataFrame, text: DataFrame, labels: tuple[str, ...] | None
     else:
         met = spine(v.select("record_id").union(t.select("record_id")), labels).join(v, on, "left").join(t, on, "left")
     both = met.select(*on, *(F.coalesce(c, F.lit("")).alias(c) for c in ("v", "vc", "evidence", "t")))
-    has_v, has_t, same = F.col("v") != "", F.col("t") != "", fold(F.col("v")) == fold(F.col("t"))
+    made = merged(F.col("v"), F.col("vc"), F.col("t"))
+    return both.select(*on, *(made[c].alias(c) if c in CONSENSUS else F.col(c) for c in ("value", "confidence", "evidence", "source", "alt")), F.array().cast("array<string>").alias("flags"))
+
+
+CONSENSUS = ("value", "confidence", "source", "alt")
+
+
+def merged(v: Column, vc: Column, t: Column) -> Column:
+    """struct(value, confidence, source, alt) of what a vision reader has, with its confidence, and a text reader."""
+    has_v, has_t, same = v != "", t != "", fold(v) == fold(t)
 
     def pick(agree: Column | str, conflict: Column | str, only_v: Column | str, only_t: Column | str) -> Column:
         a, c, x, y = (F.lit(k) if isinstance(k, str) else k for k in (agree, conflict, only_v, only_t))
         return F.when(has_v & has_t & same, a).when(has_v & has_t, c).when(has_v, x).when(has_t, y).otherwise(F.lit(""))
 
-    return both.select(
-        "record_id", "label",
-        pick(F.col("v"), F.col("v"), F.col("v"), F.col("t")).alias("value"),
-        pick("HIGH", "LOW", F.when(F.col("vc") == "", F.lit("MEDIUM")).otherwise(F.col("vc")), "MEDIUM").alias("confidence"),
-        "evidence",
-        pick("vision+text", "conflict", "vision", "text").alias("source"),
-        pick("", F.col("t"), "", "").alias("alt"),
-        F.array().cast("array<string>").alias("flags"),
+    return F.struct(
+        pick(v, v, v, t).alias("value"), pick("HIGH", "LOW", F.when(vc == "", F.lit("MEDIUM")).otherwise(vc), "MEDIUM").alias("confidence"),
+        pick("vision+text", "conflict", "vision", "text").alias("source"), pick("", t, "", "").alias("alt"),
     )
 
 
+CELL = ("label", "value", "confidence", "evidence", "source", "alt", "flags")
+#: What the later phase adds to a cell: the value as the readers had it, the log of its changes, and what was blanked.
+LOGS = {"raw": "value", "diffs": "CAST(array() AS array<struct<original:string,corrected:string,note:string>>)", "dropped": "CAST(NULL AS string)"}
+
+
+def records(text: DataFrame, vision: DataFrame | None, labels: tuple[str, ...]) -> DataFrame:
+    """record_id and cells, an array of CELL and LOGS in the order of the labels: what reconcile() or, without vision, fast_mode()
+    has of every record with all its fields.
+
+    Both readers' rows are dealt by record once and meet there; of repeated cells of a reader the largest value counts.
+    """
+    t = text.select("record_id", "label", F.lit("text").alias("reader"), F.coalesce("value", F.lit("")).alias("value"), F.lit("").alias("confidence"), F.lit("").alias("evidence"))
+    both = t if vision is None else t.unionByName(vision.select("record_id", "label", F.lit("vision").alias("reader"), "value", "confidence", "evidence"))
+    of = lambda reader: F.max(F.when(F.col("reader") == reader, F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("value", "confidence", "evidence")))))
+    one = both.repartition("record_id").groupBy("record_id", "label").agg(of("vision").alias("v"), of("text").alias("t"))
+    some = lambda c: F.coalesce(c, F.lit(""))
+    if vision is None:
+        made = one.select("record_id", "label", some(F.col("t.value")).alias("value"), F.lit("").alias("evidence"), F.lit("text").alias("source"), F.lit("").alias("alt"))
+        made = made.withColumn("confidence", F.when(strip(F.col("value")) != "", "MEDIUM").otherwise(""))
+    else:
+        one = one.withColumn("m", merged(some(F.col("v.value")), some(F.col("v.confidence")), strip(some(F.col("t.value")))))
+        made = one.select("record_id", "label", "m.*", some(F.col("v.evidence")).alias("evidence"))
+    cell = F.struct(*CELL[:-1], F.array().cast("array<string>").alias("flags"), *(F.expr(e).alias(n) for n, e in LOGS.items()))
+    held = made.groupBy("record_id").agg(F.collect_list(cell).alias("held"))
+    kind = made.select(cell.alias("c")).schema["c"].dataType.simpleString()
+    source = "text" if vision is None else ""
+    blank = {n: f"named_struct('label', '{n}', 'value', '', 'confidence', '', 'evidence', '', 'source', '{source}', 'alt', '', 'flags', array(), 'raw', '', 'diffs', array(), 'dropped', NULL)" for n in labels}
+    whole = F.expr("array(" + ", ".join(blank.values()) + ")").cast(f"array<{kind}>")  # a literal: fields that no reader has cost nothing
+    own = F.transform(whole, lambda b: F.coalesce(F.get(F.filter("held", lambda c: c["label"] == b["label"]), F.lit(0)), b))
+    return held.select("record_id", own.alias("cells"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """record_id and its cells as rows."""
+    return rows.select("record_id", F.explode("cells").alias("c")).select("record_id", "c.*")
+
+
+def gathered(cells: DataFrame) -> DataFrame:
+    """record_id and cells with LOGS: a record's rows as one array; a record has each field once."""
+    c = cells.withColumns({n: F.expr(e) for n, e in LOGS.items() if n not in cells.columns})
+    return c.groupBy("record_id").agg(F.collect_list(F.struct(*(n for n in c.columns if n != "record_id"))).alias("cells"))
+
+
 def fast_mode(text: DataFrame, labels: tuple[str, ...] | None = None) -> DataFrame:
     """One reader alone: what it has is MEDIUM.  labels: as for reconcile."""
     if labels is not None:
@@ -72,19 +121,42 @@ def batch_totals(stats: DataFrame) -> DataFrame:
     return stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("filled", "high", "medium", "low", "conflicts", "flagged")))
 
 
+def confirmed(cell: Column, said: Column, mark: str) -> Column:
+    """struct(confidence, source, flags) of a LOW cell whose value or alternative a third reader said; else as they are."""
+    open_ = (cell["confidence"] == "LOW") & (F.coalesce(said, F.lit("")) != "")
+    same = let(fold(said), lambda q: (q == fold(cell["value"])) | ((cell["alt"] != "") & (q == fold(cell["alt"]))))
+    more = F.struct(F.lit("MEDIUM").alias("confidence"), F.concat(cell["source"], F.lit(mark)).alias("source"), F.array_remove(cell["flags"], "uncorroborated").alias("flags"))
+    return F.when(open_ & F.when(open_, same), more).otherwise(F.struct(*(cell[n].alias(n) for n in ("confidence", "source", "flags"))))
+
+
 def third_reader(cells: DataFrame, third: DataFrame, mark: str = "+third") -> DataFrame:
     """LOW cells whose value or alternative a third reader confirms become MEDIUM; the value stays."""
     q = third.select("record_id", "label", F.col("value").alias("q"))
-    j = cells.join(q, ["record_id", "label"], "left")
-    said = fold(F.col("q"))
-    ok = (F.col("confidence") == "LOW") & (F.coalesce("q", F.lit("")) != "") & ((said == fold(F.col("value"))) | ((F.col("alt") != "") & (said == fold(F.col("alt")))))
-    ok = F.coalesce(ok, F.lit(False))
-    made = {
-        "confidence": F.when(ok, "MEDIUM").otherwise(F.col("confidence")),
-        "source": F.when(ok, F.concat("source", F.lit(mark))).otherwise(F.col("source")),
-        "flags": F.when(ok, F.array_remove("flags", "uncorroborated")).otherwise(F.col("flags")),
-    }
-    return j.select(*(made.get(c, F.col(c)).alias(c) for c in cells.columns))
+    j = cells.join(q, ["record_id", "label"], "left").withColumn("__c", confirmed({c: F.col(c) for c in cells.columns}, F.col("q"), mark))
+    made = ("confidence", "source", "flags")
+    return j.select(*(F.col(f"__c.{c}" if c in made else c).alias(c) for c in cells.columns))
+
+
+def third_reader_records(rows: DataFrame, third: DataFrame, mark: str = "+third") -> DataFrame:
+    """The same over records' arrays of cells."""
+    said = third.groupBy("record_id").agg(F.collect_list(F.struct("label", F.col("value").alias("q"))).alias("__third"))
+    quote = lambda c: F.get(F.filter("__third", lambda t: t["label"] == c["label"]), F.lit(0))["q"]
+    low = lambda c: (c["confidence"] == "LOW") & F.col("__third").isNotNull()
+    made = lambda c: let(quote(c), lambda q: confirmed(c, q, mark))
+    return changed(rows.join(said, "record_id", "left"), ("confidence", "source", "flags"), low, made).drop("__third")
+
+
+def changed(rows: DataFrame, fresh: tuple[str, ...], which: Callable[[Column], Column], cell: Callable[[Column], Column]) -> DataFrame:
+    """rows with the fresh fields of those cells as cell makes them, in one struct; other cells stay as they are."""
+    names = rows.schema["cells"].dataType.elementType.names
+    made = lambda c: let(cell(c), lambda m: F.struct(*((m if n in fresh else c)[n].alias(n) for n in names)))
+    return rows.withColumn("cells", F.transform("cells", lambda c: F.when(which(c), made(c)).otherwise(c)))
+
+
+def independent(third: DataFrame, readers: DataFrame, model: str) -> DataFrame:
+    """What a third reader says of the records that it didn't read itself at first: readers has record_id and reader.  The
+    same model can't confirm its own reading."""
+    return third.join(readers.where(F.col("reader") == model).select("record_id"), "record_id", "left_anti")
 
 
 def batch_items(names: DataFrame, gold: DataFrame) -> DataFrame:

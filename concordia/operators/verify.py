@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.functions.normalise import plausibility
-from concordia.functions.similarity import ratio, short_ratio, upper_bound
-from concordia.functions.text import digit_runs, digits, fold, strip, tokens
+from concordia.functions.text import digit_runs, digits, fold, let, strip
+from concordia.operators import nearby
+from concordia.operators.fields import DAYS, DERIVED, FIELDS, NUMBERS, YEARS
+from concordia.operators.reconcile import changed, gathered, spread
 
 # Structural headings of the two kinds of pages.
 MILITARY_MARKERS = (
@@ -43,10 +45,12 @@ def row_split(name: Column) -> Column:
     return name.rlike(r"\A.+_row\d+\.png\z")
 
 
-def transcript_index(docs: DataFrame, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
-    """record_id, words, runs (of digits) and all digits in one string."""
+def transcript_index(docs: DataFrame, id_col: str = "record_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """record_id, words, runs (of digits), all digits in one string, and more of the columns."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("record_id"), tokens(t).alias("words"), digit_runs(t).alias("runs"), digits(fold(t)).alias("all_digits"))
+    d = docs.select(F.col(id_col).alias("record_id"), t.alias("__text"), fold(t).alias("__folded"), *more)
+    words = F.array_distinct(F.regexp_extract_all("__folded", F.lit("[a-z]{2,}"), F.lit(0)))
+    return d.select("record_id", words.alias("words"), digit_runs(F.col("__text")).alias("runs"), digits(F.col("__folded")).alias("all_digits"), *more)
 
 
 def longest_word(value: Column) -> Column:
@@ -55,55 +59,120 @@ def longest_word(value: Column) -> Column:
     return F.aggregate(found, F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNull() | (F.length(x) > F.length(acc)), x).otherwise(acc))
 
 
-def word_support(asked: DataFrame, index: DataFrame, least: float = 82.0) -> DataFrame:
-    """record_id, word of the asked words that the record's transcript holds, up to that similarity.
+# The scores from which a transcript's word or digit run backs one that it doesn't hold as it is.
+LEAST = {"word": 82.0, "number": 85.0}
 
-    A word meets the transcript's words of its own record, within lengths that can reach the score.
+
+def like_support(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """record_id, kind, token of the asked ones that the record's postings (record_id, kind, seen) hold, up to the
+    kind's similarity.
+
+    Each distinct token is compared with the distinct ones of all transcripts that share a segment with it, once; the hits
+    are then joined to the postings.  No record's tokens meet each other before.
+    """
+    least = F.when(F.col("kind") == "word", LEAST["word"]).otherwise(LEAST["number"])
+    words = asked.select("kind", F.col("token").alias("w")).distinct()
+    hits = nearby.like_pairs(words, postings.select("kind", "seen").distinct(), ("kind",), least).select("kind", F.col("w").alias("token"), "seen")
+    return asked.join(hits, ["kind", "token"]).join(postings, ["record_id", "kind", "seen"], "left_semi").select("record_id", "kind", "token").distinct()
+
+
+def word_support(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """record_id, word of the asked words that the record's transcript holds, up to their similarity."""
+    postings = index.select("record_id", F.lit("word").alias("kind"), F.explode("words").alias("seen"))
+    found = like_support(asked.select("record_id", F.lit("word").alias("kind"), F.col("word").alias("token")).distinct(), postings)
+    return found.select("record_id", F.col("token").alias("word"))
+
+
+def postings_of(index: DataFrame) -> DataFrame:
+    """record_id, kind, seen: a transcript's words, and its digit runs that are long enough for a likeness to count."""
+    of = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("seen")))
+    return index.select("record_id", F.explode(F.concat(of(F.col("words"), "word"), of(F.col("runs"), "number"))).alias("p")).select("record_id", "p.*")
+
+
+def evidence_for(label: Column, value: Column, words: Column, runs: Column, all_digits: Column) -> Column:
+    """struct(ok, kind, token): whether a transcript backs a value as it is, or else the token whose likes may.
+
+    Numbers are backed by the transcript's digits in a row, derived values by nothing that could be looked up, and others by
+    their longest word, if they have one of four letters; without words of its own a transcript backs none.
+    """
+    number = lambda n: F.when((n == "") | F.contains(all_digits, n), _backed(True)).otherwise(_backed(False, F.when(F.length(n) >= 3, "number"), n))
+    word = lambda w: F.when(w.isNull() | F.array_contains(words, F.coalesce(w, F.lit(""))), _backed(True)).otherwise(_backed(False, F.when(F.size(words) > 0, "word"), w))
+    derived = label.isin(*(n for n, _, v in FIELDS if v in DERIVED))
+    return F.when(label.isin(*NUMBERS), let(digits(value), number)).when(derived, _backed(True)).otherwise(let(longest_word(value), word))
+
+
+def _backed(ok: bool, kind: Column | None = None, token: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(ok).alias("ok"), (none if kind is None else kind).alias("kind"), (none if token is None else token).alias("token"))
+
+
+def judged(cell: Column, supported: Column, strict: bool) -> Column:
+    """struct(value, confidence, flags, dropped) of a cell (label, value, confidence, flags): flagged HIGH and MEDIUM become
+    LOW; strict blanks what the transcript doesn't back."""
+    label, value = cell["label"], cell["value"]
+    filled = strip(value) != ""
+    backed = F.when(supported, F.array().cast("array<string>")).otherwise(F.array(F.lit("uncorroborated")))
+    found = plausibility(value, label.isin(*DAYS), label.isin(*YEARS), label == "Height")
+    flags = F.when(filled, F.concat(cell["flags"], backed, found)).otherwise(cell["flags"])
+
+    def weighed(f: Column) -> Column:
+        low = filled & (F.size(f) > 0) & cell["confidence"].isin("HIGH", "MEDIUM")
+        drop = filled & ~supported & F.lit(strict)
+        return F.struct(
+            F.when(drop, "").otherwise(value).alias("value"), F.when(low, "LOW").otherwise(cell["confidence"]).alias("confidence"), f.alias("flags"),
+            F.when(drop, strip(value)).alias("dropped"),
+        )
+
+    return let(flags, weighed)
+
+
+def four_digits(value: Column) -> Column:
+    """The year that a value's digits are, if they are four."""
+    return F.when(digits(value).rlike(r"\A[0-9]{4}\z"), digits(value).try_cast("int"))
+
+
+def verify(cells: DataFrame, index: DataFrame, spec: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """cells with flags; flagged HIGH and MEDIUM become LOW; strict blanks what the transcript doesn't back (dropped).
+
+    A record's cells meet its transcript as one row.  spec: where given, cells of other fields are left out.
     """
-    postings = index.select("record_id", F.explode("words").alias("seen"))
-    exact = asked.join(postings.withColumnRenamed("seen", "word"), ["record_id", "word"], "left_semi").distinct()
-    open_ = asked.join(exact, ["record_id", "word"], "left_anti")
-    pairs = open_.join(postings, "record_id").where(upper_bound(F.col("word"), F.col("seen")) >= least)
-    near = pairs.where(ratio(F.col("word"), F.col("seen")) >= least)
-    return exact.unionByName(near.select("record_id", "word").distinct())
-
-
-def support(cells: DataFrame, index: DataFrame, spec: DataFrame) -> DataFrame:
-    """cells with supported: whether the transcript backs the value."""
-    s = F.broadcast(spec.select("label", "is_num", "is_derived"))
-    c = cells.join(s, "label", "left").withColumn("__word", longest_word(F.col("value"))).withColumn("__num", digits(F.col("value")))
-    c = c.join(index.select("record_id", "runs", "all_digits", (F.size("words") > 0).alias("has_words")), "record_id", "left")
-    asked = c.where("NOT is_num AND NOT is_derived AND __word IS NOT NULL").select("record_id", F.col("__word").alias("word")).distinct()
-    hits = word_support(asked, index).select("record_id", F.col("word").alias("__word"), F.lit(True).alias("__hit"))
-    c = c.join(hits, ["record_id", "__word"], "left")
-    num = F.col("__num")
-    close = F.exists(F.coalesce("runs", F.array().cast("array<string>")), lambda d: (d == num) | ((F.length(num) >= 3) & (F.coalesce(short_ratio(num, d), F.lit(0.0)) >= 85)))
-    by_number = (num == "") | F.contains(F.coalesce("all_digits", F.lit("")), num) | close
-    ok = F.when(F.col("is_num"), by_number).when(F.col("is_derived"), True).when(F.col("__word").isNull(), True).otherwise(F.coalesce("__hit", F.lit(False)))
-    return c.withColumn("supported", ok).drop("__word", "__num", "__hit", "runs", "all_digits", "has_words", "is_num", "is_derived")
-
-
-def verify(cells: DataFrame, index: DataFrame, spec: DataFrame, strict: bool = False) -> DataFrame:
-    """cells with flags; flagged HIGH and MEDIUM become LOW; strict blanks what the transcript doesn't back (dropped)."""
-    filled = strip(F.col("value")) != ""
-    c = support(cells, index, spec).join(F.broadcast(spec.select("label", "is_day", "is_year")), "label", "left")
-    found = plausibility(F.col("value"), F.col("is_day"), F.col("is_year"), F.col("label") == "Height")
-    backed = F.when(F.col("supported"), F.array().cast("array<string>")).otherwise(F.array(F.lit("uncorroborated")))
-    flags = F.when(filled, F.concat("flags", backed, found)).otherwise(F.col("flags"))
-    c = c.withColumn("flags", flags)
-    bad = filled & (F.size("flags") > 0)
-    c = c.withColumn("confidence", F.when(bad & F.col("confidence").isin("HIGH", "MEDIUM"), "LOW").otherwise(F.col("confidence")))
-    drop = filled & ~F.col("supported") & F.lit(strict)
-    c = c.withColumn("dropped", F.when(drop, F.col("value"))).withColumn("value", F.when(drop, "").otherwise(F.col("value")))
-    return before_birth(c.drop("supported", "is_day", "is_year"))
+    if spec is not None:
+        cells = cells.join(F.broadcast(spec.select("label")), "label", "left_semi")
+    out = verify_records(gathered(cells).join(index, "record_id", "left"), index, strict)
+    return before_birth(spread(out).select(*cells.columns, "dropped"))
+
+
+def verify_records(records: DataFrame, index: DataFrame, strict: bool = False) -> DataFrame:
+    """records (record_id, cells, words, runs, all_digits) with judged cells; what the transcript doesn't hold as it is
+    goes to like_support() by distinct tokens.  index has the transcripts (transcript_index)."""
+    none = F.array().cast("array<string>")
+    r = records.withColumns({"words": F.coalesce("words", none), "runs": F.coalesce("runs", none), "all_digits": F.coalesce("all_digits", F.lit(""))})
+    seen = lambda c: evidence_for(c["label"], c["value"], F.col("words"), F.col("runs"), F.col("all_digits"))
+    found_of = lambda c: F.struct(c["label"].alias("label"), seen(c).alias("e"))
+    r = r.withColumn("__e", F.transform(F.filter("cells", lambda c: c["value"] != ""), found_of))
+    asked = r.select("record_id", F.explode(F.filter("__e", lambda x: x["e"]["kind"].isNotNull())).alias("x")).select("record_id", "x.e.kind", "x.e.token").distinct()
+    found = like_support(asked, postings_of(index)).groupBy("record_id").agg(F.collect_set(F.concat("kind", F.lit(" "), "token")).alias("__found"))
+    r = r.join(found, "record_id", "left").withColumn("__found", F.coalesce("__found", none))
+    held = lambda e: e["ok"] | F.coalesce(F.array_contains(F.col("__found"), F.concat(e["kind"], F.lit(" "), e["token"])), F.lit(False))
+    own = lambda c: F.get(F.filter("__e", lambda x: x["label"] == c["label"]), F.lit(0))["e"]
+    judge = lambda c: let(let(own(c), held), lambda ok: judged(c, ok, strict))
+    return changed(r, ("value", "confidence", "flags", "dropped"), lambda c: c["value"] != "", judge).drop("__e", "__found")
+
+
+LATER = ("Discharge Year", "Death Year", "Classe Year")
+
+
+def before_birth_flags(label: Column, value: Column, birth: Column) -> Column:
+    """Whether a later year of a record lies before its birth year."""
+    year = four_digits(value)
+    return F.coalesce(label.isin(*LATER) & (year < birth) & (year > 0) & (birth > 0), F.lit(False))
 
 
 def before_birth(cells: DataFrame) -> DataFrame:
     """Later years of a record that lie before its birth year are flagged and LOW."""
-    year = F.when(digits(F.col("value")).rlike(r"\A\d{4}\z"), digits(F.col("value")).try_cast("int"))
-    birth = F.max(F.when(F.col("label") == "Birth Year", year)).over(Window.partitionBy("record_id"))
+    birth = F.max(F.when(F.col("label") == "Birth Year", four_digits(F.col("value")))).over(Window.partitionBy("record_id"))
     c = cells.withColumn("__birth", birth)
-    late = F.coalesce(F.col("label").isin("Discharge Year", "Death Year", "Classe Year") & (year < F.col("__birth")) & (year > 0) & (F.col("__birth") > 0), F.lit(False))
+    late = before_birth_flags(F.col("label"), F.col("value"), F.col("__birth"))
     return c.withColumn("flags", F.when(late, F.concat("flags", F.array(F.lit("before-birth")))).otherwise(F.col("flags"))).withColumn(
         "confidence", F.when(late, "LOW").otherwise(F.col("confidence"))
     ).drop("__birth")

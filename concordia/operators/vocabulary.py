@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concordia.functions.normalise import length_window
 from concordia.functions.similarity import composite_ratio, ratio, upper_bound
 from concordia.functions.text import fold, strip
+from concordia.operators import nearby
 
 #: Dictionaries so large that a lookup stays within the first letter.
 BLOCKED = ("surname", "givenname", "occupation")
@@ -19,30 +20,42 @@ def exact_snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
     return cells.withColumn("norm", fold(F.col("value"))).join(F.broadcast(known), ["vocab", "norm"], "left").drop("norm")
 
 
+def snapped(values: DataFrame, vocab: DataFrame) -> DataFrame:
+    """vocab, value, canonical, score, exact: of distinct values (vocab, value) those that a vocabulary takes.
+
+    An exact folded variant comes first (of a shared one the last canonical), else the most similar variant from the
+    vocabulary's least score on, the first among equals.  Vocabularies are of fixed size; a value meets its own alone.
+    """
+    asked = values.where(strip(F.col("value")) != "").select("vocab", "value").distinct().withColumn("n", fold(F.col("value")))
+    pairs = asked.join(F.broadcast(vocab.select("vocab", "canonical", "norm", "ord", "least")), "vocab")
+    scored = pairs.withColumn("score", composite_ratio(F.col("n"), F.col("norm"))).withColumn("exact", F.col("n") == F.col("norm"))
+    scored = scored.where(F.col("exact") | (F.col("score") >= F.col("least")))
+    order = F.struct("exact", F.when(F.col("exact"), F.lit(0.0)).otherwise(F.col("score")).alias("s"), F.when(F.col("exact"), F.col("ord")).otherwise(-F.col("ord")).alias("o"))
+    best = scored.groupBy("vocab", "value").agg(F.max_by(F.struct("canonical", "score", "exact"), order).alias("m"))
+    return best.select("vocab", "value", "m.canonical", F.when(F.col("m.exact"), 100.0).otherwise(F.col("m.score")).alias("score"), "m.exact")
+
+
 def fuzzy_snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The canonical form of the most similar variant from the vocabulary's least score on; vocabularies are of fixed size."""
-    distinct = cells.where(strip(F.col("value")) != "").select("vocab", "value").distinct().withColumn("n", fold(F.col("value")))
-    pairs = distinct.join(F.broadcast(vocab.select("vocab", "canonical", "norm", "ord", "least")), "vocab")
-    best = pairs.withColumn("score", composite_ratio(F.col("n"), F.col("norm"))).where(F.col("score") >= F.col("least"))
-    best = best.groupBy("vocab", "value").agg(F.max_by(F.struct("canonical", "score"), F.struct("score", -F.col("ord"))).alias("m"))
-    return cells.join(best, ["vocab", "value"], "left").withColumn("canonical", F.col("m.canonical")).withColumn("score", F.col("m.score")).drop("m")
+    """cells with the canonical form that snapped() finds, and its score."""
+    return cells.join(snapped(cells, vocab).drop("exact"), ["vocab", "value"], "left")
 
 
-def snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
-    """cells with snapped value and note: exact variants first, the rest by similarity.
+def snap_notes(values: DataFrame, vocab: DataFrame) -> DataFrame:
+    """vocab, value, to, note of the distinct values that change.
 
     An exact variant that changes the value is noted as case: in a plain list and as snap: in a vocabulary with variants.
     """
-    exact = exact_snap(cells, vocab)
-    near = fuzzy_snap(exact.where("canonical IS NULL").drop("canonical"), vocab)
-    done = exact.where("canonical IS NOT NULL").withColumns({"score": F.lit(100.0), "exact": F.lit(True)})
-    both = done.unionByName(near.withColumn("exact", F.lit(False)))
-    canonical = F.col("canonical")
-    both = both.join(F.broadcast(vocab.select("vocab", "listed").distinct()), "vocab", "left")
-    note = F.when(canonical.isNull() | (canonical == F.col("value")), F.lit("")).when(
-        F.col("exact"), F.concat(F.when(F.col("listed"), "case:").otherwise("snap:"), F.col("vocab"))
-    ).otherwise(F.concat(F.lit("snap:"), F.col("vocab"), F.lit("("), F.bround("score").cast("int").cast("string"), F.lit(")")))
-    return both.withColumn("note", note).withColumn("value", F.coalesce(canonical, "value")).drop("canonical", "score", "exact", "listed")
+    found = snapped(values, vocab).where(F.col("canonical") != F.col("value"))
+    listed = F.broadcast(vocab.select("vocab", "listed").distinct())
+    exact = F.concat(F.when(F.col("listed"), "case:").otherwise("snap:"), F.col("vocab"))
+    near = F.concat(F.lit("snap:"), F.col("vocab"), F.lit("("), F.bround("score").cast("int").cast("string"), F.lit(")"))
+    return found.join(listed, "vocab").select("vocab", "value", F.col("canonical").alias("to"), F.when(F.col("exact"), exact).otherwise(near).alias("note"))
+
+
+def snap(cells: DataFrame, vocab: DataFrame) -> DataFrame:
+    """cells with snapped value and note: exact variants first, the rest by similarity."""
+    out = cells.join(snap_notes(cells, vocab), ["vocab", "value"], "left")
+    return out.withColumn("note", F.coalesce("note", F.lit(""))).withColumn("value", F.coalesce("to", "value")).drop("to")
 
 
 def build_dictionary(sources: DataFrame, gloss_keys: tuple[str, ...] = ("hair", "eye")) -> DataFrame:
@@ -58,22 +71,31 @@ def build_dictionary(sources: DataFrame, gloss_keys: tuple[str, ...] = ("hair",
 def dictionary_candidates(values: DataFrame, dictionary: DataFrame, least: float) -> DataFrame:
     """dictkey, v, value, score, ord of dictionary values in the block and length window of each distinct value v.
 
-    Blocks are joined by first letter and length, so that no letter's values meet in one task; values whose block is
-    empty, and keys that aren't blocked, meet the whole dictionary of their key by length.
+    From nearby.LEAST on values meet through the segments that their score makes them share; below it, where segments
+    would be single letters, by first letter and length, so that no letter's values meet in one task.  Values whose block
+    is empty, and keys that aren't blocked, meet the whole dictionary of their key.
     """
     asked = values.select("dictkey", "v").distinct().withColumn("n", fold(F.col("v"))).where("n <> ''").withColumn("block", F.substring("n", 1, 1))
+    blocked = F.col("dictkey").isin(*BLOCKED)
+    blocks = dictionary.where(blocked).select("dictkey", "block", F.lit(True).alias("there")).distinct()
+    asked = asked.join(blocks, ["dictkey", "block"], "left").withColumn("block", F.when(F.col("there"), F.col("block")).otherwise("")).drop("there")
+    whole = F.array(F.lit(""))
+    d = dictionary.select("dictkey", F.explode(F.when(blocked, F.array("block", F.lit(""))).otherwise(whole)).alias("block"), "norm_len", "norm", "value", "ord")
     low, high = length_window(F.length("n"))
+    if least >= nearby.LEAST:
+        words = asked.select("dictkey", "block", F.col("n").alias("w")).distinct()
+        pairs = nearby.like_pairs(words, d.select("dictkey", "block", F.col("norm").alias("seen")), ("dictkey", "block"), least)
+        scored = pairs.join(d.withColumnRenamed("norm", "seen"), ["dictkey", "block", "seen"]).join(asked.withColumnRenamed("n", "w"), ["dictkey", "block", "w"])
+        low, high = length_window(F.length("w"))
+        return scored.where(F.col("norm_len").between(low, high)).select("dictkey", "v", "value", "score", "ord")
     asked = asked.withColumn("norm_len", F.explode(F.sequence(low, high)))
-    blocks = dictionary.where(F.col("dictkey").isin(*BLOCKED)).select("dictkey", "block").distinct()
-    d = dictionary.select("dictkey", "block", "norm_len", "norm", "value", "ord")
-    within = asked.join(blocks, ["dictkey", "block"], "left_semi").join(d, ["dictkey", "block", "norm_len"])
-    across = asked.join(blocks, ["dictkey", "block"], "left_anti").drop("block").join(d.drop("block"), ["dictkey", "norm_len"])
-    pairs = within.drop("block").unionByName(across).where(upper_bound(F.col("n"), F.col("norm")) >= least)
+    pairs = asked.join(d, ["dictkey", "block", "norm_len"]).where(upper_bound(F.col("n"), F.col("norm")) >= least)
     return pairs.withColumn("score", ratio(F.col("n"), F.col("norm"))).where(F.col("score") >= least).select("dictkey", "v", "value", "score", "ord")
 
 
 def best_match(values: DataFrame, dictionary: DataFrame, least: float = 84.0) -> DataFrame:
-    """dictkey, v, match, score: exact folded matches at 100, else the most similar, the first among equals."""
+    """dictkey, v, match, score: exact folded matches at 100, else the most similar, the first among equals; blanks around
+    v don't count."""
     exact = values.select("dictkey", "v").distinct().withColumn("norm", fold(F.col("v"))).join(dictionary.select("dictkey", "norm", "value"), ["dictkey", "norm"], "left")
     done = exact.where("value IS NOT NULL").select("dictkey", "v", F.col("value").alias("match"), F.lit(100.0).alias("score"))
     near = dictionary_candidates(exact.where("value IS NULL"), dictionary, least)

@@ -1,14 +1,21 @@
-"""The phases of a run, from readers' tables to verified records."""
+"""The phases of a run, from readers' tables to verified records.
+
+A record is one row with an array of its cells; layers change the array, and only distinct values and tokens are looked up
+by joins.  Records, with their transcripts' words and digits, are written between the phases, as are the lists' answers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordia.functions.text import let
 from concordia.operators import correct, fields, reconcile, verify
+from concordia.operators.reconcile import changed
+from concordia.sources.stage import staged
 
 
 @dataclass(frozen=True)
@@ -18,32 +25,92 @@ class Settings:
     third_reader: bool = True
 
 
-def typed(cells: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """cells with the Event Type that a row's name or the transcript's headings tell, and the change in diffs, if cells have them."""
-    kinds = verify.classify(transcripts).select("record_id", "doctype", "doctype_confidence")
-    rows, event = verify.row_split(F.col("record_id")), F.col("label") == "Event Type"
-    told = F.when(rows, F.lit("Military")).when(F.col("doctype") != "", F.col("doctype"))
-    c = cells.join(kinds, "record_id", "left").withColumn("__told", F.when(event, told))
-    known = F.col("__told").isNotNull()
-    made = {
-        "value": F.coalesce("__told", "value"),
-        "confidence": F.when(known, F.when(rows, F.lit("HIGH")).otherwise(F.col("doctype_confidence"))).otherwise(F.col("confidence")),
-        "source": F.when(known, F.when(rows, F.lit("row-split")).otherwise(F.lit("structure"))).otherwise(F.col("source")),
-        "alt": F.when(known, "").otherwise(F.col("alt")),
-        "evidence": F.when(known, F.when(rows, F.lit("one row of a multi-person ledger page")).otherwise(F.lit("page section headers"))).otherwise(F.col("evidence")),
-    }
-    if "diffs" in cells.columns:
-        note = F.when(rows, F.lit("row-split:forced")).otherwise(F.lit("doctype:markers"))
-        diff = F.array(F.struct(F.col("value").alias("original"), F.col("__told").alias("corrected"), note.alias("note")))
-        made["diffs"] = F.when(known & (F.col("__told") != F.col("value")), F.concat("diffs", diff)).otherwise(F.col("diffs"))
-    return c.select(*(made.get(x, F.col(x)).alias(x) for x in cells.columns))
+INDEX = ("words", "runs", "all_digits", "doctype", "doctype_confidence")
+
+
+def index_of(transcripts: DataFrame) -> DataFrame:
+    """record_id and what the phases need of its transcript (record_id, text): INDEX."""
+    kinds = verify.classify(transcripts.select("record_id", "text"))
+    return verify.transcript_index(kinds, more=("doctype", "doctype_confidence"))
+
+
+def typed(rows: DataFrame, log: bool) -> DataFrame:
+    """records with the Event Type that a row's name or the transcript's headings tell; log: the change goes to the cell's
+    diffs, else, while records are read, it is the reading."""
+    split = verify.row_split(F.col("record_id"))
+    told = F.when(split, F.lit("Military")).when(F.coalesce("doctype", F.lit("")) != "", F.col("doctype"))
+    rows = rows.withColumn("__told", told).withColumn("__split", split)
+    told, split = F.col("__told"), F.col("__split")
+
+    def cell(c: Column) -> Column:
+        note = F.when(split, "row-split:forced").otherwise("doctype:markers")
+        return F.struct(
+            told.alias("value"), F.when(split, "HIGH").otherwise(F.col("doctype_confidence")).alias("confidence"),
+            F.when(split, "row-split").otherwise("structure").alias("source"), F.lit("").alias("alt"),
+            F.when(split, "one row of a multi-person ledger page").otherwise("page section headers").alias("evidence"),
+            (F.concat(c["diffs"], correct.diff(c["value"], told, note)) if log else c["diffs"]).alias("diffs"), (c["raw"] if log else told).alias("raw"),
+        )
+
+    fresh = ("value", "confidence", "source", "alt", "evidence", "diffs", "raw")
+    return changed(rows, fresh, lambda c: (c["label"] == "Event Type") & told.isNotNull(), cell).drop("__told", "__split")
+
+
+def read_records(text: DataFrame, vision: DataFrame | None, settings: Settings, index: DataFrame | None) -> DataFrame:
+    """Silver records: every one with all fields, and, where the transcripts' index is given, typed and with its columns."""
+    fast = settings.mode == "fast" or vision is None
+    silver = reconcile.records(text, None if fast else vision, fields.LABELS)
+    return silver if index is None else typed(silver.join(index, "record_id", "left"), False)
+
+
+def _looked_up(rows: DataFrame, vocab: DataFrame, dictionary: DataFrame | None, gated: bool) -> DataFrame:
+    """records after the lists' answers.  Questions go to the lists once for each distinct value; only what they change
+    comes back, as one array a record."""
+    asks = lambda c: F.struct(c["label"].alias("label"), correct.question(c["label"], c["value"], c["confidence"], dictionary is not None, gated).alias("q"))
+    some = F.filter("cells", lambda c: c["value"] != "")
+    asked = rows.select("record_id", F.explode(F.filter(F.transform(some, asks), lambda x: x["q"].isNotNull())).alias("x")).select("record_id", "x.label", "x.q.*")
+    found = staged(correct.answers(staged(asked.select("kind", "key", "v").distinct(), "questions"), vocab, dictionary), "answers")
+    back = asked.join(found, ["kind", "key", "v"]).groupBy("record_id").agg(F.collect_list(F.struct("label", "kind", "v", "to", "note")).alias("__answers"))
+    own = lambda c: F.get(F.filter("__answers", lambda x: x["label"] == c["label"]), F.lit(0))
+
+    def cell(c: Column) -> Column:
+        made = let(own(c), lambda a: correct.answered(c["value"], c["raw"], a["kind"], a["v"], a["to"], a["note"]))
+        return let(made, lambda m: F.struct(m["value"], F.concat(c["diffs"], m["diffs"]).alias("diffs")))
+
+    hit = lambda c: (c["value"] != "") & F.exists(F.coalesce("__answers", F.array().cast(back.schema["__answers"].dataType)), lambda x: x["label"] == c["label"])
+    return changed(rows.join(back, "record_id", "left"), ("value", "diffs"), hit, cell).drop("__answers")
+
+
+def post_records(
+    silver: DataFrame, index: DataFrame, settings: Settings = Settings(), dictionary: DataFrame | None = None, third: DataFrame | None = None,
+    speller: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Gold records from silver ones that carry their transcript's INDEX: corrected, typed, verified, and confirmed by a
+    third reader.  index: the transcripts', whose tokens are compared with those of values."""
+    spark = silver.sparkSession
+    vocab = fields.vocabulary(spark)
+
+    first = lambda c: correct.first_rules(c["label"], c["value"])
+    rows = changed(silver, ("value", "diffs"), lambda c: (c["value"] != "") & c["label"].isin(*correct.RULED), first)
+    rows = _looked_up(rows, vocab, dictionary, True)
+    if speller is not None:
+        cells = staged(reconcile.spread(rows), "corrected")
+        spelt = correct.spell(cells, staged(speller(correct.payload(cells, fields.field_spec(spark), vocab, dictionary)), "spelt"))
+        rows = reconcile.gathered(spelt).join(rows.drop("cells"), "record_id")
+
+    last = lambda c: let(correct.last_rules(c["label"], c["value"]), lambda m: F.struct(m["value"], F.concat(c["diffs"], m["diffs"]).alias("diffs")))
+    rows = changed(rows, ("value", "diffs"), lambda c: (c["value"] != "") & (c["label"] == "Regiment"), last)
+    rows = verify.verify_records(typed(rows, True), index, settings.strict)
+    birth = F.get(F.filter("cells", lambda c: c["label"] == "Birth Year"), F.lit(0))["value"]
+    rows = rows.withColumn("__birth", verify.four_digits(birth))
+
+    early = lambda c: F.struct(F.concat(c["flags"], F.array(F.lit("before-birth"))).alias("flags"), F.lit("LOW").alias("confidence"))
+    rows = changed(rows, ("flags", "confidence"), lambda c: verify.before_birth_flags(c["label"], c["value"], F.col("__birth")), early).drop("__birth")
+    return reconcile.third_reader_records(rows, third) if settings.third_reader and third is not None else rows
 
 
 def read_phase(text: DataFrame, vision: DataFrame | None, settings: Settings = Settings(), transcripts: DataFrame | None = None) -> DataFrame:
     """Silver cells from the readers' cells: every record with all fields, typed where its transcript is given."""
-    fast = settings.mode == "fast" or vision is None
-    silver = reconcile.fast_mode(text, fields.LABELS) if fast else reconcile.reconcile(vision, text, fields.LABELS)
-    return silver if transcripts is None else typed(silver, transcripts)
+    return reconcile.spread(read_records(text, vision, settings, None if transcripts is None else index_of(transcripts)).select("record_id", "cells"))
 
 
 def post_phase(
@@ -51,11 +118,18 @@ def post_phase(
     speller: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Gold cells, always from silver ones: corrected, typed, verified, and confirmed by a third reader."""
-    spark = silver.sparkSession
-    spec, vocab = fields.field_spec(spark), fields.vocabulary(spark)
-    gold = typed(correct.correct(silver, spec, vocab, dictionary, speller), transcripts)
-    gold = verify.verify(gold, verify.transcript_index(transcripts), spec, settings.strict)
-    return reconcile.third_reader(gold, third) if settings.third_reader and third is not None else gold
+    index = index_of(transcripts)
+    rows = staged(reconcile.gathered(silver).join(index, "record_id", "left"), "silver")
+    return reconcile.spread(post_records(rows, index, settings, dictionary, third, speller))
+
+
+def run(
+    text: DataFrame, vision: DataFrame | None, transcripts: DataFrame, settings: Settings = Settings(), dictionary: DataFrame | None = None,
+    third: DataFrame | None = None, speller: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Gold cells of both phases in one: silver records are written once, with their transcripts' index."""
+    silver = staged(read_records(text, vision, settings, index_of(transcripts)), "silver")
+    return reconcile.spread(post_records(silver, silver.select("record_id", *INDEX), settings, dictionary, third, speller))
 
 
 def edited(cells: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
