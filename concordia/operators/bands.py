@@ -32,7 +32,7 @@ def clustered(positions: Column, gap: int = 35) -> Column:
     return let(positions.cast("array<bigint>"), lambda p: F.when(F.size(p) > 0, let(places(p), lambda starts: means(p, starts))).otherwise(none))
 
 
-def rules(sums: Column, share: float = 0.4, edge: float = 0.015) -> Column:
+def rules(sums: Column, share: float = 0.4, edge: float = 0.015, gap: int = 35) -> Column:
     """The rules of a page from the ink of each of its pixel rows: rows over 0.4 of the most, clustered, without those at
     the edges.  A page without ink has none.  All of it stays in the page's own row."""
 
@@ -40,7 +40,7 @@ def rules(sums: Column, share: float = 0.4, edge: float = 0.015) -> Column:
         return F.filter(F.transform(s, lambda x, y: F.when((most > 0) & (x > share * most), y.cast("long"))), lambda y: y.isNotNull())
 
     within = lambda h: lambda y: (y > edge * h) & (y < h - edge * h)
-    return let(sums, lambda s: let(F.array_max(s), lambda most: F.filter(clustered(inked(s, most)), within(F.size(s)))))
+    return let(sums, lambda s: let(F.array_max(s), lambda most: F.filter(clustered(inked(s, most), gap), within(F.size(s)))))
 
 
 def rules_of(pages: DataFrame, key: str = "page", sums: str = "sums", share: float = 0.4, edge: float = 0.015) -> DataFrame:

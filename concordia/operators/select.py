@@ -49,23 +49,43 @@ def row_of(name: Column | str) -> tuple[Column, Column]:
     return F.when(is_row, F.regexp_extract(c, p, 1)).otherwise(stem), F.when(is_row, F.regexp_extract(c, p, 2).try_cast("int")).otherwise(F.lit(0))
 
 
-def listing(images: DataFrame, results: DataFrame) -> DataFrame:
+STATS = ("filled", "high", "medium", "low", "conflicts", "flagged")
+
+
+def listing(images: DataFrame, results: DataFrame, converted: DataFrame | None = None) -> DataFrame:
     """name, parent, row_idx, rows of its page, which row of how many it is, has_rows, processed, event_type, n_diffs of
-    every image."""
+    every image, and those of STATS that results have; converted: the names of converted images, which are noted."""
     parent, idx = row_of("name")
     cut = row_split(F.col("name"))
     i = images.select("name").withColumn("parent", parent).withColumn("row_idx", idx).withColumn("is_row", cut)
     rows = i.where("is_row").groupBy("parent").agg(F.count("*").alias("rows"))
-    r = results.select("name", "event_type", "n_diffs", F.lit(True).alias("processed"))
+    stats = [c for c in STATS if c in results.columns]
+    r = results.select("name", "event_type", "n_diffs", *stats, F.lit(True).alias("processed"))
     out = i.join(rows, "parent", "left").join(r, "name", "left")
+    if converted is not None:
+        there = converted.select(F.col("name").alias("png")).distinct().withColumn("converted", F.lit(True))
+        out = out.withColumn("png", files_of(F.col("name"))[0]).join(there, "png", "left")
     return out.select(
         "name", "parent", "row_idx", F.when(F.col("is_row"), F.coalesce("rows", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("rows"),
         F.when(F.col("is_row"), F.concat_ws(" of ", F.col("row_idx").cast("string"), F.col("rows").cast("string"))).otherwise("").alias("row_info"),
         (F.col("rows").isNotNull() & ~F.col("is_row")).alias("has_rows"), F.coalesce("processed", F.lit(False)).alias("processed"),
         F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("n_diffs", F.lit(0)).cast("long").alias("n_diffs"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in stats), *([F.coalesce("converted", F.lit(False)).alias("converted")] if converted is not None else []),
     )
 
 
+class NotProcessed(LookupError):
+    """There is no result of that name."""
+
+
+def result_of(results: DataFrame, name: str) -> DataFrame:
+    """The result of that name; one that isn't there is an error."""
+    own = results.where(F.col("name") == name)
+    if own.isEmpty():
+        raise NotProcessed(name)
+    return own
+
+
 def folders(images: DataFrame, path: str = "path") -> DataFrame:
     return images.select(F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1).alias("folder")).distinct().orderBy("folder")
 

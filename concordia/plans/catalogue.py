@@ -6,15 +6,18 @@ sides; the operators under test then run in Spark, and their semantics are writt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.functions import normalise, similarity, text
-from concordia.operators import bands, correct, export, fields, parse, reconcile, select, verify, vocabulary
+from concordia.operators import bands, correct, export, fields, parse, pixels, reconcile, select, verify, vocabulary
 from concordia.plans import engine
-from concordia.sources import store
+from concordia.sources import store, versions
+from concordia.sources.stage import shared_folder
+from concordia.streaming import status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -699,13 +702,16 @@ def select_doctype(spark, sf_dir):
     return select.select_images(*_images(spark, sf_dir), doctype="Coverpage", task="postprocess", unprocessed=True).select("name")
 
 
-@query(rf"""WITH i AS (SELECT name, regexp_matches(name, '_row[0-9]+\.png$') AS is_row FROM ({plain(IMAGES)})),
+@query(rf"""WITH i AS (SELECT name, regexp_matches(name, '_row[0-9]+\.png$') AS is_row FROM ({plain(IMAGES)})), c AS (SELECT regexp_replace(name, '\.[^.]*$', '') || '.png' AS png FROM ({plain(IMAGES)}) WHERE doc_id % 7 = 0),
 p AS (SELECT name, is_row, CASE WHEN is_row THEN regexp_replace(name, '_row[0-9]+\.png$', '') ELSE regexp_replace(name, '\.[^.]*$', '') END AS parent,
 CASE WHEN is_row THEN CAST(regexp_extract(name, '_row([0-9]+)', 1) AS INT) ELSE 0 END AS row_idx FROM i), n AS (SELECT parent, count(*) AS rows FROM p WHERE is_row GROUP BY parent)
 SELECT p.name, p.parent, row_idx, CASE WHEN is_row THEN rows ELSE 1 END AS rows, rows IS NOT NULL AND NOT is_row AS has_rows, CASE WHEN is_row THEN row_idx || ' of ' || rows ELSE '' END AS row_info, r.name IS NOT NULL AS processed,
-coalesce(event_type, '') AS event_type, coalesce(n_diffs, 0) AS n_diffs FROM p LEFT JOIN n ON p.parent = n.parent LEFT JOIN ({plain(RESULTS)}) r ON p.name = r.name""")
+coalesce(event_type, '') AS event_type, coalesce(n_diffs, 0) AS n_diffs, coalesce(n_diffs * 2, 0) AS filled, regexp_replace(p.name, '\.[^.]*$', '') || '.png' IN (SELECT png FROM c) AS converted
+FROM p LEFT JOIN n ON p.parent = n.parent LEFT JOIN ({plain(RESULTS)}) r ON p.name = r.name""")
 def image_listing(spark, sf_dir):
-    return select.listing(*_images(spark, sf_dir))
+    images, results = _images(spark, sf_dir)
+    converted = images.where("doc_id % 7 = 0").select(select.files_of(F.col("name"))[0].alias("name"))
+    return select.listing(images, results.withColumn("filled", F.col("n_diffs") * 2), converted)
 
 
 @query(f"""WITH old AS (SELECT name, event_type, n_diffs FROM ({plain(RESULTS)})), new AS (SELECT name, 'Edited' AS event_type, CAST(0 AS BIGINT) AS n_diffs FROM ({plain(IMAGES)}) WHERE doc_id % 5 = 0)
@@ -730,9 +736,11 @@ def template_export(spark, sf_dir):
     return export.template(cells, cells.select(F.col("record_id").alias("name")))
 
 
-@query("SELECT label, key, vocab FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(n, k, v or "") for n, k, v in fields.FIELDS) + ") t(label, key, vocab)")
+@query(f"""WITH {RECONCILED}, f(label, key, vocab) AS (VALUES {", ".join("('{}', '{}', '{}')".format(n, k, v or "") for n, k, v in fields.FIELDS)}),
+c AS (SELECT label, count(*) FILTER (trim(value) <> '') AS filled FROM reconciled GROUP BY label) SELECT f.label, key, vocab, coalesce(filled, 0) AS filled FROM f LEFT JOIN c ON c.label = f.label""")
 def field_map(spark, sf_dir):
-    return export.field_map(fields.field_spec(spark))
+    """The fields, and how many cells of the reconciled records fill each."""
+    return export.field_map(fields.field_spec(spark), _reconciled(spark, sf_dir))
 
 
 @query("""WITH p AS (SELECT event_id, (event_id % 100 + (event_id % 7) * 10 / 100.0) / greatest(1, 100) AS frac, CAST(event_id % 1000 AS DOUBLE) AS elapsed FROM events)
@@ -742,9 +750,14 @@ def progress_eta(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(frac, 6).alias("frac"), F.coalesce(F.round(eta, 3), F.lit(-1.0)).alias("eta"))
 
 
-@query(f"SELECT '" + "\n".join(f'- "{n}"' + (f"  ({v})" if v else "") for n, _, v in fields.FIELDS) + "' AS prompt")
+PROMPT = "\n".join(f'- "{n}"' + (f"  ({v})" if v else "") for n, _, v in fields.FIELDS) + "\n\n"
+
+
+@query(f"SELECT doc_id, length(p) AS n, md5(p) AS prompt FROM (SELECT doc_id, '{PROMPT}' || substr(coalesce(text, ''), 1, 6000) AS p FROM documents)")
 def field_prompt(spark, sf_dir):
-    return export.field_prompt(fields.field_spec(spark))
+    """What a model is asked of every document."""
+    p = export.field_prompt(fields.field_spec(spark), table(spark, sf_dir, "documents"))
+    return p.select("doc_id", F.length("prompt").cast("long").alias("n"), F.md5(F.col("prompt").cast("binary")).alias("prompt"))
 
 
 @query(rf"SELECT name, regexp_replace(name, '\.[^.]*$', '') || '.png' AS png, regexp_replace(name, '\.[^.]*$', '') || '_deskewed.png' AS straight, regexp_replace(name, '\.[^.]*$', '') || '_preprocessed.png' AS enhanced FROM ({plain(IMAGES)})")
@@ -757,12 +770,144 @@ PATHS = "SELECT concat('/data/', CASE WHEN doc_id % 4 = 0 THEN 'Images/' ELSE 'o
 CUT = "SELECT concat('img', CAST(doc_id AS STRING), '_row1.png') AS name, concat('/rows/img', CAST(doc_id AS STRING), '_row1.png') AS path, concat('img', CAST(doc_id AS STRING), '_row1') AS stem, concat('img', CAST(doc_id AS STRING)) AS parent FROM {documents} WHERE doc_id % 3 = 0"
 
 
-@query(f"WITH i AS (SELECT * FROM ({plain(PATHS)}) WHERE contains(path, '/Images/')) SELECT name, path, stem FROM i UNION ALL SELECT name, path, stem FROM ({plain(CUT)}) WHERE parent IN (SELECT stem FROM i)")
+@query(f"WITH i AS (SELECT * FROM ({plain(PATHS)}) WHERE contains(path, '/Images/')) SELECT name, path, stem FROM i UNION ALL SELECT name, path, stem FROM ({plain(CUT)}) WHERE parent IN (SELECT stem FROM i) AND CAST(regexp_extract(parent, '[0-9]+', 0) AS BIGINT) % 2 = 0")
 def derived_images(spark, sf_dir):
-    """The default scan's images, and the rows cut from those that are in it."""
-    return store.merge_derived(store.default_images(derived(spark, sf_dir, PATHS)), derived(spark, sf_dir, CUT))
+    """The default scan's images, and the rows cut from those that are in it and whose files are there."""
+    cut = derived(spark, sf_dir, CUT)
+    files = cut.where("CAST(regexp_extract(parent, '[0-9]+', 0) AS BIGINT) % 2 = 0").select("path")
+    return store.merge_derived(store.default_images(derived(spark, sf_dir, PATHS)), cut, files)
 
 
 @query(f"SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM ({plain(PATHS)})")
 def source_folders(spark, sf_dir):
     return select.folders(derived(spark, sf_dir, PATHS))
+
+
+# Stores and batches that change ---------------------------------------------------------------------------------
+
+
+def _folder(spark, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN 7 ELSE quality END AS quality, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE toxic END AS toxic, CAST(3 AS BIGINT) AS version FROM labels")
+def concurrent_store(spark, sf_dir):
+    """Two writers who saw the same version: the second publishes after the first, and of rows that both changed its own count."""
+    path, rows = _folder(spark, "labels"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    seen = versions.upsert(spark, path, rows, "doc_id")
+    first = versions.prepare(rows.where("doc_id % 2 = 0").withColumn("quality", F.lit(7)), path, "doc_id")
+    second = versions.prepare(rows.where("doc_id % 3 = 0").withColumn("toxic", F.lit(9)), path, "doc_id")
+    versions.publish(spark, path, first, seen)
+    last = versions.publish(spark, path, second, seen)
+    return versions.read(spark, path, "doc_id").withColumn("version", F.lit(last).cast("long"))
+
+
+ARRIVALS = """SELECT user_id AS job, event_id AS seq, CAST(event_id * 3 + user_id % 5 AS DOUBLE) AS moment, CASE WHEN event_id % 487 = 0 THEN 'stop' ELSE 'item' END AS kind, concat('img', CAST(event_id AS STRING)) AS name,
+CASE WHEN event_type = 'error' THEN concat('no ', CAST(event_id AS STRING)) END AS error, event_id % 46 AS filled, event_id % 11 AS high, event_id % 7 AS medium, event_id % 5 AS low, event_id % 3 AS conflicts, event_id % 2 AS flagged FROM {events}"""
+COUNTED = f"""a AS ({plain(ARRIVALS)}), s AS (SELECT job, min(seq) FILTER (kind = 'stop') AS stop, count(*) FILTER (kind = 'item') + job % 3 AS total FROM a GROUP BY job), i AS (SELECT a.* FROM a JOIN s ON s.job = a.job WHERE kind = 'item' AND (stop IS NULL OR seq < stop))"""
+
+
+def _tracked(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The state after all events have arrived, the events of a job in one of several files; and the store's path."""
+    at = _folder(spark, "batches")
+    derived(spark, sf_dir, ARRIVALS).repartition(5, "job").write.parquet(f"{at}/in")
+    status.track(spark, f"{at}/in", f"{at}/state", f"{at}/checkpoint", files_at_once=2).awaitTermination()
+    return versions.read(spark, f"{at}/state", "job"), f"{at}/state"
+
+
+SUMS_SQL = ", ".join(f"coalesce(sum({t}) FILTER (error IS NULL), 0) AS {t}" for t in status.TOTALS)
+
+
+@query(f"""WITH {COUNTED}, d AS (SELECT job, count(*) AS done, count(*) FILTER (error IS NULL) AS ok, max(moment) - min(moment) AS took, arg_max(name, seq) AS last, {SUMS_SQL} FROM i GROUP BY job),
+j AS (SELECT s.job, total, stop IS NOT NULL AS stopped, coalesce(done, 0) AS done, coalesce(ok, 0) AS ok, took, last, {", ".join(f"coalesce({t}, 0) AS {t}" for t in status.TOTALS)} FROM s LEFT JOIN d ON d.job = s.job),
+o AS (SELECT *, stopped OR done >= total AS over_, CAST(done AS DOUBLE) / greatest(1, total) AS share FROM j)
+SELECT job, NOT over_ AS running, stopped, CAST(total AS BIGINT) AS total, done, ok, done - ok AS failed, CASE WHEN over_ THEN 100.0 ELSE CAST(round_even(share * 100, 1) AS DOUBLE) END AS pct,
+CASE WHEN over_ THEN 0 WHEN share > 0.02 THEN CAST(round_even(took / share - took, 0) AS BIGINT) ELSE -1 END AS eta, CASE WHEN NOT over_ THEN coalesce(last, '') ELSE '' END AS current, {", ".join(f"CAST({t} AS BIGINT) AS {t}" for t in status.TOTALS)} FROM o""")
+def batch_status(spark, sf_dir):
+    """Jobs whose items arrive as a stream: totals, progress, time left and stops."""
+    asked = derived(spark, sf_dir, ARRIVALS).groupBy("job").agg((F.count_if(F.col("kind") == "item") + F.col("job") % 3).alias("total"))
+    return status.status(_tracked(spark, sf_dir)[0], asked).na.fill({"eta": -1, "current": ""})
+
+
+@query(f"WITH {COUNTED} SELECT job, seq, name, error FROM i WHERE error IS NOT NULL")
+def batch_errors(spark, sf_dir):
+    return status.errors_of(*_tracked(spark, sf_dir))
+
+
+# Pixels ---------------------------------------------------------------------------------------------------------
+
+PIXEL = "CASE WHEN (x * 7 + y * 3 + s_suppkey) % 11 < 4 THEN 30 + (x * y + s_suppkey) % 40 ELSE 150 + (x * 5 + y * s_suppkey) % 90 END"
+PIXELS = f"SELECT s_suppkey AS page, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST({PIXEL} AS INT) AS v FROM (SELECT s_suppkey, x, explode(sequence(0, 31)) AS y FROM (SELECT s_suppkey, explode(sequence(0, 31)) AS x FROM {{supplier}}))"
+PIXELS_SQL = f"px AS (SELECT s_suppkey AS page, x, y, {PIXEL} AS v FROM supplier, range(32) a(x), range(32) b(y))"
+
+
+@query(f"""WITH {PIXELS_SQL}, h AS (SELECT page, v, count(*) AS n FROM px GROUP BY page, v),
+c AS (SELECT page, v, CAST(sum(n) OVER u AS DOUBLE) AS n0, CAST(sum(n * v) OVER u AS DOUBLE) AS s0, CAST(sum(n) OVER w AS DOUBLE) AS n, CAST(sum(n * v) OVER w AS DOUBLE) AS s FROM h WINDOW u AS (PARTITION BY page ORDER BY v), w AS (PARTITION BY page)),
+b AS (SELECT page, v, CASE WHEN n > n0 THEN (n0 / n) * ((n - n0) / n) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)) ELSE 0 END AS apart FROM c)
+SELECT page, CAST(arg_max(v, struct_pack(a := apart, o := -v)) AS INT) AS threshold FROM b GROUP BY page""")
+def page_threshold(spark, sf_dir):
+    return pixels.threshold(derived(spark, sf_dir, PIXELS))
+
+
+@query(f"""WITH {PIXELS_SQL}, h AS (SELECT page, (y // 8) * 4 + x // 8 AS tile, v, count(*) AS n FROM px GROUP BY ALL), e AS (SELECT DISTINCT page, tile FROM h),
+d AS (SELECT e.page, e.tile, r.v, coalesce(h.n, 0) AS n FROM e, range(256) r(v) LEFT JOIN h ON h.page = e.page AND h.tile = e.tile AND h.v = r.v),
+o AS (SELECT *, CAST(sum(greatest(n - 1, 0)) OVER (PARTITION BY page, tile) AS BIGINT) AS gone FROM d),
+s AS (SELECT *, gone % 256 AS rest, greatest(1, CASE WHEN gone % 256 > 0 THEN 256 // (gone % 256) ELSE 1 END) AS step FROM o),
+k AS (SELECT page, tile, v, least(n, 1) + gone // 256 + CASE WHEN rest > 0 AND v % step = 0 AND v // step < rest THEN 1 ELSE 0 END AS n FROM s),
+t AS (SELECT page, tile, v, least(round_even(CAST(sum(n) OVER (PARTITION BY page, tile ORDER BY v) AS DOUBLE) * CAST(255 AS DOUBLE) / 64, 0), 255) AS made FROM k),
+p AS (SELECT page, x, y, v, x / CAST(8 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS ax, y / CAST(8 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS ay FROM px),
+q AS (SELECT page, x, y, v, CAST(least(greatest(floor(ax) + i, 0), 3) AS BIGINT) AS tx, CASE i WHEN 0 THEN floor(ax) + 1 - ax ELSE ax - floor(ax) END AS wx, CAST(least(greatest(floor(ay) + j, 0), 3) AS BIGINT) AS ty,
+CASE j WHEN 0 THEN floor(ay) + 1 - ay ELSE ay - floor(ay) END AS wy FROM p, range(2) a(i), range(2) b(j))
+SELECT q.page, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(round_even(round(CAST(sum(CAST(round(wx * wy * made, 10) AS DECIMAL(20, 10))) AS DOUBLE), 6), 0) AS INT) AS v FROM q JOIN t ON t.page = q.page AND t.tile = q.ty * 4 + q.tx AND t.v = q.v GROUP BY q.page, x, y""")
+def page_contrast(spark, sf_dir):
+    return pixels.contrast(derived(spark, sf_dir, PIXELS), 32, 32, tiles=4)
+
+
+POINT_X = "(i * 37 + s_suppkey) % 400"
+POINT_Y = f"CASE WHEN i % 4 = 0 THEN (i * 53 + s_suppkey * 7) % 300 ELSE 150 + CAST(floor({POINT_X} * (s_suppkey % 7 - 3) / 20.0) AS BIGINT) END"
+POINTS = f"SELECT DISTINCT s_suppkey AS page, {POINT_X} AS x, {POINT_Y} AS y FROM (SELECT s_suppkey, explode(sequence(0L, 99L)) AS i FROM {{supplier}})"
+ANGLES_SQL = ", ".join(f"({t}, CAST('{c!r}' AS DOUBLE), CAST('{s!r}' AS DOUBLE))" for t, c, s in pixels.angles_table())
+
+
+@query(f"""WITH pt AS (SELECT DISTINCT s_suppkey AS page, {POINT_X} AS x, {POINT_Y} AS y FROM supplier, range(100) r(i)), a(t, c, s) AS (VALUES {ANGLES_SQL}),
+n AS (SELECT page, t, CAST(floor(x * c + y * s + 0.5) AS BIGINT) AS rho, count(*) AS n FROM pt, a GROUP BY ALL),
+l AS (SELECT n.* FROM n LEFT JOIN n b ON b.page = n.page AND b.t = n.t AND b.rho = n.rho - 1 LEFT JOIN n f ON f.page = n.page AND f.t = n.t AND f.rho = n.rho + 1
+LEFT JOIN n u ON u.page = n.page AND u.t = n.t - 1 AND u.rho = n.rho LEFT JOIN n d ON d.page = n.page AND d.t = n.t + 1 AND d.rho = n.rho
+WHERE n.n > 15 AND n.n > coalesce(b.n, 0) AND n.n >= coalesce(f.n, 0) AND n.n > coalesce(u.n, 0) AND n.n >= coalesce(d.n, 0)),
+k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, t, rho) AS k, t * CAST(0.5 AS DOUBLE) - 90 AS deg FROM l) SELECT page, quantile_cont(deg, 0.5) AS angle FROM k WHERE k <= 500 AND abs(deg) <= 45 GROUP BY page""")
+def line_angles(spark, sf_dir):
+    """By how much the lines of a page's points are turned."""
+    return pixels.line_angle(derived(spark, sf_dir, POINTS), least=15)
+
+
+@query(None)
+def page_rectangle(spark, sf_dir):
+    """By how much the smallest rectangle around a page's points is turned; tested against all rectangles by hand."""
+    return pixels.rectangle_angle(derived(spark, sf_dir, POINTS)).select("page", F.round("angle", 6).alias("angle"))
+
+
+RUN_1 = "CASE WHEN (y + o_orderkey) % 40 < 2 THEN 120 WHEN (y * 7 + o_orderkey) % 17 = 0 THEN 70 ELSE 20 + o_orderkey % 25 END"
+RUN_2 = "25 + (y * 11 + o_orderkey) % 20"
+INKED = f"""SELECT o_orderkey AS page, transform(sequence(0L, 59L), y -> array(named_struct('start', (y * 13 + o_orderkey) % 30, 'length', CAST({RUN_1} AS BIGINT)), named_struct('start', 400L - ({RUN_2}), 'length', {RUN_2}))) AS rows FROM {{orders}}"""
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, unnest(range(60)) AS y FROM orders), r AS (SELECT o_orderkey AS page, y, (y * 13 + o_orderkey) % 30 AS s1, {RUN_1} AS n1, {RUN_2} AS n2 FROM p),
+i AS (SELECT page, y, CASE WHEN n1 >= 60 OR (s1 = 0 AND n1 >= 30) THEN n1 ELSE 0 END + CASE WHEN n2 > 30 THEN n2 ELSE 0 END AS ink FROM r),
+c AS (SELECT page, y FROM (SELECT *, max(ink) OVER (PARTITION BY page) AS most FROM i) WHERE most > 0 AND ink > 0.4 * most),
+g AS (SELECT page, y, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) > 3 THEN 1 ELSE 0 END AS fresh FROM c), u AS (SELECT page, y, sum(fresh) OVER (PARTITION BY page ORDER BY y RANGE UNBOUNDED PRECEDING) AS run FROM g),
+m AS (SELECT page, CAST(floor(avg(y)) AS BIGINT) AS y FROM u GROUP BY page, run) SELECT page, y FROM m WHERE y > 0.015 * 60 AND y < 60 - 0.015 * 60""")
+def opened_rules(spark, sf_dir):
+    """A page's rules from its rows of inked runs: opened, summed, clustered."""
+    sums = F.transform("rows", lambda r: pixels.opened(r, F.lit(400)))
+    return derived(spark, sf_dir, INKED).select("page", F.explode(bands.rules(sums, gap=3)).alias("y"))
+
+
+MEANS = "SELECT o_orderkey AS page, transform(sequence(0, 49), i -> CAST(CASE WHEN o_orderkey % 13 = 0 OR i < o_orderkey % 7 OR i > 49 - o_orderkey % 5 THEN 20 ELSE 90 + (i * 7 + o_orderkey) % 40 END AS DOUBLE)) AS means FROM {orders}"
+
+
+@query("""WITH m AS (SELECT o_orderkey AS page, unnest(range(50)) AS i FROM orders), v AS (SELECT page, i FROM m WHERE NOT (page % 13 = 0 OR i < page % 7 OR i > 49 - page % 5) AND 90 + (i * 7 + page) % 40 > 100)
+SELECT o_orderkey AS page, CAST(coalesce(min(i), -1) AS INT) AS first, CAST(coalesce(max(i), -1) AS INT) AS last FROM orders LEFT JOIN v ON v.page = o_orderkey GROUP BY o_orderkey""")
+def content_bounds(spark, sf_dir):
+    """Where a page lies in its scan, from the brightness of its pixel rows; -1 where it is nowhere."""
+    c = derived(spark, sf_dir, MEANS).select("page", pixels.content(F.col("means")).alias("c"))
+    return c.select("page", *(F.coalesce(f"c.{n}", F.lit(-1)).alias(n) for n in ("first", "last")))

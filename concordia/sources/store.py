@@ -43,9 +43,12 @@ def newest(found: DataFrame) -> DataFrame:
     return found.agg(F.max("modificationTime").alias("newest"))
 
 
-def merge_derived(images: DataFrame, derived: DataFrame) -> DataFrame:
-    """images and the derived ones (name, path, stem, parent) whose parent is there; a derived image replaces one of its name."""
+def merge_derived(images: DataFrame, derived: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """images and the derived ones (name, path, stem, parent) whose parent is there; a derived image replaces one of its
+    name.  files: the paths that there are; derived images whose file has gone are left out."""
     own = derived.join(images.select(F.col("stem").alias("parent")).distinct(), "parent", "left_semi").select("name", "path", "stem")
+    if files is not None:
+        own = own.join(files.select("path").distinct(), "path", "left_semi").select("name", "path", "stem")
     return images.select("name", "path", "stem").join(own, "name", "left_anti").unionByName(own)
 
 
