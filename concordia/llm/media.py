@@ -10,7 +10,10 @@ the DC coefficients of the first component give a luminance thumbnail of one pix
 dimensions and two hashes of the thumbnail (means of an 8 x 8 grid against their median, and against the right
 neighbour).
 
-Null text is the empty text: its payload is 192 blanks.  Equal texts give equal files.  Rows are kept as they are.
+Null text is the empty text: its payload is 192 blanks.  Equal texts give equal files.  Rows are kept as they are, null
+and repeated ids included; columns but the id and the text are not read, whatever their names; an empty table gives none.
+A text of any length is written and read whole, by runs of RUN intervals; a worker takes about twelve bytes for each of
+the longest text's.  A file has at most 65,535 pixels down, which hold 1.6 GB of text.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ UNIT = 192
 DC_TABLE = ((0, 1, 2, 2, 2, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0), (5, 7, 6, 4, 3, 8, 2, 1, 0, 9))
 AC_TABLE = ((0, 2, 2, 1, 1, 1, 2, 1, 0, 0, 0, 0, 0, 0, 0, 0), (0x05, 0x07, 0x04, 0x06, 0x08, 0x03, 0x02, 0x01, 0x00, 0xF0))
 WIDE = 1024  # MCUs in a row at most
+#: MCUs that are written, or restart intervals that are read, at once: what a text takes beside itself and its file.
+RUN = 8192
 
 
 def huffman(table: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +85,13 @@ _CODES = tuple(huffman(t) for t in (DC_TABLE, AC_TABLE))
 
 
 def _entropy(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scan bytes, stuffed, of MCUs of 192 payload bytes, and where each MCU's bytes end."""
+    """Scan bytes, stuffed, of MCUs of 192 payload bytes, and where each MCU's bytes end; by runs of MCUs."""
+    runs = [_run(units[i : i + RUN]) for i in range(0, len(units), RUN)]
+    before = np.cumsum([0, *(len(data) for data, _ in runs)])
+    return np.concatenate([data for data, _ in runs]), np.concatenate([ends + b for (_, ends), b in zip(runs, before)])
+
+
+def _run(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(units)
     value = units.astype(np.int16).reshape(n * 3, 64)
     value = np.where(value < 128, value - 128, value - 127)
@@ -182,8 +193,8 @@ class Jpeg:
         drop = np.concatenate([np.flatnonzero((raw[:end] == 0xFF) & (nxt[:end] == 0)) + 1, resets, resets + 1])
         keep = np.ones(end, bool)
         keep[drop] = False
-        before = np.concatenate([[0], np.cumsum(keep)])
-        self.scan, self.starts = raw[:end][keep], np.concatenate([[0], before[resets]])
+        drop.sort()
+        self.scan, self.starts = raw[:end][keep], np.concatenate([[0], resets - np.searchsorted(drop, resets)])
         top_h, top_v = max(h for _, h, _ in self.parts), max(v for _, _, v in self.parts)
         if len(self.parts) == 1:
             self.parts, top_h, top_v = [(self.parts[0][0], 1, 1)], 1, 1
@@ -214,14 +225,23 @@ def decode(files: list[Jpeg]) -> list[np.ndarray]:
         total += len(f.scan) + 8
         sizes.append(np.array(own))
         mcus += n
-    data, sizes = np.concatenate(scans), np.concatenate(sizes)
+    data, sizes, starts = np.concatenate(scans), np.concatenate(sizes), np.concatenate(starts).astype(np.int64)
+    out = np.zeros((mcus * blocks, 64), np.int16)
+    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for i in range(0, len(sizes), RUN):
+        end = starts[i + RUN] + 8 if i + RUN < len(starts) else len(data)
+        _lanes(first, luts, data[starts[i] : end], starts[i : i + RUN] - starts[i], sizes[i : i + RUN], base[i : i + RUN], out)
+    ends = np.cumsum([f.across * f.down for f in files])
+    return np.split(out.reshape(mcus, blocks, 64), ends[:-1])
+
+
+def _lanes(first: Jpeg, luts: list, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.ndarray, out: np.ndarray) -> None:
+    """Decodes a run of restart intervals, which start there in the data, to the rows of out that begin at base."""
     window = np.zeros(len(data) - 7, np.uint64)
     for k in range(5):
         window |= data[k : len(data) - 7 + k].astype(np.uint64) << np.uint64(8 * (4 - k))
     window = window.astype(np.int64)
-    bit = np.concatenate(starts).astype(np.int64) * 8
-    out = np.zeros((mcus * blocks, 64), np.int16)
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    bit, blocks = starts * 8, len(first.pattern)
     parts = max(first.pattern) + 1
     before = np.zeros((len(sizes), parts), np.int64)
 
@@ -261,8 +281,6 @@ def decode(files: list[Jpeg]) -> list[np.ndarray]:
                 on = (k < 64) & (put | (run == 15))
                 if not on.all():
                     lanes, rows, k = lanes[on], rows[on], k[on]
-    ends = np.cumsum([f.across * f.down for f in files])
-    return np.split(out.reshape(mcus, blocks, 64), ends[:-1])
 
 
 def thumbnail(f: Jpeg, coefficients: np.ndarray) -> np.ndarray:
@@ -293,7 +311,7 @@ def read_features(media: list[bytes]) -> list[tuple]:
             f = files[i]
             _, size, n_bytes = struct.unpack(">8sQQ", f.note)
             flat = c.ravel()
-            stored = np.where(flat < 0, flat + 128, flat + 127).astype(np.uint8).tobytes()[:size]
+            stored = (flat + np.where(flat < 0, np.int16(128), np.int16(127))).astype(np.uint8).tobytes()[:size]
             a, b = hashes(thumbnail(f, c))
             feature = f"{f.width}x{f.height}:{a:016x}:{b:016x}"
             out[i] = (n_bytes, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature)

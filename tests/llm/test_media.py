@@ -149,3 +149,19 @@ def test_edges_and_small_table(spark):
     assert len({r.media_sha256 for r in rows if r.doc_id in (5, 6)}) == 1
     check(media.op3_media(spark, SMALL).collect(), {r.doc_id: r.text for r in small(spark).collect()})
     assert media.media_features(media.with_media(docs.limit(0))).collect() == []
+
+
+def test_runs_change_nothing(spark, monkeypatch):
+    texts = ["é" * 3000 + "\xff", "", "a" * 10_000, "".join(chr(i % 250 + 1) for i in range(5000))]
+    whole = media.write_jpegs(texts)
+    want = media.read_features(whole)
+    for run in (1, 3, 8):
+        monkeypatch.setattr(media, "RUN", run)
+        assert media.write_jpegs(texts) == whole and media.read_features(whole) == want
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "x"), (None, "x"), (3, None), (3, "y" * 200_000)], "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS feature", "3 AS n_bytes")
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes) for r in media.media_features(media.with_media(df)).collect()), key=str)
+    assert got == sorted([(None, 1, 192), (None, 1, 192), (3, 0, 192), (3, 200_000, 200_064)], key=str)
+    assert media.media_features(media.with_media(df.limit(0))).count() == 0
