@@ -8,6 +8,8 @@ import numpy as np
 
 #: One select sample for so many set bits.
 SAMPLE = 256
+#: Values that are packed at once.
+STRIP = 1 << 14
 HEAD = struct.Struct("<QQqB")
 
 
@@ -15,8 +17,11 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """Values of so many bits each, lowest bit first, end to end."""
     if not width or not len(values):
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    place, out = np.arange(width, dtype=np.uint64), []
+    for at in range(0, len(values), STRIP):  # of a multiple of eight values, so of whole bytes
+        bits = (values[at : at + STRIP, None] >> place) & np.uint64(1)
+        out.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def unpack(data: np.ndarray, width: int, at: int, n: int) -> np.ndarray:
