@@ -73,8 +73,8 @@ def merged(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
 
 
 def files_for(rows: int, each: int) -> int:
-    """How many files so many rows take: each rows in one while files are few, else a million."""
-    return max(1, min(-(-rows // each), max(2_000, -(-rows // 1_000_000))))
+    """How many files so many rows take: each rows in one, up to a hundred thousand files; beyond that ten million."""
+    return max(1, min(-(-rows // each), max(100_000, -(-rows // 10_000_000))))
 
 
 def written(df: DataFrame, what: str, rows: int | None = None, each: int = 100_000, spread: bool = False) -> DataFrame:
