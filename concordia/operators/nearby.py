@@ -3,7 +3,7 @@
 A score of at least t leaves two strings of lengths a and b at most (a + b) (100 - t) / 100 insertions and deletions apart.
 Cut into one segment more than that, a string has one which the edits leave whole, so it stands in the other string, at a
 place that they can have shifted by no more than the segments before and behind it have edits to give.  Segments of the
-one side are joined to substrings of the other by equality of both lengths, number and content; what meets is scored.
+one side are joined to substrings of the other by equality of both lengths, number and content; what meets, and doesn't differ in more characters than it may, is scored.
 Nothing that reaches the score is lost, and no pair of strings without a common segment is looked at.
 
 Segments are as long as the score is high (about two and a half characters at 82).  Strings of over LONG characters would
@@ -21,7 +21,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concordia.functions.similarity import ratio, upper_bound
+from concordia.functions.similarity import ratio
 
 LONG = 48
 #: Scores from which segments tell more than lengths do.
@@ -57,8 +57,18 @@ def plan(n: int, least: float, cut: bool) -> list[tuple[str, int, int]]:
     return out
 
 
+def letters(text: str) -> int:
+    """64 bits of which characters a string has, and how often.  An insertion or deletion changes one of them at most, so
+    strings that are so many edits apart differ in no more bits."""
+    out, seen = 0, {}
+    for c in text:
+        k = seen[c] = seen.get(c, -1) + 1
+        out |= 1 << (ord(c) * 7 + k * 29) % 64
+    return out - (out >> 63 << 64)
+
+
 def _keyed(rows: DataFrame, text: str, cut: bool) -> DataFrame:
-    """rows (with least) once for each key by which their text meets others."""
+    """rows (with least) once for each key by which their text meets others, and the text's letters."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +77,10 @@ def _keyed(rows: DataFrame, text: str, cut: bool) -> DataFrame:
         for b in batches:
             keys = [{mark + t[x:y] for mark, x, y in plan(len(t), least, cut)} for t, least in zip(b.column(text).to_pylist(), b.column("least").to_pylist())]
             at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            yield b.take(pa.array(at)).append_column("__key", pa.array([k for own in keys for k in own], pa.string()))
+            own = b.append_column(f"__{text}", pa.array(map(letters, b.column(text).to_pylist()), pa.int64()))
+            yield own.take(pa.array(at)).append_column("__key", pa.array([k for own in keys for k in own], pa.string()))
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", __key string")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + f", __{text} long, __key string")
 
 
 def like_pairs(asked: DataFrame, known: DataFrame, keys: tuple[str, ...], least: float | Column) -> DataFrame:
@@ -80,6 +91,7 @@ def like_pairs(asked: DataFrame, known: DataFrame, keys: tuple[str, ...], least:
     bound = F.lit(float(least)) if not isinstance(least, Column) else least.cast("double")
     left = _keyed(asked.where(F.length("w") > 0).select(*keys, "w", bound.alias("least")), "w", False)
     right = _keyed(known.where(F.length("seen") > 0).select(*keys, "seen", bound.alias("least")), "seen", True).drop("least")
-    met = left.join(right, [*keys, "__key"]).where(upper_bound(F.col("w"), F.col("seen")) >= F.col("least"))
+    edits = F.floor((F.length("w") + F.length("seen")) * (100 - F.col("least")) / 100 + 1e-9)
+    met = left.join(right, [*keys, "__key"]).where(F.bit_count(F.col("__w").bitwiseXOR(F.col("__seen"))) <= edits)
     pairs = met.select(*keys, "w", "seen", "least").distinct()
     return pairs.withColumn("score", ratio(F.col("w"), F.col("seen"))).where(F.col("score") >= F.col("least")).drop("least")

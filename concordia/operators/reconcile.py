@@ -56,9 +56,9 @@ CELL = ("label", "value", "confidence", "evidence", "source", "alt", "flags")
 LOGS = {"raw": "value", "diffs": "CAST(array() AS array<struct<original:string,corrected:string,note:string>>)", "dropped": "CAST(NULL AS string)"}
 
 
-def records(text: DataFrame, vision: DataFrame | None, labels: tuple[str, ...]) -> DataFrame:
-    """record_id and cells, an array of CELL and LOGS in the order of the labels: what reconcile() or, without vision, fast_mode()
-    has of every record with all its fields.
+def records(text: DataFrame, vision: DataFrame | None, labels: tuple[str, ...], always: tuple[str, ...] = ("Event Type",)) -> DataFrame:
+    """record_id and cells, an array of CELL and LOGS: what reconcile() or, without vision, fast_mode() has of every record,
+    but for the fields that no reader has, which filled() adds; those of always are there in any case.
 
     Both readers' rows are dealt by record once and meet there; of repeated cells of a reader the largest value counts.
     """
@@ -74,13 +74,23 @@ def records(text: DataFrame, vision: DataFrame | None, labels: tuple[str, ...])
         one = one.withColumn("m", merged(some(F.col("v.value")), some(F.col("v.confidence")), strip(some(F.col("t.value")))))
         made = one.select("record_id", "label", "m.*", some(F.col("v.evidence")).alias("evidence"))
     cell = F.struct(*CELL[:-1], F.array().cast("array<string>").alias("flags"), *(F.expr(e).alias(n) for n, e in LOGS.items()))
-    held = made.groupBy("record_id").agg(F.collect_list(cell).alias("held"))
-    kind = made.select(cell.alias("c")).schema["c"].dataType.simpleString()
-    source = "text" if vision is None else ""
-    blank = {n: f"named_struct('label', '{n}', 'value', '', 'confidence', '', 'evidence', '', 'source', '{source}', 'alt', '', 'flags', array(), 'raw', '', 'diffs', array(), 'dropped', NULL)" for n in labels}
-    whole = F.expr("array(" + ", ".join(blank.values()) + ")").cast(f"array<{kind}>")  # a literal: fields that no reader has cost nothing
-    own = F.transform(whole, lambda b: F.coalesce(F.get(F.filter("held", lambda c: c["label"] == b["label"]), F.lit(0)), b))
-    return held.select("record_id", own.alias("cells"))
+    held = made.groupBy("record_id").agg(F.collect_list(F.when(F.col("label").isin(*labels), cell)).alias("cells"))
+    more = blanks(always, made.select(cell.alias("c")).schema["c"].dataType.simpleString(), "text" if vision is None else "")
+    lacking = F.filter(more, lambda b: ~F.exists("cells", lambda c: c["label"] == b["label"]))
+    return held.withColumn("cells", F.concat("cells", lacking))
+
+
+def blanks(labels: tuple[str, ...], kind: str, source: str = "") -> Column:
+    """A literal: the cells, of that type, of fields that no reader has."""
+    one = "named_struct('label', '{}', 'value', '', 'confidence', '', 'evidence', '', 'source', '{}', 'alt', '', 'flags', array(), 'raw', '', 'diffs', array(), 'dropped', NULL)"
+    return F.expr("array(" + ", ".join(one.format(n, source) for n in labels) + ")").cast(f"array<{kind}>")
+
+
+def filled(rows: DataFrame, labels: tuple[str, ...], source: str = "") -> DataFrame:
+    """records with a cell for every label, in their order."""
+    whole = blanks(labels, rows.schema["cells"].dataType.elementType.simpleString(), source)
+    own = lambda cells: F.transform(whole, lambda b: F.coalesce(F.get(F.filter(cells, lambda c: c["label"] == b["label"]), F.lit(0)), b))
+    return rows.withColumn("cells", let(F.col("cells"), own))  # named once, as the optimiser puts the cells' own making in its place
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -29,8 +29,12 @@ INDEX = ("words", "runs", "all_digits", "doctype", "doctype_confidence")
 
 
 def index_of(transcripts: DataFrame) -> DataFrame:
-    """record_id and what the phases need of its transcript (record_id, text): INDEX."""
-    kinds = verify.classify(transcripts.select("record_id", "text"))
+    """record_id and what the phases need of its transcript (record_id, text): INDEX.
+
+    Transcripts are dealt by record first, as records are, so that large files are read by many tasks and the join moves
+    nothing again.
+    """
+    kinds = verify.classify(transcripts.select("record_id", "text").repartition("record_id"))
     return verify.transcript_index(kinds, more=("doctype", "doctype_confidence"))
 
 
@@ -56,7 +60,8 @@ def typed(rows: DataFrame, log: bool) -> DataFrame:
 
 
 def read_records(text: DataFrame, vision: DataFrame | None, settings: Settings, index: DataFrame | None) -> DataFrame:
-    """Silver records: every one with all fields, and, where the transcripts' index is given, typed and with its columns."""
+    """Silver records with the fields that a reader has, and, where the transcripts' index is given, typed and with its
+    columns.  Fields that nobody read stay out until the end: no layer changes them."""
     fast = settings.mode == "fast" or vision is None
     silver = reconcile.records(text, None if fast else vision, fields.LABELS)
     return silver if index is None else typed(silver.join(index, "record_id", "left"), False)
@@ -93,7 +98,7 @@ def post_records(
     rows = changed(silver, ("value", "diffs"), lambda c: (c["value"] != "") & c["label"].isin(*correct.RULED), first)
     rows = _looked_up(rows, vocab, dictionary, True)
     if speller is not None:
-        cells = staged(reconcile.spread(rows), "corrected")
+        cells = staged(reconcile.spread(reconcile.filled(rows, fields.LABELS)), "corrected")
         spelt = correct.spell(cells, staged(speller(correct.payload(cells, fields.field_spec(spark), vocab, dictionary)), "spelt"))
         rows = reconcile.gathered(spelt).join(rows.drop("cells"), "record_id")
 
@@ -110,7 +115,13 @@ def post_records(
 
 def read_phase(text: DataFrame, vision: DataFrame | None, settings: Settings = Settings(), transcripts: DataFrame | None = None) -> DataFrame:
     """Silver cells from the readers' cells: every record with all fields, typed where its transcript is given."""
-    return reconcile.spread(read_records(text, vision, settings, None if transcripts is None else index_of(transcripts)).select("record_id", "cells"))
+    rows = read_records(text, vision, settings, None if transcripts is None else index_of(transcripts)).select("record_id", "cells")
+    return reconcile.spread(reconcile.filled(rows, fields.LABELS, _source(vision, settings))).select("record_id", *reconcile.CELL)
+
+
+def _source(vision: DataFrame | None, settings: Settings) -> str:
+    """Whom fields that nobody has are put down to: in fast mode the text reader."""
+    return "text" if settings.mode == "fast" or vision is None else ""
 
 
 def post_phase(
@@ -129,7 +140,8 @@ def run(
 ) -> DataFrame:
     """Gold cells of both phases in one: silver records are written once, with their transcripts' index."""
     silver = staged(read_records(text, vision, settings, index_of(transcripts)), "silver")
-    return reconcile.spread(post_records(silver, silver.select("record_id", *INDEX), settings, dictionary, third, speller))
+    gold = post_records(silver, silver.select("record_id", *INDEX), settings, dictionary, third, speller)
+    return reconcile.spread(reconcile.filled(gold, fields.LABELS, _source(vision, settings)))
 
 
 def edited(cells: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
