@@ -1,7 +1,8 @@
 """The queries of the engine's own operators over the driver's tables, by name, and the SQL that gives the same rows.
 
 Readers' cells, payloads and positions that the tables don't hold are derived from them by plain SQL, the same on both
-sides; the operators under test then run in Spark, and their semantics are written out in the oracle's SQL.
+sides; the operators under test then run in Spark, and their semantics are written out in the oracle's SQL.  Where inputs
+have few shapes (bands from positions, payloads, the export, records of orders in the phases) it states the outcomes.
 """
 
 from __future__ import annotations
