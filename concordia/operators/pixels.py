@@ -1,18 +1,22 @@
 """What a page's pixels tell: threshold, local contrast, its inked rows, and by how much it is turned.
 
 Pages are tables of pixels (page, x, y, v), of inked points (page, x, y), or of rows of inked runs.  Histograms, votes and
-extreme points are aggregated by Spark, partially in the tasks that read them; only the few points of a page's outline go
-to a function in Python.
+extreme points are aggregated by Spark, partially in the tasks that read them; only the few points of a page's outline, and
+the points that vote for its lines, go to a function in Python.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.sources.stage import staged
+register_pickle_by_value(sys.modules[__name__])  # functions travel with what they call, so that workers need no import of this package
 
 
 def threshold(pixels: DataFrame) -> DataFrame:
@@ -103,13 +107,57 @@ def angles_table(steps: int = 360) -> list[tuple[int, float, float]]:
     return [(t, math.cos(t * math.pi / steps), math.sin(t * math.pi / steps)) for t in range(steps)]
 
 
-def votes(points: DataFrame, steps: int = 360) -> DataFrame:
-    """page, t, rho, n: how many of a page's points lie on each line, by its direction and distance; counted where points
-    are read, then summed."""
-    angles = F.expr("array(" + ", ".join(f"named_struct('t', {t}L, 'c', {c!r}D, 's', {s!r}D)" for t, c, s in angles_table(steps)) + ")")  # a literal
-    on = points.select("page", "x", "y", F.explode(angles).alias("a"))
-    rho = F.floor(F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + 0.5).cast("long")
-    return on.select("page", F.col("a.t").alias("t"), rho.alias("rho")).groupBy("page", "t", "rho").agg(F.count("*").alias("n"))
+#: Points times directions of a page that are voted for at once.
+VOTES = 1 << 20
+
+
+def _lines(x: np.ndarray, y: np.ndarray, least: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Direction, distance and votes of the lines of one page's points that have more than the least and than their
+    neighbours; some directions at once, with those beside them."""
+    cos, sin = np.array([a[1:] for a in angles_table(steps)]).T
+    few = max(1, VOTES // max(1, len(x)))
+    for first in range(0, steps, few):
+        t = np.arange(max(first - 1, 0), min(first + few + 1, steps))
+        rho = np.floor(x[:, None] * cos[t] + y[:, None] * sin[t] + 0.5).astype(np.int64)
+        low = rho.min() - 1
+        wide = int(rho.max() - low) + 2  # a free place at either end, so that no line has a neighbour in another direction
+        key = ((t - t[0] + 1) * wide + (rho - low)).ravel()
+        if wide * (len(t) + 2) <= 16 * len(key):
+            n = np.bincount(key)
+            key = np.flatnonzero(n)
+            n = n[key]
+        else:
+            key, n = np.unique(key, return_counts=True)
+        strong = np.flatnonzero(n > least)
+        line, votes = key[strong], n[strong]
+
+        def beside(other: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(key, other), len(key) - 1)  # noqa: B023
+            return np.where(key[at] == other, n[at], 0)  # noqa: B023
+
+        fine = (votes > beside(line - 1)) & (votes >= beside(line + 1)) & (votes > beside(line - wide)) & (votes >= beside(line + wide))
+        at = line // wide - 1 + t[0]
+        fine &= (at >= first) & (at < first + few)
+        yield at[fine], (line % wide + low)[fine], votes[fine]
+
+
+def strongest(points: DataFrame, least: int, steps: int = 360) -> DataFrame:
+    """page, t, rho, n: the lines, by direction and distance, on which more than the least of a page's points lie, and more
+    than on their neighbours.
+
+    Points are dealt by page; their votes, many times as many, are counted where they meet and are written nowhere.
+    """
+    import pyarrow as pa
+
+    kind = points.schema["page"].dataType.simpleString()
+
+    def count(key, g):
+        found = list(_lines(g.column("x").to_numpy(), g.column("y").to_numpy(), least, steps))
+        t, rho, n = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+        return pa.table({"page": pa.repeat(key[0], len(t)).cast(g.schema.field("page").type), "t": t, "rho": rho, "n": n})
+
+    some = points.where("x IS NOT NULL AND y IS NOT NULL").select("page", "x", "y")
+    return some.groupBy("page").applyInArrow(count, f"page {kind}, t long, rho long, n long")
 
 
 def line_angle(points: DataFrame, least: int = 200, first: int = 500, steps: int = 360) -> DataFrame:
@@ -118,15 +166,7 @@ def line_angle(points: DataFrame, least: int = 200, first: int = 500, steps: int
     A line has more votes than the least and than its neighbours in direction and distance (of equal ones the later in
     either doesn't count); the first so many by votes are taken.  Pages without lines are left out.
     """
-    v = staged(votes(points, steps), "votes")
-    strong = v.where(F.col("n") > least)
-    near = [(0, -1, True), (0, 1, False), (-1, 0, True), (1, 0, False)]  # where, and whether a line must have more than it
-    sides = F.explode(F.array(*(F.struct(F.lit(dt).alias("dt"), F.lit(dr).alias("dr"), F.lit(more).alias("more")) for dt, dr, more in near)))
-    asked = strong.withColumn("o", sides).select("page", "t", "rho", "n", (F.col("t") + F.col("o.dt")).alias("ot"), (F.col("rho") + F.col("o.dr")).alias("orho"), "o.more")
-    other = v.select("page", F.col("t").alias("ot"), F.col("rho").alias("orho"), F.col("n").alias("on"))
-    met = asked.join(other, ["page", "ot", "orho"], "left")
-    fine = F.when(F.col("more"), F.col("n") > F.coalesce("on", F.lit(0))).otherwise(F.col("n") >= F.coalesce("on", F.lit(0)))
-    lines = met.groupBy("page", "t", "rho").agg(F.max("n").alias("n"), F.min(fine).alias("fine")).where("fine")
+    lines = strongest(points, least, steps)
     rank = F.row_number().over(Window.partitionBy("page").orderBy(F.desc("n"), "t", "rho"))
     deg = F.col("t") * (180.0 / steps) - 90
     taken = lines.withColumn("k", rank).where(F.col("k") <= first).withColumn("deg", deg).where(F.abs("deg") <= 45)

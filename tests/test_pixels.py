@@ -114,6 +114,26 @@ def test_lines(spark):
     assert got.keys() == {1, 2} and got[1] == 0.0 and abs(got[2] - 3) <= 0.5
 
 
+def plain_lines(points, least, steps):
+    """Votes of all lines, and those that have more than their neighbours."""
+    n = Counter((t, math.floor(x * c + y * s + 0.5)) for x, y in points for t, c, s in pixels.angles_table(steps))
+    return {(t, r, k) for (t, r), k in n.items() if k > least and k > n[t, r - 1] and k >= n[t, r + 1] and k > n[t - 1, r] and k >= n[t + 1, r]}
+
+
+def test_votes_are_written_nowhere(spark, monkeypatch):
+    rng = random.Random(5)
+    pages = {p: {(rng.randrange(60), rng.randrange(40)) for _ in range(150)} for p in range(4)} | {7: {(x * 100_000, x % 3) for x in range(40)}, 8: {(-5, 2)}}
+    df = spark.createDataFrame([(p, x, y) for p, pts in pages.items() for x, y in pts] + [(8, None, 1)], "page long, x long, y long")
+    want = {p: plain_lines(pts, 5, 90) for p, pts in pages.items()}
+    for at_once in (1, 1000, 1 << 20):
+        monkeypatch.setattr(pixels, "VOTES", at_once)
+        lines = pixels.strongest(df, 5, 90)
+        got = lines.collect()
+        assert {p: {(r.t, r.rho, r.n) for r in got if r.page == p} for p in pages} == want and len(got) == sum(map(len, want.values()))
+    plan = pixels.line_angle(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def smallest(points):
     """Over the directions of all pairs of points, those that leave all points on one side."""
     best = None
