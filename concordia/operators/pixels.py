@@ -1,8 +1,8 @@
 """What a page's pixels tell: threshold, local contrast, its inked rows, and by how much it is turned.
 
 Pages are tables of pixels (page, x, y, v), of inked points (page, x, y), or of rows of inked runs.  Histograms, votes and
-extreme points are aggregated by Spark, partially in the tasks that read them; only the few points of a page's outline, and
-the points that vote for its lines, go to a function in Python.
+extreme points are aggregated by Spark, partially in the tasks that read them; the few points of a page's outline, those
+that vote for its lines, and the pixels whose contrast is evened out go to a function, a page at a time.
 """
 
 from __future__ import annotations
@@ -40,50 +40,79 @@ def _tiles(size: int, tiles: int) -> int:
     return -(-size // tiles)
 
 
+#: Pixels of a page that are counted or blended at once.
+PIXELS = 1 << 18
+
+
+def _half_even(a: np.ndarray, b: int) -> np.ndarray:
+    """a / b of whole numbers to the nearest one, of two the even."""
+    n, rest = np.divmod(a, b)
+    return n + ((2 * rest > b) | ((2 * rest == b) & (n % 2 == 1)))
+
+
+def _evened(x: np.ndarray, y: np.ndarray, v: np.ndarray, size: tuple[int, int], clip: float, tiles: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (y * width + x) of one page's pixels and their values, evened out by contrast()."""
+    width, height = size
+    tw, th = _tiles(width, tiles), _tiles(height, tiles)
+    area = tw * th
+    parts = [slice(a, a + PIXELS) for a in range(0, len(x), PIXELS)]
+
+    def mirrored(c: np.ndarray, size: int, edge: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Which pixels have a place on the continued page, and where: their own, and that of the mirror image beyond the edge."""
+        other = 2 * (size - 1) - c
+        beyond = np.flatnonzero((other >= size) & (other < edge * tiles))
+        return [(np.arange(len(c)), c), (beyond, other[beyond])]
+
+    n = np.zeros(tiles * tiles * 256, np.int64)
+    for p in parts:
+        for own, wide in mirrored(x[p], width, tw):
+            for more, high in mirrored(y[p][own], height, th):
+                n += np.bincount((high // th * tiles + wide[more] // tw) * 256 + v[p][own][more], minlength=len(n))
+    n = n.reshape(-1, 256)
+    limit = max(int(clip * area / 256), 1)
+    over = np.maximum(n - limit, 0).sum(1, keepdims=True)
+    left, at = over % 256, np.arange(256)
+    step = np.maximum(256 // np.maximum(left, 1), 1)
+    n = np.minimum(n, limit) + over // 256 + ((at % step == 0) & (at // step < left))
+    table = np.minimum(_half_even(np.cumsum(n, 1) * 255, area), 255)
+
+    def around(c: np.ndarray, edge: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The two tiles beside a pixel's place, and the weight of each in parts of twice the edge."""
+        low, rest = np.divmod(2 * c - edge, 2 * edge)
+        return [(np.clip(low, 0, tiles - 1), 2 * edge - rest), (np.clip(low + 1, 0, tiles - 1), rest)]
+
+    blend, seen = np.zeros((2, width * height), np.int64)
+    for p in parts:
+        place, value = y[p] * width + x[p], v[p]
+        sums = sum(wx * wy * table[ty * tiles + tx, value] for tx, wx in around(x[p], tw) for ty, wy in around(y[p], th))
+        np.add.at(blend, place, sums)
+        seen[place] = 1
+    place = np.flatnonzero(seen)
+    return place, _half_even(blend[place], 4 * area)
+
+
 def contrast(pixels: DataFrame, width: int, height: int, clip: float = 2.5, tiles: int = 16) -> DataFrame:
     """page, x, y, v with the contrast of each tile evened out, its histogram being clipped, and tiles blended into one
     another.
 
     A tile's counts over the limit are dealt to all 256 values, what is left of them to values in even steps; a value's
     share of the counts up to it is its new value.  A pixel blends those of the four tiles whose centres lie around it.
-    Pages whose size tiles don't divide are continued by their mirror image.  Counts and blends are joins and sums over
-    all pages at once.
+    Pages whose size tiles don't divide are continued by their mirror image.  All is reckoned in whole numbers.
+
+    Pixels are dealt by page, and a page's go to one function: tiles' tables of 256 values meet no rows of pixels by
+    joins.  Pixels without a page, off the page or without a value of 0 to 255 have no part.
     """
-    tw, th = _tiles(width, tiles), _tiles(height, tiles)
-    area = tw * th
-    limit = max(int(clip * area / 256), 1)
+    import pyarrow as pa
+
+    kinds = {c: pixels.schema[c].dataType.simpleString() for c in ("page", "x", "y")}
+
+    def even(key, g):
+        place, v = _evened(*(g.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "v")), (width, height), clip, tiles)
+        of = lambda c, a: pa.array(a).cast(g.schema.field(c).type)
+        return pa.table({"page": pa.repeat(key[0], len(v)), "x": of("x", place % width), "y": of("y", place // width), "v": pa.array(v.astype(np.int32))})
 
-    def mirrored(c: str, size: int, edge: int) -> Column:
-        """A pixel's place, and that of its mirror image beyond the page."""
-        other = F.lit(2 * (size - 1)) - F.col(c)
-        return F.explode(F.array_compact(F.array(F.col(c), F.when((other >= size) & (other < edge * tiles), other))))
-
-    wide = pixels.select("page", "v", mirrored("x", width, tw).alias("x"), "y").select("page", "v", "x", mirrored("y", height, th).alias("y"))
-    tile = F.floor(F.col("y") / th).cast("int") * tiles + F.floor(F.col("x") / tw).cast("int")
-    n = wide.groupBy("page", tile.alias("tile"), "v").agg(F.count("*").alias("n"))
-    every = n.select("page", "tile").distinct().select("page", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("v"))
-    n = every.join(n.withColumn("v", F.col("v").cast("long")), ["page", "tile", "v"], "left").na.fill(0, ["n"])
-    over = F.sum(F.greatest(F.col("n") - limit, F.lit(0))).over(Window.partitionBy("page", "tile"))
-    n = n.withColumn("over", over).withColumn("left", F.col("over") % 256)
-    step = F.greatest(F.floor(F.lit(256) / F.when(F.col("left") > 0, F.col("left"))), F.lit(1))
-    more = F.when((F.col("left") > 0) & (F.col("v") % step == 0) & (F.floor(F.col("v") / step) < F.col("left")), 1).otherwise(0)
-    n = n.withColumn("n", F.least(F.col("n"), F.lit(limit)) + F.floor(F.col("over") / 256) + more)
-    share = F.sum("n").over(Window.partitionBy("page", "tile").orderBy("v"))
-    table = n.select("page", "tile", "v", F.least(F.bround(share * 255.0 / area), F.lit(255.0)).alias("to"))
-
-    def around(c: str, edge: int) -> Column:
-        """The two tiles beside a pixel's place, and the weight of each."""
-        at = F.col(c) / float(edge) - 0.5
-        low = F.floor(at)
-        last = F.lit(tiles - 1).cast("long")
-        pair = lambda t, w: F.struct(F.least(F.greatest(t, F.lit(0).cast("long")), last).alias("t"), w.alias("w"))
-        return F.explode(F.array(pair(low, low + 1 - at), pair(low + 1, at - low)))
-
-    p = pixels.select("page", "x", "y", F.col("v").cast("long").alias("v"))
-    p = p.withColumn("a", around("x", tw)).withColumn("b", around("y", th))
-    p = p.select("page", "x", "y", "v", (F.col("b.t") * tiles + F.col("a.t")).cast("int").alias("tile"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    blended = p.join(table, ["page", "tile", "v"]).groupBy("page", "x", "y").agg(F.sum(F.round(F.col("w") * F.col("to"), 10).cast("decimal(20,10)")).alias("s"))
-    return blended.select("page", "x", "y", F.bround(F.round("s", 6)).cast("int").alias("v"))
+    on = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1) & F.col("v").between(0, 255) & F.col("page").isNotNull()
+    return pixels.where(on).select("page", "x", "y", "v").groupBy("page").applyInArrow(even, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", v int")
 
 
 def opened(runs: Column, width: Column, share: float = 0.15) -> Column:

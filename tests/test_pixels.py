@@ -78,6 +78,18 @@ def test_contrast(spark):
         assert got == {(p, x, y): v for p, img in pages.items() for (x, y), v in plain_contrast(img, 2.5, tiles).items()}
 
 
+def test_contrast_meets_no_tables_by_joins(spark, monkeypatch):
+    rng = random.Random(6)
+    pages = {p: drawn(rng, 13, 10) for p in range(3)}
+    monkeypatch.setattr(pixels, "PIXELS", 17)
+    odd = spark.createDataFrame([(None, 1, 1, 9), (0, 13, 0, 9), (0, 0, 10, 9), (0, -1, 0, 9)], "page long, x int, y int, v int")
+    made = pixels.contrast(image(spark, pages).union(odd), 13, 10, tiles=4)
+    assert {(r.page, r.x, r.y): r.v for r in made.collect()} == {(p, x, y): v for p, img in pages.items() for (x, y), v in plain_contrast(img, 2.5, 4).items()}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert pixels.contrast(odd.where("page IS NULL"), 13, 10, tiles=4).count() == 0
+
+
 def plain_opened(row, k):
     """By the definition: a pixel stays if some place of the line that covers it holds ink alone; beyond the edges all is ink."""
     n, before = len(row), k // 2
