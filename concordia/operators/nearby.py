@@ -21,12 +21,16 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordia.functions import lanes
 from concordia.functions.similarity import ratio
 
 LONG = 48
 #: Scores from which segments tell more than lengths do.
 LEAST = 70.0
 
+#: Pairs of one batch that are looked at at once.
+PAIRS = 1 << 20
+
 register_pickle_by_value(sys.modules[__name__])  # plans travel with their functions, so that workers need no import of this package
 
 
@@ -95,3 +99,71 @@ def like_pairs(asked: DataFrame, known: DataFrame, keys: tuple[str, ...], least:
     met = left.join(right, [*keys, "__key"]).where(F.bit_count(F.col("__w").bitwiseXOR(F.col("__seen"))) <= edits)
     pairs = met.select(*keys, "w", "seen", "least").distinct()
     return pairs.withColumn("score", ratio(F.col("w"), F.col("seen"))).where(F.col("score") >= F.col("least")).drop("least")
+
+
+def _signs(strings: list[str]):
+    """Lengths, and 64 bits of which characters each string has; an insertion or deletion changes one of them at most."""
+    import numpy as np
+
+    c = lanes.Codes(strings)
+    bits = np.uint64(1) << (c.code.astype(np.uint64) * np.uint64(7) % np.uint64(64))
+    out = np.zeros(len(strings), np.uint64)
+    some = np.flatnonzero(c.size)
+    if len(some):
+        out[some] = np.bitwise_or.reduceat(bits, c.start[some])
+    return c.size, out
+
+
+def _likes(asked, seen, least: float):
+    """Of each row's array of asked strings those that one of the row's seen strings is like; both are Arrow arrays of lists."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    row, words = pc.list_parent_indices(asked).to_numpy(zero_copy_only=False), pc.list_flatten(asked).to_pylist()
+    n_seen = pc.fill_null(pc.list_value_length(seen), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, flat = np.cumsum(n_seen) - n_seen, pc.list_flatten(seen)
+    long_seen = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    long_words, sign = _signs([w or "" for w in words])
+    held = np.zeros(len(words), bool)
+    sizes = n_seen[row]
+    upto = np.cumsum(sizes)
+    a = 0
+    while a < len(words):  # as many asked strings as meet a bounded number of pairs, one at least
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] - sizes[a] + PAIRS, "right")))
+        w = np.repeat(np.arange(a, z), sizes[a:z])
+        s = np.arange(len(w)) - np.repeat(upto[a:z] - sizes[a:z] - (upto[a] - sizes[a]), sizes[a:z]) + np.repeat(first[row[a:z]], sizes[a:z])
+        la, lb = long_words[w], long_seen[s]
+        near = (la > 0) & (lb > 0) & (200.0 * np.minimum(la, lb) / np.maximum(la + lb, 1) >= least)  # what the score can be at most
+        w, s = w[near], s[near]
+        own, at = np.unique(s, return_inverse=True)
+        texts = flat.take(pa.array(own)).to_pylist()
+        size, signs = _signs(texts)
+        edits = np.floor((long_words[w] + size[at]) * (100 - least) / 100 + 1e-9)
+        met = np.flatnonzero(np.bitwise_count(sign[w] ^ signs[at]) <= edits)
+        score = lanes.ratios([words[i] for i in w[met].tolist()], [texts[i] for i in at[met].tolist()])
+        held[w[met[score >= least]]] = True
+        a = z
+    hits = np.bincount(row[held], minlength=len(asked))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hits)), pa.int32()), pa.array([words[i] for i in np.flatnonzero(held).tolist()], pa.string()))
+
+
+@functools.cache
+def _likes_of(least: float):
+    import pyarrow as pa
+
+    def run(asked: pa.Array, seen: pa.Array) -> pa.Array:
+        return _likes(asked, seen, least)
+
+    run.__annotations__ = {"asked": pa.Array, "seen": pa.Array, "return": pa.Array}  # as types, which the UDF's kind is told from
+    # So that Spark keeps it in a step of its own, and puts it in no function over arrays that uses its outcome.
+    return F.arrow_udf(run, "array<string>").asNondeterministic()
+
+
+def own_likes(asked: Column, seen: Column, least: float) -> Column:
+    """Of an array of strings those that score at least so much with one of another array of the same row.
+
+    A row's strings meet each other where they lie, so the work grows with the rows and nothing is shuffled; pairs whose
+    lengths or characters are too far apart aren't scored.  Rows that ask nothing send nothing.
+    """
+    return F.when(F.size(asked) > 0, _likes_of(float(least))(asked, F.when(F.size(asked) > 0, seen))).otherwise(F.array().cast("array<string>"))

@@ -63,30 +63,12 @@ def longest_word(value: Column) -> Column:
 LEAST = {"word": 82.0, "number": 85.0}
 
 
-def like_support(asked: DataFrame, postings: DataFrame) -> DataFrame:
-    """record_id, kind, token of the asked ones that the record's postings (record_id, kind, seen) hold, up to the
-    kind's similarity.
-
-    Each distinct token is compared with the distinct ones of all transcripts that share a segment with it, once; the hits
-    are then joined to the postings.  No record's tokens meet each other before.
-    """
-    least = F.when(F.col("kind") == "word", LEAST["word"]).otherwise(LEAST["number"])
-    words = asked.select("kind", F.col("token").alias("w")).distinct()
-    hits = nearby.like_pairs(words, postings.select("kind", "seen").distinct(), ("kind",), least).select("kind", F.col("w").alias("token"), "seen")
-    return asked.join(hits, ["kind", "token"]).join(postings, ["record_id", "kind", "seen"], "left_semi").select("record_id", "kind", "token").distinct()
-
-
 def word_support(asked: DataFrame, index: DataFrame) -> DataFrame:
     """record_id, word of the asked words that the record's transcript holds, up to their similarity."""
-    postings = index.select("record_id", F.lit("word").alias("kind"), F.explode("words").alias("seen"))
-    found = like_support(asked.select("record_id", F.lit("word").alias("kind"), F.col("word").alias("token")).distinct(), postings)
-    return found.select("record_id", F.col("token").alias("word"))
-
-
-def postings_of(index: DataFrame) -> DataFrame:
-    """record_id, kind, seen: a transcript's words, and its digit runs that are long enough for a likeness to count."""
-    of = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("seen")))
-    return index.select("record_id", F.explode(F.concat(of(F.col("words"), "word"), of(F.col("runs"), "number"))).alias("p")).select("record_id", "p.*")
+    words = asked.where("word <> ''").groupBy("record_id").agg(F.collect_set("word").alias("__asked"))
+    met = words.join(index.select("record_id", "words"), "record_id")
+    found = met.select("record_id", nearby.own_likes(F.col("__asked"), F.col("words"), LEAST["word"]).alias("__found"))
+    return found.select("record_id", F.explode("__found").alias("word")).distinct()
 
 
 def evidence_for(label: Column, value: Column, words: Column, runs: Column, all_digits: Column) -> Column:
@@ -138,25 +120,27 @@ def verify(cells: DataFrame, index: DataFrame, spec: DataFrame | None = None, st
     """
     if spec is not None:
         cells = cells.join(F.broadcast(spec.select("label")), "label", "left_semi")
-    out = verify_records(gathered(cells).join(index, "record_id", "left"), index, strict)
+    out = verify_records(gathered(cells).join(index, "record_id", "left"), strict)
     return before_birth(spread(out).select(*cells.columns, "dropped"))
 
 
-def verify_records(records: DataFrame, index: DataFrame, strict: bool = False) -> DataFrame:
+def verify_records(records: DataFrame, strict: bool = False) -> DataFrame:
     """records (record_id, cells, words, runs, all_digits) with judged cells; what the transcript doesn't hold as it is
-    goes to like_support() by distinct tokens.  index has the transcripts (transcript_index)."""
+    is compared with its own words or digit runs, distinct tokens once."""
     none = F.array().cast("array<string>")
     r = records.withColumns({"words": F.coalesce("words", none), "runs": F.coalesce("runs", none), "all_digits": F.coalesce("all_digits", F.lit(""))})
     seen = lambda c: evidence_for(c["label"], c["value"], F.col("words"), F.col("runs"), F.col("all_digits"))
     found_of = lambda c: F.struct(c["label"].alias("label"), seen(c).alias("e"))
     r = r.withColumn("__e", F.transform(F.filter("cells", lambda c: c["value"] != ""), found_of))
-    asked = r.select("record_id", F.explode(F.filter("__e", lambda x: x["e"]["kind"].isNotNull())).alias("x")).select("record_id", "x.e.kind", "x.e.token").distinct()
-    found = like_support(asked, postings_of(index)).groupBy("record_id").agg(F.collect_set(F.concat("kind", F.lit(" "), "token")).alias("__found"))
-    r = r.join(found, "record_id", "left").withColumn("__found", F.coalesce("__found", none))
-    held = lambda e: e["ok"] | F.coalesce(F.array_contains(F.col("__found"), F.concat(e["kind"], F.lit(" "), e["token"])), F.lit(False))
+    asked = lambda kind: F.array_distinct(F.transform(F.filter("__e", lambda x: x["e"]["kind"] == kind), lambda x: x["e"]["token"]))
+    r = r.withColumns({f"__{kind}": asked(kind) for kind in LEAST})
+    r = r.withColumns({f"__like_{kind}": nearby.own_likes(F.col(f"__{kind}"), F.col(own), LEAST[kind]) for kind, own in (("word", "words"), ("number", "runs"))})
+    among = lambda e, kind: F.coalesce((e["kind"] == kind) & F.array_contains(F.col(f"__like_{kind}"), e["token"]), F.lit(False))
+    held = lambda e: e["ok"] | among(e, "word") | among(e, "number")
     own = lambda c: F.get(F.filter("__e", lambda x: x["label"] == c["label"]), F.lit(0))["e"]
     judge = lambda c: let(let(own(c), held), lambda ok: judged(c, ok, strict))
-    return changed(r, ("value", "confidence", "flags", "dropped"), lambda c: c["value"] != "", judge).drop("__e", "__found")
+    made = changed(r, ("value", "confidence", "flags", "dropped"), lambda c: c["value"] != "", judge)
+    return made.drop("__e", *(f"__{p}{kind}" for kind in LEAST for p in ("", "like_")))
 
 
 LATER = ("Discharge Year", "Death Year", "Classe Year")

@@ -86,11 +86,11 @@ def _looked_up(rows: DataFrame, vocab: DataFrame, dictionary: DataFrame | None,
 
 
 def post_records(
-    silver: DataFrame, index: DataFrame, settings: Settings = Settings(), dictionary: DataFrame | None = None, third: DataFrame | None = None,
+    silver: DataFrame, settings: Settings = Settings(), dictionary: DataFrame | None = None, third: DataFrame | None = None,
     speller: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Gold records from silver ones that carry their transcript's INDEX: corrected, typed, verified, and confirmed by a
-    third reader.  index: the transcripts', whose tokens are compared with those of values."""
+    third reader."""
     spark = silver.sparkSession
     vocab = fields.vocabulary(spark)
 
@@ -104,7 +104,7 @@ def post_records(
 
     last = lambda c: let(correct.last_rules(c["label"], c["value"]), lambda m: F.struct(m["value"], F.concat(c["diffs"], m["diffs"]).alias("diffs")))
     rows = changed(rows, ("value", "diffs"), lambda c: (c["value"] != "") & (c["label"] == "Regiment"), last)
-    rows = verify.verify_records(typed(rows, True), index, settings.strict)
+    rows = verify.verify_records(typed(rows, True), settings.strict)
     birth = F.get(F.filter("cells", lambda c: c["label"] == "Birth Year"), F.lit(0))["value"]
     rows = rows.withColumn("__birth", verify.four_digits(birth))
 
@@ -131,7 +131,7 @@ def post_phase(
     """Gold cells, always from silver ones: corrected, typed, verified, and confirmed by a third reader."""
     index = index_of(transcripts)
     rows = staged(reconcile.gathered(silver).join(index, "record_id", "left"), "silver")
-    return reconcile.spread(post_records(rows, index, settings, dictionary, third, speller))
+    return reconcile.spread(post_records(rows, settings, dictionary, third, speller))
 
 
 def run(
@@ -140,7 +140,7 @@ def run(
 ) -> DataFrame:
     """Gold cells of both phases in one: silver records are written once, with their transcripts' index."""
     silver = staged(read_records(text, vision, settings, index_of(transcripts)), "silver")
-    gold = post_records(silver, silver.select("record_id", *INDEX), settings, dictionary, third, speller)
+    gold = post_records(silver, settings, dictionary, third, speller)
     return reconcile.spread(reconcile.filled(gold, fields.LABELS, _source(vision, settings)))
 
 
