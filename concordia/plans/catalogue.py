@@ -17,7 +17,7 @@ from concordia.functions import normalise, similarity, text
 from concordia.operators import bands, correct, export, fields, parse, pixels, reconcile, select, verify, vocabulary
 from concordia.plans import engine
 from concordia.sources import store, versions
-from concordia.sources.stage import shared_folder
+from concordia.sources.stage import dealt, shared_folder
 from concordia.streaming import status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -842,12 +842,22 @@ PIXELS = f"SELECT s_suppkey AS page, CAST(x AS INT) AS x, CAST(y AS INT) AS y, C
 PIXELS_SQL = f"px AS (SELECT s_suppkey AS page, x, y, {PIXEL} AS v FROM supplier, range(32) a(x), range(32) b(y))"
 
 
+#: Pages of a task; a page has about a thousand pixels, and all steps on pages find them dealt.
+PAGES_A_TASK = 500
+
+
+def _drawn(spark, sf_dir, sql: str) -> DataFrame:
+    """The pixels or points of pages, which are made of the suppliers' rows: dealt first, as their file is small for what
+    it becomes, and one task would read it whole."""
+    return spark.sql(sql, supplier=dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", PAGES_A_TASK))
+
+
 @query(f"""WITH {PIXELS_SQL}, h AS (SELECT page, v, count(*) AS n FROM px GROUP BY page, v),
 c AS (SELECT page, v, CAST(sum(n) OVER u AS DOUBLE) AS n0, CAST(sum(n * v) OVER u AS DOUBLE) AS s0, CAST(sum(n) OVER w AS DOUBLE) AS n, CAST(sum(n * v) OVER w AS DOUBLE) AS s FROM h WINDOW u AS (PARTITION BY page ORDER BY v), w AS (PARTITION BY page)),
 b AS (SELECT page, v, CASE WHEN n > n0 THEN (n0 / n) * ((n - n0) / n) * (s0 / n0 - (s - s0) / (n - n0)) * (s0 / n0 - (s - s0) / (n - n0)) ELSE 0 END AS apart FROM c)
 SELECT page, CAST(arg_max(v, struct_pack(a := apart, o := -v)) AS INT) AS threshold FROM b GROUP BY page""")
 def page_threshold(spark, sf_dir):
-    return pixels.threshold(derived(spark, sf_dir, PIXELS))
+    return pixels.threshold(_drawn(spark, sf_dir, PIXELS))
 
 
 @query(f"""WITH {PIXELS_SQL}, h AS (SELECT page, (y // 8) * 4 + x // 8 AS tile, v, count(*) AS n FROM px GROUP BY ALL), e AS (SELECT DISTINCT page, tile FROM h),
@@ -861,7 +871,7 @@ q AS (SELECT page, x, y, v, CAST(least(greatest(floor(ax) + i, 0), 3) AS BIGINT)
 CASE j WHEN 0 THEN floor(ay) + 1 - ay ELSE ay - floor(ay) END AS wy FROM p, range(2) a(i), range(2) b(j))
 SELECT q.page, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(round_even(round(CAST(sum(CAST(round(wx * wy * made, 10) AS DECIMAL(20, 10))) AS DOUBLE), 6), 0) AS INT) AS v FROM q JOIN t ON t.page = q.page AND t.tile = q.ty * 4 + q.tx AND t.v = q.v GROUP BY q.page, x, y""")
 def page_contrast(spark, sf_dir):
-    return pixels.contrast(derived(spark, sf_dir, PIXELS), 32, 32, tiles=4)
+    return pixels.contrast(_drawn(spark, sf_dir, PIXELS), 32, 32, tiles=4)
 
 
 POINT_X = "(i * 37 + s_suppkey) % 400"
@@ -878,13 +888,13 @@ WHERE n.n > 15 AND n.n > coalesce(b.n, 0) AND n.n >= coalesce(f.n, 0) AND n.n >
 k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, t, rho) AS k, t * CAST(0.5 AS DOUBLE) - 90 AS deg FROM l) SELECT page, quantile_cont(deg, 0.5) AS angle FROM k WHERE k <= 500 AND abs(deg) <= 45 GROUP BY page""")
 def line_angles(spark, sf_dir):
     """By how much the lines of a page's points are turned."""
-    return pixels.line_angle(derived(spark, sf_dir, POINTS), least=15)
+    return pixels.line_angle(_drawn(spark, sf_dir, POINTS), least=15)
 
 
 @query(None)
 def page_rectangle(spark, sf_dir):
     """By how much the smallest rectangle around a page's points is turned; tested against all rectangles by hand."""
-    return pixels.rectangle_angle(derived(spark, sf_dir, POINTS)).select("page", F.round("angle", 6).alias("angle"))
+    return pixels.rectangle_angle(_drawn(spark, sf_dir, POINTS)).select("page", F.round("angle", 6).alias("angle"))
 
 
 RUN_1 = "CASE WHEN (y + o_orderkey) % 40 < 2 THEN 120 WHEN (y * 7 + o_orderkey) % 17 = 0 THEN 70 ELSE 20 + o_orderkey % 25 END"

@@ -173,3 +173,15 @@ def test_rectangles(spark):
     for p in range(8):
         assert abs(abs(got[p]) - smallest(pages[p])[1]) < 1e-5
     assert pixels.rectangle_angle(df, least=10_000).count() == 0
+
+
+def test_pages_are_dealt_before_they_grow(spark, tmp_path, monkeypatch):
+    from concordia.plans import catalogue
+
+    spark.range(1, 101).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(catalogue, "PAGES_A_TASK", 10)
+    for f in (catalogue.page_threshold, catalogue.page_rectangle):
+        made = f(spark, str(tmp_path))
+        assert made.rdd.getNumPartitions() == 10 and made.count() == 100
+        plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1
