@@ -25,15 +25,37 @@ def reconcile(vision: DataFrame, text: DataFrame, labels: tuple[str, ...] | None
     v = vision.select("record_id", "label", F.col("value").alias("v"), F.col("confidence").alias("vc"), "evidence")
     t = text.select("record_id", "label", strip(F.col("value")).alias("t"))
     on = ["record_id", "label"]
-    if labels is None:
-        met = v.join(t, on, "full_outer")
-    else:
-        met = spine(v.select("record_id").union(t.select("record_id")), labels).join(v, on, "left").join(t, on, "left")
+    met = v.join(t, on, "full_outer") if labels is None else _of_records(v, t, labels)
     both = met.select(*on, *(F.coalesce(c, F.lit("")).alias(c) for c in ("v", "vc", "evidence", "t")))
     made = merged(F.col("v"), F.col("vc"), F.col("t"))
     return both.select(*on, *(made[c].alias(c) if c in CONSENSUS else F.col(c) for c in ("value", "confidence", "evidence", "source", "alt")), F.array().cast("array<string>").alias("flags"))
 
 
+def _of_records(v: DataFrame, t: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """record_id, label, v, vc, evidence and t of every record's fields, each repeated cell of one reader with each of the
+    other.  Only readers' cells are dealt, by record; a record's fields are made of them where they meet."""
+    text = F.lit(None).cast("string")
+    both = v.select("record_id", F.struct("label", "v", "vc", "evidence").alias("c"), text.alias("label"), text.alias("t"))
+    both = both.unionByName(t.select("record_id", F.lit(None).cast(both.schema["c"].dataType).alias("c"), "label", "t"))
+    some = F.struct("label", "t")
+    held = both.groupBy("record_id").agg(F.collect_list("c").alias("vs"), F.collect_list(F.when(F.col("c").isNull(), some)).alias("ts"))
+    none = lambda a, kind: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(None).cast(kind)))
+    own = lambda cells, label: F.filter(cells, lambda c: c["label"] == label)
+    v_kind, t_kind = (held.schema[c].dataType.elementType for c in ("vs", "ts"))
+
+    def field(label: Column) -> Column:
+        pair = lambda x, y: F.struct(label.alias("label"), x["v"].alias("v"), x["vc"].alias("vc"), x["evidence"].alias("evidence"), y["t"].alias("t"))
+        met = lambda vs, ts: F.flatten(F.transform(vs, lambda x: F.transform(ts, lambda y: pair(x, y))))
+        return let(none(own("vs", label), v_kind), lambda vs: let(none(own("ts", label), t_kind), lambda ts: met(vs, ts)))
+
+    every = F.expr("array(" + ", ".join(f"'{n}'" for n in labels) + ")")  # a literal
+    blank = lambda label: F.struct(label.alias("label"), *(text.alias(c) for c in ("v", "vc", "evidence", "t")))
+    had = F.concat(*(F.transform(c, lambda x: x["label"]) for c in ("vs", "ts")))
+    made = lambda h: F.concat(F.flatten(F.transform(F.array_intersect(every, h), field)), F.transform(F.array_except(every, h), blank))
+    cells = let(had, made)
+    return held.select("record_id", F.explode(cells).alias("x")).select("record_id", "x.*")
+
+
 CONSENSUS = ("value", "confidence", "source", "alt")
 
 
