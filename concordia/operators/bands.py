@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.functions.text import let
+from concordia.sources.stage import dealt
 
 PITCH = 790.0
+#: Positions that a task sorts, whatever the input.
+POSITIONS_A_TASK = 500_000
 
 
 def cluster(positions: DataFrame, key: str = "page", pos: str = "y", gap: int = 35) -> DataFrame:
-    """key, pos: the mean, cut to an integer, of each run of distinct sorted positions whose gaps are at most gap."""
+    """key, pos: the mean, cut to an integer, of each run of distinct sorted positions whose gaps are at most gap.
+
+    Positions are dealt by key once, to as many tasks as their number asks for.
+    """
+    positions = dealt(positions.select(key, pos), key, POSITIONS_A_TASK)
     w = Window.partitionBy(key).orderBy(pos)
     fresh = F.coalesce((F.col(pos) - F.lag(pos).over(w) > gap).cast("int"), F.lit(0))
     run = F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
