@@ -6,7 +6,7 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +133,38 @@ def arrow_batches(rows: Iterator[dict], schema) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(what: str, drop: Callable[[], None]) -> None:
+    """Tells that this worker keeps a cache of that name for its next tasks, and how to drop it."""
+    _HELD[what] = drop
+
+
+def release(*kept: str) -> None:
+    """Drops the caches that tasks of other operators left in this worker, but for those kept, and gives their memory back.
+
+    A worker outlives its tasks and stands beside its executor's heap, so a task that begins calls this first.
+    """
+    others = [what for what in _HELD if what not in kept]
+    for what in others:
+        _HELD.pop(what)()
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system; it stays with the process otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    given = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if given is not None:
+        given(0)
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file's place; files are read where the package of public tokenizers has them."""
     import public_tokenizers

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import files_for, forget, free_name, table, whole_text, written
+from concordia.llm.common import files_for, forget, free_name, holds, release, table, whole_text, written
 
 PLACES = 128
 #: Candidates have at least this share of equal minwise tokens less than the threshold, in standard deviations.
@@ -49,6 +49,8 @@ class _WordHashes(dict):
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
+            if not self:
+                holds("words", self.clear)
             if len(self) >= 200_000:
                 self.clear()
             self[word] = h
@@ -274,6 +276,7 @@ class NearDuplicates:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
+            release("words")
             for whole in batches:
                 for at in range(0, len(whole), 500):
                     b = whole.slice(at, 500)
@@ -286,7 +289,6 @@ class NearDuplicates:
                         [b.column("doc_id"), b.column("key"), b.column("n_bytes"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.binary())],
                         ["doc_id", "key", "n_bytes", "n_shingles", "cid", "sig"],
                     )
-            _WORDS.clear()  # the worker goes on to other operators, which have caches of their own
 
         return self._keyed().mapInArrow(run, "doc_id long, key binary, n_bytes long, n_shingles long, cid binary, sig binary")
 
@@ -297,6 +299,7 @@ class NearDuplicates:
         share = 1 / self.threshold - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for whole in batches:
                 for at in range(0, len(whole), 2000):
                     b = whole.slice(at, 2000)
@@ -323,6 +326,7 @@ class NearDuplicates:
         share = 1 / self.threshold - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for whole in batches:
                 for at in range(0, len(whole), 2000):
                     sig = _fixed(whole.slice(at, 2000).column("sig"), np.uint16, PLACES)
@@ -365,6 +369,7 @@ class NearDuplicates:
                 x, y = zip(*pairs) if pairs else ((), ())
                 return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["a", "b"])
 
+            release()
             node, cid, sig = np.zeros(0, np.int64), [], np.zeros((0, PLACES // 2), np.uint8)
             for b in batches:
                 node = np.concatenate([node, b.column("node").to_numpy()])
@@ -391,6 +396,7 @@ class NearDuplicates:
         some = written(some.select("node", F.transform("leaders", lambda x: x["cid"]).alias("lead"), F.transform("leaders", lambda x: x["sig"]).alias("lead_sig")), "dedup-leaders", n // self.limit + 1, spread=True)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for b in batches:
                 sig = small_signature(_fixed(b.column("sig"), np.uint16, PLACES))
                 cid, lead = b.column("cid").to_pylist(), b.column("lead").to_pylist()
@@ -488,12 +494,12 @@ class NearDuplicates:
         wanted = classes.join(members, "cid", "left_semi").select("key", "cid")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release("words")
             for whole in batches:
                 for at in range(0, len(whole), 200):
                     b = whole.slice(at, 200)
                     sets = [shingles(t, words).view(np.int64) for t in b.column("text").to_pylist()]
                     yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(sets, pa.list_(pa.int64()))], ["cid", "items"])
-            _WORDS.clear()
 
         texts = self._keyed().select("key", "text").join(wanted, "key").dropDuplicates(["cid"])
         items = texts.select("cid", "text").mapInArrow(run, "cid binary, items array<bigint>")

@@ -16,7 +16,7 @@ from itertools import compress
 
 import numpy as np
 
-from concordia.llm.common import single_threaded
+from concordia.llm.common import holds, release, single_threaded
 
 #: Blanks that start a chunk: those after a character that isn't white space.
 CUT = re.compile(r"(?<!\s) ")
@@ -246,6 +246,8 @@ _ENCODERS: dict[str, Encoder] = {}
 def ids_of(path: str, texts: list[str]) -> Iterator[bytes]:
     """Each whole text's ids as little-endian unsigned 32-bit integers, through this worker's cache."""
     if path not in _ENCODERS:
+        release("encoders")
         _ENCODERS[path] = Encoder(path)
+        holds("encoders", _ENCODERS.clear)
     for a, b in slices(texts):
         yield from _ENCODERS[path].ids(texts[a:b])

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm.common import crc_mod, free_name, table, whole_text, written
+from concordia.llm.common import crc_mod, free_name, release, table, trim, whole_text, written
 from concordia.llm.pretokens import slices
 
 BITS = 18
@@ -88,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, features: in
     sample = written(sample, "toxicity-sample", max_rows, 2_500)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         df, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for b in batches:
             texts, y = b.column("text").to_pylist(), b.column("__toxic").to_numpy().astype(np.int64)
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
     rows = docs.select(*(F.col(f"`{c}`") for c in own), whole_text(docs).alias(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         weights, bias = shared.value
         model = Classifier(weights, bias)
         for b in batches:
@@ -187,7 +189,9 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fitted on the labels of the rows that aren't held out."""
-    return fit(docs, labels.where(crc_mod(labels["doc_id"], 5) != 0).select("doc_id", "toxic"))
+    model = fit(docs, labels.where(crc_mod(labels["doc_id"], 5) != 0).select("doc_id", "toxic"))
+    trim()  # the driver goes on beside its heap
+    return model
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

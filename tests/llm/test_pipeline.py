@@ -50,3 +50,32 @@ def test_odd_rows(spark):
             if name == "near_duplicates":
                 assert rows.where("text IS NULL OR trim(text) = ''").count() == before.where("text IS NULL OR trim(text) = ''").count()
                 assert rows.where("text = 'the cat sat on the mat'").count() == (0 if empty else 1)
+
+
+def test_workers_give_caches_back(spark):
+    """What packing keeps in a worker for its own tasks is dropped where another operator's task begins there."""
+    import pyarrow as pa
+
+    from concordia.llm import near_dup, packing, toxicity
+    from concordia.llm.common import tokenizer_path
+
+    def held(batches):
+        import time
+
+        from concordia.llm import near_dup, pretokens
+
+        for b in batches:
+            time.sleep(0.05)
+            yield pa.RecordBatch.from_arrays([pa.array([len(pretokens._ENCODERS)]), pa.array([len(near_dup._WORDS)])], ["encoders", "words"])
+
+    def seen():
+        return spark.range(0, 64, 1, 32).mapInArrow(held, "encoders long, words long").collect()
+
+    docs = small(spark).repartition(32)
+    packing.pieces_of(docs, tokenizer_path("byte_bpe_50k.json")).count()
+    assert sum(r.encoders for r in seen()) > 0
+    near_dup.NearDuplicates(docs).documents().count()
+    after = seen()
+    assert sum(r.encoders for r in after) == 0 and sum(r.words for r in after) > 0
+    toxicity.score(docs, toxicity.Classifier(toxicity.np.zeros(1 << toxicity.BITS), 0.0)).count()
+    assert sum(r.encoders + r.words for r in seen()) == 0
