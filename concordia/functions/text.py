@@ -7,9 +7,11 @@ import sys
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordia.functions.loops import cut_loops
+
 #: White space as the strip of a reader's value takes it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
@@ -128,28 +130,48 @@ def collapse_lines(c: Column) -> Column:
     """
     lines = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
     # A last line end opens no line.
-    lines = F.when((F.size(lines) > 0) & (F.element_at(lines, -1) == ""), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    both = F.transform(lines, lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
-    pairs = F.arrays_zip(both.alias("now"), F.concat(F.array(F.lit(None).cast("struct<line:string,key:string>")), both).alias("before"))
-    kept = F.filter(
-        pairs,
-        lambda x: x["now"].isNotNull()
-        & ~F.coalesce((x["now"]["key"] != "") & (x["now"]["key"] == x["before"]["key"]), F.lit(False))
-        & ~(x["now"]["key"].rlike(FILLER) & F.contains(x["now"]["key"], F.lit("[?]")) & F.coalesce(F.contains(x["before"]["key"], F.lit("[?]")), F.lit(False))),
-    )
-    return F.transform(kept, lambda x: x["now"]["line"])
+    ended = let(lines, lambda x: F.when((F.size(x) > 0) & (F.element_at(x, -1) == ""), F.slice(x, 1, F.size(x) - 1)).otherwise(x))
+    keyed = F.transform(ended, lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+
+    def kept(x: Column, before: Column) -> Column:
+        gap = lambda y: F.coalesce(F.contains(y["key"], F.lit("[?]")), F.lit(False))
+        return ~F.coalesce((x["key"] != "") & (x["key"] == before["key"]), F.lit(False)) & ~(gap(x) & gap(before) & x["key"].rlike(FILLER))
+
+    return F.transform(let(keyed, lambda both: F.filter(both, lambda x, i: kept(x, F.get(both, i - 1)))), lambda x: x["line"])
+
+
+#: A phrase that loops, and what becomes of it.
+LOOP = (r"(?U)(\b[^\n]{2,40}?\b)(?:[\s,;·]*\1){3,}+", "$1 $1 …")
 
 
 def cut_phrase_loops(c: Column) -> Column:
     """A short phrase that stands four times or more in a row is kept twice."""
-    return F.regexp_replace(c, r"(?U)(\b[^\n]{2,40}?\b)(?:[\s,;·]*\1){3,}+", "$1 $1 …")
+    return F.regexp_replace(c, *LOOP)
 
 
-def clean_transcript(c: Column) -> Column:
-    """A reader's transcript without sentinels, code fences and runaway repetition; the patterns are fixed values."""
+def phrase_loops_cut(rows: DataFrame, name: str) -> DataFrame:
+    """rows with cut_phrase_loops() of a column; only what lies around a loop is given to the pattern."""
+    return cut_loops(rows, name, *LOOP)
+
+
+def _before_loops(c: Column) -> Column:
     t = F.regexp_replace(c, "</?start_of_image>|</?end_of_image>", "")
     t = F.regexp_replace(t, "(?md)^```.*?$", "")
     t = F.array_join(collapse_lines(t), "\n")
     t = F.regexp_replace(t, r"(?iU)(?:\[\?\]\s*(?:le|la|au|à|du|de|et)?\s*){3,}+", "[?] … ")
-    t = F.regexp_replace(t, r"(?U)(?:\[\?\]\s*){3,}+", "[?] … ")
-    return strip(F.regexp_replace(cut_phrase_loops(t), "\n{3,}", "\n\n"))
+    return F.regexp_replace(t, r"(?U)(?:\[\?\]\s*){3,}+", "[?] … ")
+
+
+def _after_loops(c: Column) -> Column:
+    return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
+
+
+def clean_transcript(c: Column) -> Column:
+    """A reader's transcript without sentinels, code fences and runaway repetition; the patterns are fixed values."""
+    return _after_loops(cut_phrase_loops(_before_loops(c)))
+
+
+def transcripts_cleaned(rows: DataFrame, name: str) -> DataFrame:
+    """rows with clean_transcript() of a column, for whole tables."""
+    cut = phrase_loops_cut(rows.withColumn(name, _before_loops(F.col(name))), name)
+    return cut.withColumn(name, _after_loops(F.col(name)))

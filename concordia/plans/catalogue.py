@@ -112,13 +112,13 @@ WHEN 2 THEN concat(chr(10), '```json', chr(10), chr(10), chr(10), 'Une ligne', c
 @query(None)
 def phrase_loop_cut(spark, sf_dir):
     """Phrases that loop; SQL engines without back references can't say it, so a test holds it against a plain version."""
-    return derived(spark, sf_dir, LOOPED).select("doc_id", F.md5(text.cut_phrase_loops(F.col("text")).cast("binary")).alias("cut"))
+    return text.phrase_loops_cut(derived(spark, sf_dir, LOOPED), "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("cut"))
 
 
 @query(None)
 def transcript_clean(spark, sf_dir):
     """The whole chain of transcript cleaning; tested like phrase_loop_cut."""
-    return derived(spark, sf_dir, LOOPED).select("doc_id", F.md5(text.clean_transcript(F.col("text")).cast("binary")).alias("cleaned"))
+    return text.transcripts_cleaned(derived(spark, sf_dir, LOOPED), "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("cleaned"))
 
 
 MESSY = """SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN concat(' - ', role, ',;') WHEN 1 THEN concat(role, ' [?]') WHEN 2 THEN '[?] ...' WHEN 3 THEN ' Inconnu '
