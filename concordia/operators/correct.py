@@ -24,6 +24,8 @@ NOTES = {"height": "format:height", "day": "format:day", "ordinal": "format:ordi
 #: The fields that first_rules() may change.
 RULED = ("Height", *DAYS, *AFFIXES, "Enlistment Departement")
 FAILED = "llm-correction-failed: "  # fixed value
+#: Answers that each executor can hold.
+FEW = 100_000
 #: The answers to distinct values: what kind of list was asked, which, for what value, and what it becomes.
 ANSWERS = ("kind", "key", "v", "to", "note")
 
@@ -127,8 +129,10 @@ def correct(
         c = c.withColumn("confidence", F.lit(""))
     c = c.withColumn("__q", question(F.col("label"), F.col("value"), F.col("confidence"), dictionary is not None, gated))
     questions = staged(c.where("__q IS NOT NULL").select("__q.kind", "__q.key", "__q.v").distinct(), "questions")
-    found = answers(questions, vocab, dictionary)
-    found = found.select(*(F.col(x).alias(f"__{x}") for x in ANSWERS))
+    found = staged(answers(questions, vocab, dictionary).select(*(F.col(x).alias(f"__{x}") for x in ANSWERS)), "answers")
+    # Cells ask few distinct values, most of them very often; where the answers are few, they go to the cells, which stay.
+    if found.count() <= FEW:
+        found = F.broadcast(found)
     # Cells without a question meet no answer; their record spreads them over the join's tasks.
     c = c.withColumn("__kind", F.coalesce("__q.kind", F.lit(""))).withColumn("__key", F.coalesce("__q.key", F.lit(""))).withColumn("__v", F.coalesce("__q.v", F.col("record_id").cast("string")))
     c = c.join(found, ["__kind", "__key", "__v"], "left")
