@@ -49,8 +49,8 @@ def first_rules(label: Column, value: Column) -> Column:
 
 def last_rules(label: Column, value: Column) -> Column:
     """struct(value, diffs) after the regiment's format, which comes last as lists and spelling may undo it."""
-    new = F.when((label == "Regiment") & (value != ""), regiment(value)).otherwise(value)
-    return let(F.struct(value.alias("was"), new.alias("value")), lambda x: F.struct(x["value"], diff(x["was"], x["value"], NOTES["regiment"]).alias("diffs")))
+    made = let(F.struct(value.alias("was"), regiment(value).alias("value")), lambda x: F.struct(x["value"], diff(x["was"], x["value"], NOTES["regiment"]).alias("diffs")))
+    return F.when((label == "Regiment") & (value != ""), made).otherwise(F.struct(value.alias("value"), F.array().cast(DIFFS).alias("diffs")))
 
 
 def question(label: Column, value: Column, confidence: Column, dictionaries: bool, gated: bool = True) -> Column:

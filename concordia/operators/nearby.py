@@ -164,6 +164,9 @@ def own_likes(asked: Column, seen: Column, least: float) -> Column:
     """Of an array of strings those that score at least so much with one of another array of the same row.
 
     A row's strings meet each other where they lie, so the work grows with the rows and nothing is shuffled; pairs whose
-    lengths or characters are too far apart aren't scored.  Rows that ask nothing send nothing.
+    lengths or characters are too far apart aren't scored.  Rows that ask nothing, or have nothing to ask, send nothing.
     """
-    return F.when(F.size(asked) > 0, _likes_of(float(least))(asked, F.when(F.size(asked) > 0, seen))).otherwise(F.array().cast("array<string>"))
+    some = (F.size(asked) > 0) & (F.size(seen) > 0)
+    none = F.array().cast("array<string>")
+    sent = lambda c: F.when(some, c).otherwise(none)  # noqa: E731  (empty, as the size of a batch is asked for at each row, and every null since the last array is gone through again for it)
+    return F.when(some, _likes_of(float(least))(sent(asked), sent(seen))).otherwise(none)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordia.functions.text import fold, let, strip
+from concordia.sources.stage import dealt
+
+#: Rows of readers that a task is dealt.
+DEALT = 2_000_000
 
 
 def spine(records: DataFrame, labels: tuple[str, ...]) -> DataFrame:
@@ -59,9 +63,10 @@ def _of_records(v: DataFrame, t: DataFrame, labels: tuple[str, ...]) -> DataFram
 CONSENSUS = ("value", "confidence", "source", "alt")
 
 
-def merged(v: Column, vc: Column, t: Column) -> Column:
-    """struct(value, confidence, source, alt) of what a vision reader has, with its confidence, and a text reader."""
-    has_v, has_t, same = v != "", t != "", fold(v) == fold(t)
+def merged(v: Column, vc: Column, t: Column, same: Column | None = None) -> Column:
+    """struct(value, confidence, source, alt) of what a vision reader has, with its confidence, and a text reader; same:
+    whether both are equal once folded, where that is a column already."""
+    has_v, has_t, same = v != "", t != "", fold(v) == fold(t) if same is None else same
 
     def pick(agree: Column | str, conflict: Column | str, only_v: Column | str, only_t: Column | str) -> Column:
         a, c, x, y = (F.lit(k) if isinstance(k, str) else k for k in (agree, conflict, only_v, only_t))
@@ -102,6 +107,42 @@ def records(text: DataFrame, vision: DataFrame | None, labels: tuple[str, ...],
     return held.withColumn("cells", F.concat("cells", lacking))
 
 
+def read_cells(text: DataFrame, vision: DataFrame | None, labels: tuple[str, ...], third: DataFrame | None = None) -> DataFrame:
+    """The cells of records() as rows (record_id, CELL), with said, what a third reader has of the field: a row for each
+    field that a reader has.  Of fields outside labels a record keeps one blank row, whose label is empty.
+
+    All readers' rows are dealt by record, each about two million rows a task, and grouped by record and field where they lie.
+    """
+    known = F.coalesce(F.col("label").isin(*labels), F.lit(False))
+    none = F.lit("")
+    some = lambda c: F.when(known, F.coalesce(c, none)).otherwise(none)
+
+    def of(rows: DataFrame, reader: str, *more: str) -> DataFrame:
+        own = (some(c) if c in more else none for c in ("confidence", "evidence"))
+        return rows.select("record_id", F.when(known, F.col("label")).otherwise(none).alias("label"), F.lit(reader).alias("reader"), some("value").alias("value"), *(x.alias(c) for x, c in zip(own, ("confidence", "evidence"))))
+
+    both = of(text, "text")
+    if vision is not None:
+        both = both.unionByName(of(vision, "vision", "confidence", "evidence"))
+    if third is not None:
+        both = both.unionByName(of(third.where(known), "third"))
+    met = dealt(both, "record_id", DEALT).groupBy("record_id", "label").agg(
+        F.max(F.when(F.col("reader") == "vision", F.struct("value", "confidence", "evidence"))).alias("v"),
+        *(F.max(F.when(F.col("reader") == r, F.col("value"))).alias(c) for r, c in (("text", "t"), ("third", "said"))),
+    )
+    met = met.where("v IS NOT NULL OR t IS NOT NULL")  # what a third reader alone has makes no cell
+    flags = F.array().cast("array<string>").alias("flags")
+    if vision is None:
+        value = F.coalesce("t", none)
+        sure = F.when(strip(value) != "", "MEDIUM").otherwise("")
+        return met.select("record_id", "label", value.alias("value"), sure.alias("confidence"), none.alias("evidence"), F.lit("text").alias("source"), none.alias("alt"), flags, "said")
+    met = met.select("record_id", "label", *(F.coalesce(F.col("v")[c], none).alias(n) for c, n in (("value", "__v"), ("confidence", "__vc"), ("evidence", "evidence"))), strip(F.coalesce("t", none)).alias("__t"), "said")
+    v, t = F.col("__v"), F.col("__t")
+    met = met.withColumn("__same", F.when((v != "") & (t != ""), fold(v) == fold(t)))
+    made = merged(v, F.col("__vc"), t, F.col("__same"))
+    return met.select("record_id", "label", *(made[c].alias(c) if c in CONSENSUS else F.col(c) for c in CELL[1:-1]), flags, "said")
+
+
 def blanks(labels: tuple[str, ...], kind: str, source: str = "") -> Column:
     """A literal: the cells, of that type, of fields that no reader has."""
     one = "named_struct('label', '{}', 'value', '', 'confidence', '', 'evidence', '', 'source', '{}', 'alt', '', 'flags', array(), 'raw', '', 'diffs', array(), 'dropped', NULL)"
@@ -137,14 +178,14 @@ def fast_mode(text: DataFrame, labels: tuple[str, ...] | None = None) -> DataFra
     )
 
 
-def confidence_stats(cells: DataFrame, by: str = "record_id") -> DataFrame:
-    """Of each record's filled cells: how many, by confidence, in conflict and flagged."""
+def confidence_stats(cells: DataFrame, by: str = "record_id", more: tuple[Column, ...] = ()) -> DataFrame:
+    """Of each record's filled cells: how many, by confidence, in conflict and flagged; and more aggregates."""
     filled = strip(F.col("value")) != ""
     level = lambda k: F.count_if(filled & (F.col("confidence") == k)).alias(k.lower())
     return cells.groupBy(by).agg(
         F.count_if(filled).alias("filled"), level("HIGH"), level("MEDIUM"), level("LOW"),
         F.count_if(filled & (F.col("source") == "conflict")).alias("conflicts"),
-        F.count_if(filled & (F.size("flags") > 0)).alias("flagged"),
+        F.count_if(filled & (F.size("flags") > 0)).alias("flagged"), *more,
     )
 
 

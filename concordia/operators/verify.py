@@ -28,10 +28,11 @@ def held(folded: Column, markers: tuple[str, ...]) -> Column:
     return sum((F.contains(folded, F.lit(m)).cast("long") for m in markers), F.lit(0).cast("long"))
 
 
-def classify(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with mil, cov, doctype and doctype_confidence."""
-    t = docs.withColumn("__folded", fold(F.coalesce(F.col(text_col), F.lit(""))))
-    t = t.withColumn("mil", held(F.col("__folded"), MILITARY_MARKERS)).withColumn("cov", held(F.col("__folded"), COVER_MARKERS)).drop("__folded")
+def classify(docs: DataFrame, text_col: str = "text", folded: str | None = None) -> DataFrame:
+    """docs with mil, cov, doctype and doctype_confidence; folded: the column that has the folded text, if there is one."""
+    t = docs if folded else docs.withColumn("__folded", fold(F.coalesce(F.col(text_col), F.lit(""))))
+    own = F.col(folded or "__folded")
+    t = t.withColumn("mil", held(own, MILITARY_MARKERS)).withColumn("cov", held(own, COVER_MARKERS)).drop("__folded")
     high = (F.col("mil") >= 2) & (F.col("mil") >= F.col("cov"))
     one = (F.col("mil") == 1) & (F.col("cov") == 0)
     cover = (F.col("cov") >= 1) & (F.col("mil") == 0)
@@ -45,10 +46,10 @@ def row_split(name: Column) -> Column:
     return name.rlike(r"\A.+_row\d+\.png\z")
 
 
-def transcript_index(docs: DataFrame, id_col: str = "record_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """record_id, words, runs (of digits), all digits in one string, and more of the columns."""
+def transcript_index(docs: DataFrame, id_col: str = "record_id", text_col: str = "text", more: tuple[str, ...] = (), folded: str | None = None) -> DataFrame:
+    """record_id, words, runs (of digits), all digits in one string, and more of the columns; folded: as for classify."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("record_id"), t.alias("__text"), fold(t).alias("__folded"), *more)
+    d = docs.select(F.col(id_col).alias("record_id"), t.alias("__text"), (F.col(folded) if folded else fold(t)).alias("__folded"), *more)
     words = F.array_distinct(F.regexp_extract_all("__folded", F.lit("[a-z]{2,}"), F.lit(0)))
     return d.select("record_id", words.alias("words"), digit_runs(F.col("__text")).alias("runs"), digits(F.col("__folded")).alias("all_digits"), *more)
 
@@ -91,21 +92,27 @@ def _backed(ok: bool, kind: Column | None = None, token: Column | None = None) -
 def judged(cell: Column, supported: Column, strict: bool) -> Column:
     """struct(value, confidence, flags, dropped) of a cell (label, value, confidence, flags): flagged HIGH and MEDIUM become
     LOW; strict blanks what the transcript doesn't back."""
+    return let(flagged(cell, supported), lambda f: weighed(cell, supported, strict, f))
+
+
+def flagged(cell: Column, supported: Column) -> Column:
+    """A cell's flags with those that verification adds."""
     label, value = cell["label"], cell["value"]
-    filled = strip(value) != ""
     backed = F.when(supported, F.array().cast("array<string>")).otherwise(F.array(F.lit("uncorroborated")))
     found = plausibility(value, label.isin(*DAYS), label.isin(*YEARS), label == "Height")
-    flags = F.when(filled, F.concat(cell["flags"], backed, found)).otherwise(cell["flags"])
+    return F.when(strip(value) != "", F.concat(cell["flags"], backed, found)).otherwise(cell["flags"])
 
-    def weighed(f: Column) -> Column:
-        low = filled & (F.size(f) > 0) & cell["confidence"].isin("HIGH", "MEDIUM")
-        drop = filled & ~supported & F.lit(strict)
-        return F.struct(
-            F.when(drop, "").otherwise(value).alias("value"), F.when(low, "LOW").otherwise(cell["confidence"]).alias("confidence"), f.alias("flags"),
-            F.when(drop, strip(value)).alias("dropped"),
-        )
 
-    return let(flags, weighed)
+def weighed(cell: Column, supported: Column, strict: bool, f: Column) -> Column:
+    """struct(value, confidence, flags, dropped) of a cell whose flags are f."""
+    value = cell["value"]
+    filled = strip(value) != ""
+    low = filled & (F.size(f) > 0) & cell["confidence"].isin("HIGH", "MEDIUM")
+    drop = filled & ~supported & F.lit(strict)
+    return F.struct(
+        F.when(drop, "").otherwise(value).alias("value"), F.when(low, "LOW").otherwise(cell["confidence"]).alias("confidence"), f.alias("flags"),
+        F.when(drop, strip(value)).alias("dropped"),
+    )
 
 
 def four_digits(value: Column) -> Column:
@@ -143,6 +150,22 @@ def verify_records(records: DataFrame, strict: bool = False) -> DataFrame:
     return made.drop("__e", *(f"__{p}{kind}" for kind in LEAST for p in ("", "like_")))
 
 
+def verify_cells(cells: DataFrame, strict: bool = False) -> DataFrame:
+    """The same over rows of cells that carry their transcript's words, runs and all_digits, which go."""
+    none = F.array().cast("array<string>")
+    e = evidence_for(F.col("label"), F.col("value"), F.coalesce("words", none), F.coalesce("runs", none), F.coalesce("all_digits", F.lit("")))
+    r = cells.withColumn("__e", F.when(F.col("value") != "", e))
+    ask = lambda kind: F.when(F.col("__e.kind") == kind, F.array("__e.token"))
+    r = r.withColumns({f"__like_{kind}": nearby.own_likes(ask(kind), F.col(own), LEAST[kind]) for kind, own in (("word", "words"), ("number", "runs"))})
+    held = F.coalesce(F.col("__e.ok"), F.lit(True)) | (F.size("__like_word") > 0) | (F.size("__like_number") > 0)
+    r = r.drop("words", "runs", "all_digits").withColumn("__ok", held)
+    cell = {c: F.col(c) for c in ("label", "value", "confidence", "flags")}
+    r = r.withColumn("__f", flagged(cell, F.col("__ok")))
+    made = weighed(cell, F.col("__ok"), strict, F.col("__f"))
+    fresh = ("value", "confidence", "flags", "dropped")
+    return r.select(*(F.col(c) for c in cells.columns if c not in (*fresh, "words", "runs", "all_digits")), *(made[c].alias(c) for c in fresh))
+
+
 LATER = ("Discharge Year", "Death Year", "Classe Year")
 
 

@@ -591,10 +591,10 @@ PHASE_TRANSCRIPTS = f"""SELECT {PHASE_ID} AS record_id, concat(CASE o_orderkey %
 CASE WHEN o_orderkey % 4 = 0 THEN 'sans date' ELSE concat('ne en ', CAST(1800 + o_orderkey % 60 AS STRING)) END) AS text FROM {{orders}} UNION ALL SELECT concat('d', CAST(doc_id AS STRING), '.j2k'), text FROM {{documents}}"""
 
 
-def _phases(spark, sf_dir):
+def _phases(spark, sf_dir, blanks=True):
     vision = derived(spark, sf_dir, PHASE_VISION)
     third = vision.where("k >= 0 AND k % 2 = 0").select("record_id", "label", "value")
-    return engine.run(derived(spark, sf_dir, PHASE_TEXT), vision.drop("k"), derived(spark, sf_dir, PHASE_TRANSCRIPTS), third=third)
+    return engine.run(derived(spark, sf_dir, PHASE_TEXT), vision.drop("k"), derived(spark, sf_dir, PHASE_TRANSCRIPTS), third=third, blanks=blanks)
 
 
 LABELS_SQL = "[" + ", ".join(f"'{n}'" for n in fields.LABELS) + "]"
@@ -624,7 +624,7 @@ CASE label WHEN 'Birth Month' THEN 'snap:month' ELSE '' END AS notes FROM m UNIO
 def phases(spark, sf_dir):
     """Both phases of a run: readers' cells to silver, silver to gold."""
     gold = _phases(spark, sf_dir)
-    notes = F.array_join(F.transform("diffs", lambda d: d["note"]), ",")
+    notes = F.array_join("diffs.note", ",")
     return gold.select("record_id", "label", "value", "confidence", "source", F.array_join("flags", ",").alias("flags"), notes.alias("notes"))
 
 

@@ -27,7 +27,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks have about that many of the rows each; they are counted for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-df.count() // rows))
+
+
 def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The rows dealt by the key to so many tasks that each has about that many; they are counted for it."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // rows)), key)
+    return df.repartition(tasks(df, rows), key)
