@@ -235,9 +235,8 @@ def independent(third: DataFrame, readers: DataFrame, model: str) -> DataFrame:
 def batch_items(names: DataFrame, gold: DataFrame) -> DataFrame:
     """name, ok, event_type, the record's statistics and error of each name asked for; a name without a record is an
     error of its own and fails nothing else."""
-    stats = confidence_stats(gold)
-    event = gold.where(F.col("label") == "Event Type").groupBy("record_id").agg(F.max("value").alias("event_type"))
-    done = stats.join(event, "record_id", "left").withColumnRenamed("record_id", "name").withColumn("ok", F.lit(True))
+    event = F.max(F.when(F.col("label") == "Event Type", F.col("value"))).alias("event_type")
+    done = confidence_stats(gold, more=(event,)).withColumnRenamed("record_id", "name").withColumn("ok", F.lit(True))
     out = names.select("name").distinct().join(done, "name", "left")
     ok = F.coalesce("ok", F.lit(False))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("filled", "high", "medium", "low", "conflicts", "flagged")]

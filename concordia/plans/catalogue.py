@@ -637,7 +637,7 @@ def batch_items(spark, sf_dir):
     """What a batch reports of each name: statistics after both phases, or an error."""
     missing = derived(spark, sf_dir, "SELECT concat('missing', CAST(o_orderkey AS STRING)) AS name FROM {orders} WHERE o_orderkey % 50 = 0")
     names = derived(spark, sf_dir, PHASE_VISION).select(F.col("record_id").alias("name")).distinct().unionByName(missing)
-    return reconcile.batch_items(names, _phases(spark, sf_dir))
+    return reconcile.batch_items(names, _phases(spark, sf_dir, blanks=False))
 
 
 SPELT = """SELECT DISTINCT 'Surname' AS label, CASE WHEN p_partkey % 2 = 0 THEN concat(p_name, 'z') ELSE concat('~', p_name) END AS v FROM {part} UNION ALL SELECT DISTINCT 'Birth Departement', CASE WHEN p_partkey % 2 = 0 THEN 'Gard' ELSE 'zz' END FROM {part}"""

@@ -67,3 +67,6 @@ def test_rows_that_ask_nothing_send_empty_arrays(spark):
     assert sent.count("ELSE []") == 2 or sent.count("CASE") == 0 and plan(out).count("ELSE []") >= 2
 
 
+def test_batch_items_makes_gold_once(spark):
+    got = plan(catalogue.batch_items(spark, ROOT))
+    assert len(re.findall(r"FileScan parquet .*silver-", got)) == 1
