@@ -1,7 +1,8 @@
 """The phases of a run, from readers' tables to verified records.
 
-A record is one row with an array of its cells; layers change the array, and only distinct values and tokens are looked up
-by joins.  Records, with their transcripts' words and digits, are written between the phases, as are the lists' answers.
+Both phases in one, without a speller, keep cells as rows, which meet again in their record at the end.  Else a record is
+one row with an array of its cells, and layers change the array.  Only distinct values and tokens are looked up by joins.
+What the readers agreed on is written between the phases, as are the lists' answers.
 """
 
 from __future__ import annotations
